@@ -126,6 +126,14 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     return df.mapInArrow(run, _added(df, **{out: T.BinaryType()}))
 
 
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, source, lang, n_tokens and ids (packed) of every row; a row whose bytes do not come back is an error."""
+    coded = decode(encode(docs.select("doc_id", "source", "lang", "text"), path, pattern), path, pattern)
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    checked = F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("decoding does not give the text back")))
+    return coded.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), checked.alias("ids"))
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the bytes decoded from them."""
     coded = encode(docs.select("doc_id", "text"), path, pattern).drop("text")

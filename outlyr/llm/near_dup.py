@@ -229,6 +229,19 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with the same columns, that stay: one of each group, by least doc_id.
+
+    Of several rows of one kept doc_id one stays, unless the doc_id is null.
+    """
+    columns = docs.columns
+    gone = classes(docs).where("not kept").select("doc_id").distinct()
+    rows = docs.join(gone, "doc_id", "left_anti").select(*columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = rows.join(again, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"])
+    return rows.join(again, "doc_id", "left_anti").select(*columns).unionByName(once)
+
+
 def _placed(shared: DataFrame, found: DataFrame) -> DataFrame:
     """bucket, id, members and the component so far."""
     return shared.join(found, shared["id"] == found["node"], "left").select("bucket", "id", "members", F.coalesce("component", "id").alias("c"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from outlyr.llm import bpe, chat, fingerprint, language_id, mixing, near_dup, quality, sharding, token_count
+from outlyr.llm import bpe, chat, fingerprint, language_id, mixing, near_dup, quality, sharding, token_count, token_store
 from outlyr.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ ORACLE["op8_chat_examples"] = chat.SQL
 @_query
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
