@@ -20,3 +20,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+from outlyr.plans import catalog as _catalog  # noqa: E402,F401  (registers its queries)
