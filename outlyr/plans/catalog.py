@@ -217,10 +217,10 @@ INTERP = "CASE WHEN value <= 0 THEN 0.05 WHEN value < 20 THEN 0.05 + (value - 0)
 
 
 @query("hit_probability", f"""WITH p AS (SELECT event_id, user_id, value, {INTERP} AS p FROM events)
-SELECT event_id, round(p, 9) AS p, round(1 - coalesce(product(1 - p) OVER (PARTITION BY user_id ORDER BY value DESC, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1), 9) AS hit_in_site_probability FROM p""")
+SELECT event_id, round(p, 6) AS p, round(1 - coalesce(product(1 - p) OVER (PARTITION BY user_id ORDER BY value DESC, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1), 6) AS hit_in_site_probability FROM p""")
 def hit_probability(spark, sf_dir):
     p = table(spark, sf_dir, "events").withColumn("p", ranking.interpolate(F.col("value"), KNOTS))
-    return ranking.remaining_hit_probability(p, "user_id", "value", ["event_id"]).select("event_id", F.round("p", 9).alias("p"), F.round("hit_in_site_probability", 9).alias("hit_in_site_probability"))
+    return ranking.remaining_hit_probability(p, "user_id", "value", ["event_id"]).select("event_id", F.round("p", 6).alias("p"), F.round("hit_in_site_probability", 6).alias("hit_in_site_probability"))
 
 
 @query("selected_events", """WITH best AS (SELECT user_id, arg_max(event_type, (value, -event_id)) AS event_type FROM events GROUP BY user_id),
@@ -376,12 +376,12 @@ def correlation_fraction(spark, sf_dir):
 
 
 @query("event_table", f"""WITH {SCORED}, p AS (SELECT *, {INTERP} AS p FROM sc), h AS (SELECT *, 1 - coalesce(product(1 - p) OVER (PARTITION BY user_id ORDER BY value DESC, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS hit, row_number() OVER (ORDER BY user_id, value DESC, event_id) AS rank FROM p)
-SELECT rank, user_id::VARCHAR AS dtag, event_id::INT AS event_idx, user_id::INT AS site_idx, round_even(value, 2) AS z_mean, k AS cluster_size, round(hit, 9) AS hit_in_site_probability, round_even(1 - k / 100.0::DOUBLE, 2) AS "1-BDC" FROM h""")
+SELECT rank, user_id::VARCHAR AS dtag, event_id::INT AS event_idx, user_id::INT AS site_idx, round_even(value, 2) AS z_mean, k AS cluster_size, round(hit, 6) AS hit_in_site_probability, round_even(1 - k / 100.0::DOUBLE, 2) AS "1-BDC" FROM h""")
 def event_table(spark, sf_dir):
     p = scored(spark, sf_dir).withColumn("p", ranking.interpolate(F.col("value"), KNOTS))
     h = ranking.rank_by_site(ranking.remaining_hit_probability(p, "user_id", "value", ["event_id"]), "user_id", "value", ["event_id"])
     tag = F.col("user_id").cast("string").alias("dtag")
-    e = h.select("rank", tag, F.col("event_id").cast("int").alias("event_idx"), (F.col("k") / F.lit(100.0)).alias("bdc"), F.col("k").alias("n_points"), *[F.lit(0.0).alias(c) for c in "xyz"], F.col("value").alias("score"), F.lit(0.0).alias("build_score"), F.round("hit_in_site_probability", 9).alias("hit_in_site_probability"))
+    e = h.select("rank", tag, F.col("event_id").cast("int").alias("event_idx"), (F.col("k") / F.lit(100.0)).alias("bdc"), F.col("k").alias("n_points"), *[F.lit(0.0).alias(c) for c in "xyz"], F.col("value").alias("score"), F.lit(0.0).alias("build_score"), F.round("hit_in_site_probability", 6).alias("hit_in_site_probability"))
     s = h.select(tag, F.col("event_id").cast("int").alias("event_idx"), F.col("user_id").cast("int").alias("site_idx"))
     d = h.select(tag).distinct().select("dtag", F.lit(2.0).alias("resolution"), F.lit(0.2).alias("rfree"), F.lit(0.2).alias("rwork"))
     return outputs.event_table(e, d, s).select("rank", "dtag", "event_idx", "site_idx", "z_mean", "cluster_size", "hit_in_site_probability", "1-BDC")
