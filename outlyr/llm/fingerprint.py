@@ -83,7 +83,7 @@ def likeness(a: Column, b: Column) -> Column:
     """The estimated Jaccard similarity of the shingle sets behind two fingerprints."""
     same = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
     c = 2.0**-BITS
-    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (same / F.lit(float(BINS)) - c) / (1 - c)))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (same / F.lit(float(BINS)) - c) / (1 - c)))
 
 
 def _lower(ids: DataFrame) -> DataFrame:

@@ -295,6 +295,17 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with the same columns, whose language is not rejected."""
-    columns = docs.columns
-    found = predict(docs, fit(docs), keep=tuple(columns))
-    return found.where(~F.col("rejected")).select(*columns)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+
+    @F.pandas_udf("boolean")
+    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = shared.value
+        s = Scorer(m)
+        for x in texts:
+            if not m.langs:
+                yield pd.Series(np.zeros(len(x), bool))
+                continue
+            e, n = s.raw(list(x))
+            yield pd.Series((n > 0) & (_excess(m, e.min(axis=1), n) <= m.limit))
+
+    return docs.where(good("text"))
