@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from outlyr.llm import bpe, chat, fingerprint, language_id, mixing, near_dup, quality, sharding, token_count, token_store
+from outlyr.llm import bpe, chat, fingerprint, language_id, mixing, near_dup, oracles, quality, sharding, token_count, token_store
 from outlyr.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,7 +59,7 @@ def op8_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_back(table(spark, sf_dir, "conversations"))
 
 
-ORACLE["op8_chat_examples"] = chat.SQL
+ORACLE |= {"op1_quality_rules": oracles.QUALITY, "op3_near_dup": oracles.NEAR_DUP, "op8_chat_examples": chat.SQL}
 
 
 @_query
