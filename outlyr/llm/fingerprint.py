@@ -24,7 +24,7 @@ from outlyr.llm.native import let, runs
 
 SHINGLE, BINS, BITS = 5, 256, 4
 #: Looks that are tried one by one before the rest of a bin's order is searched at once.
-LOOKS = 12
+LOOKS = 10
 _HEX = "0123456789abcdef"
 
 
@@ -54,12 +54,13 @@ def fingerprint(text: Column) -> Column:
     """The packed signature of a text."""
     starts = F.array(*[F.lit(a) for a, _ in _orders()])
     steps = F.array(*[F.lit(b) for _, b in _orders()])
+    backs = F.array(*[F.lit(pow(b, -1, BINS)) for _, b in _orders()])
     digit = lambda v, j: F.substring(F.lit(_HEX), F.xxhash64(v, j).bitwiseAND(F.lit(15).cast("long")).cast("int") + 1, F.lit(1))
     void = F.lit(None).cast("bigint")
 
     def least(s: Column) -> Column:
         """The first hash of each bin, from sorted hashes."""
-        return F.filter(s, lambda x, i: F.coalesce(_bin(F.get(s, i - 1)) != _bin(x), F.lit(True)))
+        return F.filter(s, lambda x, i: (i == 0) | (F.shiftrightunsigned(x.bitwiseXOR(F.get(s, i - 1)), 56) != 0))
 
     def spread(m: Column) -> Column:
         """One element for each bin, null where it is empty."""
@@ -67,14 +68,16 @@ def fingerprint(text: Column) -> Column:
         filled = F.flatten(F.transform(m, lambda x, i: F.concat(F.array_repeat(void, gap(x, i)), F.array(x))))
         return F.concat(filled, F.array_repeat(void, F.lit(BINS - 1) - _bin(F.element_at(m, -1))))
 
-    def densify(d: Column) -> Column:
+    def densify(d: Column, m: Column) -> Column:
         at = lambda j, t: F.get(d, F.pmod(F.get(starts, j) + F.get(steps, j) * t, F.lit(BINS)))
-        rest = lambda j: F.get(F.filter(F.transform(F.sequence(F.lit(LOOKS), F.lit(BINS - 1)), lambda t: at(j, t)), lambda v: v.isNotNull()), F.lit(0))
+        # beyond the first looks: the least place in bin j's order among the bins that are not empty
+        place = lambda j, x: F.pmod((_bin(x) - F.get(starts, j)) * F.get(backs, j), F.lit(BINS))
+        rest = lambda j: at(j, F.array_min(F.transform(m, lambda x: place(j, x))))
         return F.array_join(F.transform(d, lambda v, j: digit(F.coalesce(v, *[at(j, F.lit(t)) for t in range(LOOKS)], rest(j)), j)), "")
 
     def packed(m: Column) -> Column:
         one = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: digit(F.get(m, F.lit(0)), j)), "")
-        return F.when(F.size(m) == 0, F.lit("")).when(F.size(m) == 1, one).otherwise(let(spread(m), densify))
+        return F.when(F.size(m) == 0, F.lit("")).when(F.size(m) == 1, one).otherwise(let(spread(m), lambda d: densify(d, m)))
 
     return let(let(F.sort_array(shingles(words(text))), least), packed)
 
@@ -108,10 +111,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     third = F.floor(F.length(t) / 3).cast("int")
     ids = docs.where("doc_id is not null").select("doc_id", third.alias("k")).groupBy("doc_id").agg(F.max("k").alias("k"))
     wanted = _lower(ids).select(F.col("next").alias("_giver"), F.col("doc_id").alias("_taker"), F.col("k").alias("_k"))
-    base = docs.select("doc_id", t.alias("_text"), fingerprint(t).alias("fingerprint"))
+    every = docs.select("doc_id", t.alias("_text"), fingerprint(t).alias("fingerprint"))
+    base = every.where("doc_id is not null")  # one exchange of it serves both joins
     gifts = base.join(wanted, F.col("doc_id") == F.col("_giver")).select("_taker", F.struct(F.substring("_text", F.lit(1), F.col("_k")).alias("head"), F.col("fingerprint").alias("print")).alias("_g"))
     gifts = gifts.groupBy("_taker").agg(F.min("_g").alias("_g"))
-    joined = base.join(gifts, F.col("doc_id") == F.col("_taker"), "left")
+    alone = every.where("doc_id is null").select("*", F.lit(None).cast("struct<head: string, print: string>").alias("_g"))
+    joined = base.join(gifts, F.col("doc_id") == F.col("_taker"), "left").select(*every.columns, "_g").unionByName(alone)
     n = F.length("_text")
     k = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), n - k), F.coalesce(F.substring(F.col("_g.head"), F.lit(1), k), F.lit("")))
