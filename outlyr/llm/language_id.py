@@ -6,8 +6,8 @@ hashes, one for each order, with a column of log probabilities and of back-off w
 language, so a character costs one binary search where its longest n-gram is known. The language
 of a text is the one with the lowest cross-entropy per symbol; ties go to the first by code point.
 
-The model is learned from a bounded sample (BOUNDS): for each label, the rows of the lowest hash of
-doc_id among those of at most ``max_chars`` characters. A fifth of it is kept from the counts and
+The model is learned from a bounded sample (BOUNDS): for each label, about ``rows`` rows, by hash of
+doc_id, of those of at most ``max_chars`` characters. A fifth of it is kept from the counts and
 calibrates the temperature of ``score`` and the rejection limit: a text is rejected if its
 cross-entropy, scaled by the root of its length, is above what all but ``reject`` of the
 calibration texts have, with a margin.
@@ -27,10 +27,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from outlyr.llm.common import uniform
 
 ORDER = 4
-#: Rows of each label that are learned from, their longest text, and the most labels.
+#: Rows of each label that are learned from (expected), their longest text, and the most labels.
 BOUNDS = {"rows": 1000, "max_chars": 20_000, "labels": 200}
 #: The share of calibration texts above the limit, and what the limit is then multiplied by.
 REJECT, MARGIN = 0.001, 1.25
@@ -211,13 +212,15 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """The bounded sample of labelled rows, with ``cal`` for the fifth that calibrates."""
+    """The sample of labelled rows, with ``cal`` for the fifth that calibrates.
+
+    A label with more rows than the bound gives those whose hash of doc_id is below bound / rows, so
+    about the bound; a count for each label is all that is gathered.
+    """
     fit = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.length("text").between(1, BOUNDS["max_chars"]))
-    narrow = fit.select("lang", F.xxhash64("doc_id").alias("_h"))
-    w = Window.partitionBy("lang").orderBy("_h")
-    top = narrow.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= BOUNDS["rows"])
-    last = top.groupBy("lang").agg(F.max("_h").alias("_last"), F.count("*").alias("_c")).orderBy(F.desc("_c"), "lang").limit(BOUNDS["labels"])
-    joined = fit.join(F.broadcast(last), "lang").where(F.xxhash64("doc_id") <= F.col("_last"))
+    counts = fit.groupBy("lang").agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), "lang").limit(BOUNDS["labels"])
+    share = counts.select("lang", (F.lit(float(BOUNDS["rows"])) / F.col("_c")).alias("_share"))
+    joined = fit.join(F.broadcast(share), "lang").where(uniform("doc_id") < F.col("_share"))
     return joined.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit("cal")), F.lit(5)) == 0).alias("cal"))
 
 
