@@ -10,14 +10,15 @@ Candidates. K = BANDS * ROWS coordinates; a pair of similarity s shares a band w
 
 Verification is on full sets: |A & B| * 100 >= 75 * |A | B|. What is asked for is the classes'
 components, so pairs need be checked only until the components are known:
-1. in each bucket (a band's value), each member against the least member;
-2. a few rounds in which a member of another component than its bucket's hub, which changes by
+1. in each bucket (a band's value), each member against the most central one, which shares most
+   buckets with others: of a group of copies, that is the one most like all;
+2. rounds in which a member of another component than its bucket's hub, which changes by
    round and bucket, is checked against it;
-3. all pairs of different components in one bucket, if their sizes allow 0.75 and a 384-bit sketch
-   of the signatures does not exclude it (six standard deviations below 0.75). Buckets with more than
-   MOST members are first split by every other band: a linked pair shares at least one more band
-   with the same near-certainty, so nothing is capped.
-So large groups of copies cost a row a member, and only what is left undecided meets pair by pair.
+3. all of different components in one bucket meet in a join that compares their sets itself, if
+   sizes and a 384-bit sketch of the signatures (4.5 standard deviations below 0.75) leave it open, so it
+   makes a row for a link and none for other pairs. Buckets with more than MOST members are first split
+   by every other band: a linked pair shares at least one more band with the same near-certainty, so
+   nothing is capped.
 
 Defined cases: texts without words have the empty set and no links; fewer than 5 words are one
 shingle; rows of one doc_id are one node; a null doc_id has no links, component null, and is kept.
@@ -37,9 +38,11 @@ from outlyr.llm.common import shared_dir, written
 
 SHINGLE, BANDS, ROWS = 5, 64, 6
 K, D = BANDS * ROWS, 1 << 20
-#: Bits of the sketch that a pair of similarity 0.75 agrees in: 7/8 of K, less six deviations.
-AGREE = int(K * 0.875 - 6 * (K * 0.875 * 0.125) ** 0.5)
-PERCENT, MOST, ROUNDS, PARTNERS = 75, 1000, 3, 4
+#: Bits of the sketch that a pair of similarity 0.75 agrees in: 7/8 of K, less 4.5 deviations.
+AGREE = int(K * 0.875 - 4.5 * (K * 0.875 * 0.125) ** 0.5)
+PERCENT, MOST, ROUNDS, PARTNERS = 75, 1000, 2, 4
+#: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond it texts are shuffled.
+FEW = 1_000_000
 _CELLS = 4096
 
 
@@ -171,14 +174,18 @@ def verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     pairs = written(pairs.distinct(), name)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # several rows of one doc_id: any text of the class's set serves, so the least is taken
-    sets = shingle_sets(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"))
+    sets = shingle_sets(_texts(docs, ids))
     right = pairs.join(sets.withColumnRenamed("id", "b").withColumnRenamed("set", "sb"), "b")
     both = right.join(sets.withColumnRenamed("id", "a").withColumnRenamed("set", "sa"), "a")
     inter = F.size(F.array_intersect("sa", "sb"))
     return written(both.where(100 * inter >= PERCENT * (F.size("sa") + F.size("sb") - inter)).select("a", "b").distinct(), name)
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some doc_ids. Ids are broadcast if they are few, so that the other texts stay where they are."""
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi").select("doc_id", "text")
+
+
 def _close(x: str, y: str) -> Column:
     """Whether sizes and sketches of two sides leave a similarity of 0.75 open."""
     same = sum((F.bit_count(F.get(f"{x}_sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}_sketch", F.lit(i)))) for i in range(K // 64)), F.lit(0))
@@ -198,8 +205,8 @@ def classes(docs: DataFrame) -> DataFrame:
     # one row of each class speaks for it in the buckets
     firsts = real.join(reps.select("set_hi", "set_lo", F.col("rep").alias("doc_id")), ["set_hi", "set_lo", "doc_id"]).dropDuplicates(["set_hi", "set_lo"]).select("doc_id", "n_shingles", "bands", "sketch")
     spread = firsts.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    hubs = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("hub")).where("members > 1")
-    shared = written(spread.join(hubs, "bucket").select("bucket", "id", "members", "hub"), "buckets")
+    several = spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    shared = written(spread.join(several, "bucket").select("bucket", "id", "members"), "buckets")
     nodes = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
 
     def close_pairs(pairs: DataFrame) -> DataFrame:
@@ -207,7 +214,10 @@ def classes(docs: DataFrame) -> DataFrame:
         b = nodes.select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
         return pairs.join(b, "b").join(a, "a").where(_close("a", "b")).select("a", "b")
 
-    links = verified(close_pairs(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()), docs, "links")
+    weight = shared.groupBy("id").agg(F.sum("members").alias("_w"))
+    central = shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("_w", (-F.col("id")).alias("_neg"))).alias("_h")).select("bucket", (-F.col("_h._neg")).alias("hub"))
+    shared = written(shared.select("bucket", "id", "members").join(central, "bucket"), "buckets")
+    links = verified(close_pairs(shared.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()), docs, "links")
     found = components(links)
     for k in range(ROUNDS):
         placed = _placed(shared, found)
@@ -220,7 +230,7 @@ def classes(docs: DataFrame) -> DataFrame:
             break
         links = written(links.union(more).distinct(), "links")
         found = components(links)
-    more = verified(_rest(shared, found, nodes), docs, "rest")
+    more = verified(_rest(shared, found, nodes, docs), docs, "rest")
     if not more.isEmpty():
         links = links.union(more)
     found = components(links.select("a", "b").union(equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
@@ -247,8 +257,8 @@ def _placed(shared: DataFrame, found: DataFrame) -> DataFrame:
     return shared.join(found, shared["id"] == found["node"], "left").select("bucket", "id", "members", F.coalesce("component", "id").alias("c"))
 
 
-def _rest(shared: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs of one bucket and two components that sizes and sketches leave open."""
+def _rest(shared: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """All pairs of one bucket and two components whose sets, as 32-bit hashes, reach the similarity."""
     placed = _placed(shared, found)
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("now")).where("lo <> hi").select("bucket", "now")
     left = written(placed.join(mixed, "bucket").join(nodes, "id").select("bucket", "id", "c", "n", "sketch", "now"), "left")
@@ -256,7 +266,10 @@ def _rest(shared: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     large = left.where(F.col("now") > MOST).select("bucket", "id", "c", "n", "sketch")
     again = shared.select(F.col("id").alias("_id"), F.col("bucket").alias("_other"))
     split = large.join(again, (F.col("id") == F.col("_id")) & (F.col("bucket") != F.col("_other"))).select(F.xxhash64(F.least("bucket", "_other"), F.greatest("bucket", "_other")).alias("bucket"), "id", "c", "n", "sketch")
-    rows = written(small.union(split.distinct()), "rest")
-    side = lambda x: rows.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "c", "n", "sketch")])
-    both = side("a").join(side("b"), "bucket").where((F.col("a_id") < F.col("b_id")) & (F.col("a_c") != F.col("b_c")) & _close("a", "b"))
+    short = shingle_sets(_texts(docs, left.select(F.col("id").alias("doc_id")).distinct())).select(F.col("id").alias("_s"), F.transform("set", lambda x: F.shiftright(x, 32).cast("int")).alias("set"))
+    rows = written(small.union(split.distinct()).join(short, F.col("id") == F.col("_s")).drop("_s"), "rest")
+    side = lambda x: rows.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "c", "n", "sketch", "set")])
+    inter = F.size(F.array_intersect("a_set", "b_set")) + 1  # two hashes of 64 bits may be one of 32
+    alike = F.when(_close("a", "b"), 100 * inter >= PERCENT * (F.col("a_n") + F.col("b_n") - inter)).otherwise(F.lit(False))
+    both = side("a").join(side("b"), "bucket").where((F.col("a_id") < F.col("b_id")) & (F.col("a_c") != F.col("b_c")) & alike)
     return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
