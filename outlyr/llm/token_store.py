@@ -39,7 +39,7 @@ from outlyr.llm.common import parts, running, shared_dir
 
 #: The rolling hash's span; least, mean (a power of two, beyond the least) and most ids of a chunk.
 SPAN, LEAST, MEAN, MOST = 16, 64, 256, 1024
-_REMEMBERED = 500_000
+_REMEMBERED = 1_500_000
 #: Texts in which words can be encoded alone: letters with single-character lower case and no marks.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*").fullmatch
 
@@ -89,21 +89,23 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self.by_word and _PLAIN(x) is not None and not self.added(x) for x in texts]
-        words = [x.lower().split() if p else None for x, p in zip(texts, plain, strict=True)]
         other = iter(self.tok.encode_batch([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        new = list(set().union(*(ws for ws in words if ws)).difference(self.known))
-        own = self._words(new)
-        if len(self.known) < _REMEMBERED:
-            self.known.update(own)
-            get = self.known.__getitem__
-        else:
-            get = {**{w: self.known[w] for w in set().union(*(ws for ws in words if ws)).intersection(self.known)}, **own}.__getitem__
+        full, get = len(self.known) >= _REMEMBERED, self.known.get
+        # each word is looked up once; what is not known yet is filled in afterwards
+        words = [x.lower().split() if p else None for x, p in zip(texts, plain, strict=True)]
+        found = [None if ws is None else list(map(get, ws)) for ws in words]
+        new = {w for ws, fs in zip(words, found, strict=True) if fs and None in fs for w, f in zip(ws, fs, strict=True) if f is None}
+        own = self._words(list(new))
         out = []
-        for ws in words:
+        for ws, fs in zip(words, found, strict=True):
             if ws is None:
                 out.append(np.array(next(other).ids, dtype="<u4"))
                 continue
-            out.append(np.frombuffer(b"".join(map(get, ws)), "<u4"))
+            if None in fs:
+                fs = [own[w] if f is None else f for w, f in zip(ws, fs, strict=True)]
+            out.append(np.frombuffer(b"".join(fs), "<u4"))
+        if not full:
+            self.known.update(own)
         return out
 
 
