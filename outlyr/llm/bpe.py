@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 
 #: Characters of a leaf, ids of a leaf when decoding, and the first width of a window's side.
 LEAF, LEAF_IDS, WINDOW = 16_384, 16_384, 64
+#: Rows whose ids and bytes are held at once.
+SLICE = 256
 _SPACE = frozenset(" \t\n\r")
 
 
@@ -95,47 +97,63 @@ def _added(df: DataFrame, **columns: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in columns] + [T.StructField(k, v) for k, v in columns.items()])
 
 
-def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    kept = [i for i, f in enumerate(batch.schema) if f.name != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values], names=[*(batch.schema.field(i).name for i in kept), name])
-
-
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add ``out``: the ids of each whole text as little-endian unsigned 32-bit integers."""
+def _coded(df: DataFrame, path: str, pattern: str, work, drop: tuple[str, ...] = (), **columns: T.DataType) -> DataFrame:
+    """``df`` with columns that ``work(codec, slice)`` gives for a few rows at once, in one Python pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            ids = [bpe.encode(x.as_py() or "").astype("<u4", copy=False).tobytes() for x in batch.column(at)]
-            yield _with(batch, out, pa.array(ids, pa.binary()))
+            for i in range(0, batch.num_rows, SLICE):
+                some = batch.slice(i, SLICE)
+                made = work(bpe, some)
+                kept = [f.name for f in some.schema if f.name not in columns and f.name not in drop]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), *(pa.array(made[c], pa.binary()) for c in columns)], names=[*kept, *columns])
 
-    return df.mapInArrow(run, _added(df, **{out: T.BinaryType()}))
+    return df.mapInArrow(run, _added(df.drop(*drop), **columns))
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add ``out``: the bytes that the packed ids stand for; null ids give no bytes."""
+def _ids(bpe: TreeBpe, texts: pa.Array) -> list[bytes]:
+    return [bpe.encode(x.as_py() or "").astype("<u4", copy=False).tobytes() for x in texts]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
-        for batch in batches:
-            at = batch.schema.get_field_index(ids)
-            raw = [bpe.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(at)]
-            yield _with(batch, out, pa.array(raw, pa.binary()))
 
-    return df.mapInArrow(run, _added(df, **{out: T.BinaryType()}))
+def _bytes(bpe: TreeBpe, ids: list[bytes | None]) -> list[bytes]:
+    return [bpe.decode(np.frombuffer(x or b"", "<u4")) for x in ids]
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """Add ``out``: the ids of each whole text as little-endian unsigned 32-bit integers."""
+    return _coded(df, path, pattern, lambda bpe, b: {out: _ids(bpe, b.column(text))}, **{out: T.BinaryType()})
+
+
+def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Add ``out``: the bytes that the packed ids stand for; null ids give no bytes."""
+    return _coded(df, path, pattern, lambda bpe, b: {out: _bytes(bpe, b.column(ids).to_pylist())}, **{out: T.BinaryType()})
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, source, lang, n_tokens and ids (packed) of every row; a row whose bytes do not come back is an error."""
-    coded = decode(encode(docs.select("doc_id", "source", "lang", "text"), path, pattern), path, pattern)
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    checked = F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("decoding does not give the text back")))
-    return coded.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), checked.alias("ids"))
+
+    def work(bpe: TreeBpe, b: pa.RecordBatch) -> dict[str, list[bytes]]:
+        ids = _ids(bpe, b.column("text"))
+        if _bytes(bpe, ids) != [(x or "").encode() for x in b.column("text").to_pylist()]:
+            raise ValueError("decoding does not give the text back")
+        return {"ids": ids}
+
+    coded = _coded(docs.select("doc_id", "source", "lang", "text"), path, pattern, work, ("text",), ids=T.BinaryType())
+    return coded.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+def transcoded(df: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``df`` with ids and decoded in place of its text: encoded, and decoded from the ids alone."""
+
+    def work(bpe: TreeBpe, b: pa.RecordBatch) -> dict[str, list[bytes]]:
+        ids = _ids(bpe, b.column("text"))
+        return {"ids": ids, "decoded": _bytes(bpe, ids)}
+
+    return _coded(df, path, pattern, work, ("text",), ids=T.BinaryType(), decoded=T.BinaryType())
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the bytes decoded from them."""
-    coded = encode(docs.select("doc_id", "text"), path, pattern).drop("text")
-    back = decode(coded, path, pattern)
+    back = transcoded(docs.select("doc_id", "text"), path, pattern)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

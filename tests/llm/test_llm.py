@@ -196,6 +196,9 @@ def test_bpe_is_the_library(docs, empty):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
     assert bpe.digests(empty, path, P.PATTERN).count() == 0
+    apart = bpe.decode(bpe.encode(docs, path, P.PATTERN), path, P.PATTERN)
+    assert apart.columns == [*docs.columns, "ids", "decoded"]
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in apart.collect())
     assert bpe.encoded(docs, path, P.PATTERN).count() == len(rows())
 
 
