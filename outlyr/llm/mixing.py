@@ -89,9 +89,12 @@ def _sized(docs: DataFrame, keep: list[str]) -> DataFrame:
     return a.withColumn("_w", _weight(F.col("size")))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every row, with its text's hash _x."""
-    sized = written(_sized(docs, ["doc_id", "source"]), "sized")
+def mix(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every row, with its text's hash _x and ``keep``.
+
+    Rows that draw the same number are ordered by ``keep``.
+    """
+    sized = written(_sized(docs, ["doc_id", "source", *keep]), "sized")
     goals = targets(sized)
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t"))
     per = goals.select(key.alias("_s"), "source_size", "target", "factor")
@@ -102,7 +105,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rank = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
     a = a.withColumn("_rank", F.when(F.col("_p") > 1e-9, rank)).withColumn("_offer", F.when(F.col("_rank").isNotNull(), F.col("size")).otherwise(0)).withColumn("_sure", F.col("_whole") * F.col("size"))
     a = a.withColumn("_rank", F.coalesce("_rank", F.lit(float("inf"))))
-    b = running(a, ["_s"], ["_rank", "doc_id", "_x"], {"_before": "_offer"}, "ranked")
+    b = running(a, ["_s"], ["_rank", "doc_id", "_x", *keep], {"_before": "_offer"}, "ranked")
     b = written(b, "ranks")
     sure = b.groupBy("_s").agg(F.sum("_sure").alias("_all_sure"))
     b = b.join(sure, "_s").withColumn("_fits", (F.col("_offer") > 0) & (F.col("_before") + F.col("_offer") <= F.col("target") - F.col("_all_sure")))
@@ -114,17 +117,16 @@ def mix(docs: DataFrame) -> DataFrame:
     b = b.join(last, "_s", "left")
     fits = F.col("_fits") | ((F.col("_offer") > 0) & F.coalesce(F.col("_before") == F.col("_last"), F.lit(False)))
     copies = (F.col("_whole") + F.when(fits, 1).otherwise(0)).cast("long")
-    return b.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "_x")
+    return b.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "_x", *keep)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with the same columns, each as often as the mix takes it.
 
-    Copies are joined by doc_id, source and text hash; rows equal in all three share their copies.
+    Rows are numbered and written once to the shared folder, so that each has its own copies, also
+    among rows that are equal in all columns. Rows that draw the same number go by the hash of all columns.
     """
     columns = docs.columns
-    plan = mix(docs).groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("_x").alias("_h")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_n"))
-    key = docs.withColumn("_x", F.xxhash64("text"))
-    joined = key.join(plan, key["doc_id"].eqNullSafe(plan["_i"]) & key["source"].eqNullSafe(plan["_s"]) & (key["_x"] == plan["_h"]))
-    each = (F.col("_c") / F.col("_n")).cast("int")
-    return joined.where(each > 0).select(*[F.col(c) for c in columns], F.explode(F.array_repeat(F.lit(0), each)).alias("_copy")).drop("_copy")
+    rows = written(docs.withColumn("_all", F.xxhash64(*columns)).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    plan = mix(rows, "_all", "_row").where("copies > 0").select("_row", F.col("copies").cast("int").alias("_c"))
+    return rows.join(plan, "_row").select(*[F.col(c) for c in columns], F.explode(F.array_repeat(F.lit(0), F.col("_c"))).alias("_copy")).drop("_copy")

@@ -123,6 +123,16 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixed_keeps_the_copies_of_equal_rows(spark):
+    """The cut falls inside a run of equal rows, without and with a doc_id, and no copy is lost."""
+    same = [(None, "one two three four", "en", "a", 0)] * 300 + [(7, "five six seven", "en", "b", 0)] * 200
+    df = spark.createDataFrame(same, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    plan, got = defaultdict(int), Counter(r.source for r in mixing.mixed(df).collect())
+    for r in mixing.mix(df).collect():
+        plan[r.source] += r.copies
+    assert got == plan and plan["a"] % 300 and abs(4 * plan["a"] + 3 * plan["b"] - 1.5 * 1800) <= 4
+
+
 def test_shares_stop_at_twice_the_size():
     t = mixing.shares([100, 10, 50], [3, 1, 2], 240, 2.0)
     assert sum(t) == pytest.approx(240) and all(x <= 2 * s + 1e-9 for x, s in zip(t, [100, 10, 50])) and t[1] == 20
