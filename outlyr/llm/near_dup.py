@@ -15,7 +15,7 @@ components, so pairs need be checked only until the components are known:
 2. rounds in which a member of another component than its bucket's hub, which changes by
    round and bucket, is checked against it;
 3. all of different components in one bucket meet in a join that compares their sets itself, if
-   sizes and a 384-bit sketch of the signatures (4.5 standard deviations below 0.75) leave it open, so it
+   sizes and a 384-bit sketch of the signatures (6 standard deviations below 0.75) leave it open, so it
    makes a row for a link and none for other pairs. Buckets with more than MOST members are first split
    by every other band: a linked pair shares at least one more band with the same near-certainty, so
    nothing is capped.
@@ -38,8 +38,8 @@ from outlyr.llm.common import shared_dir, written
 
 SHINGLE, BANDS, ROWS = 5, 64, 6
 K, D = BANDS * ROWS, 1 << 20
-#: Bits of the sketch that a pair of similarity 0.75 agrees in: 7/8 of K, less 4.5 deviations.
-AGREE = int(K * 0.875 - 4.5 * (K * 0.875 * 0.125) ** 0.5)
+#: Bits of the sketch that a pair of similarity 0.75 agrees in: 7/8 of K, less 6 deviations.
+AGREE = int(K * 0.875 - 6 * (K * 0.875 * 0.125) ** 0.5)
 PERCENT, MOST, ROUNDS, PARTNERS = 75, 1000, 2, 4
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond it texts are shuffled.
 FEW = 1_000_000

@@ -194,6 +194,15 @@ def test_near_duplicate_chain(spark, monkeypatch):
     check_components(spark.createDataFrame([(*x, "en", "a", 0) for x in items], "doc_id long, text string, lang string, source string, n_chars long"), items)
 
 
+def test_near_duplicates_with_unlike_sketches(spark):
+    """A pair at 0.75 whose sketches agree in 304 of 384 bits, fewer than 4.5 deviations allow, is a link."""
+    w = [f"w53127x{j}" for j in range(8)]
+    items = [(1, " ".join(w[:7])), (2, " ".join(w))]
+    x, y = (near_dup._sketch(near_dup.signature(near_dup.Shingler().sets(t))) for _, t in items)
+    assert 384 - sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) == 304
+    check_components(spark.createDataFrame(items, "doc_id long, text string"), items)
+
+
 # 4
 
 
