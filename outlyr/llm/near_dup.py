@@ -16,9 +16,9 @@ components, so pairs need be checked only until the components are known:
    round and bucket, is checked against it;
 3. all of different components in one bucket meet in a join that compares their sets itself, if
    sizes and a 384-bit sketch of the signatures (6 standard deviations below 0.75) leave it open, so it
-   makes a row for a link and none for other pairs. Buckets with more than MOST members are first split
-   by every other band: a linked pair shares at least one more band with the same near-certainty, so
-   nothing is capped.
+   makes a row for a link and none for other pairs. In a bucket, the members outside its largest
+   component are compared with all, in blocks of about MOST against MOST members, so no bucket has to
+   fit a task and nothing is capped.
 
 Defined cases: texts without words have the empty set and no links; fewer than 5 words are one
 shingle; rows of one doc_id are one node; a null doc_id has no links, component null, and is kept.
@@ -258,18 +258,23 @@ def _placed(shared: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _rest(shared: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """All pairs of one bucket and two components whose sets, as 32-bit hashes, reach the similarity."""
+    """All pairs of one bucket and two components whose sets, as 32-bit hashes, reach the similarity.
+
+    Of such a pair one at least is outside the bucket's largest component. These few are dealt into blocks,
+    as are all members, and each block of the one meets each of the other.
+    """
     placed = _placed(shared, found)
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("now")).where("lo <> hi").select("bucket", "now")
-    left = written(placed.join(mixed, "bucket").join(nodes, "id").select("bucket", "id", "c", "n", "sketch", "now"), "left")
-    small = left.where(F.col("now") <= MOST).select("bucket", "id", "c", "n", "sketch")
-    large = left.where(F.col("now") > MOST).select("bucket", "id", "c", "n", "sketch")
-    again = shared.select(F.col("id").alias("_id"), F.col("bucket").alias("_other"))
-    split = large.join(again, (F.col("id") == F.col("_id")) & (F.col("bucket") != F.col("_other"))).select(F.xxhash64(F.least("bucket", "_other"), F.greatest("bucket", "_other")).alias("bucket"), "id", "c", "n", "sketch")
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+    left = written(placed.join(mixed, "bucket").join(nodes, "id").select("bucket", "id", "c", "n", "sketch"), "left")
+    sizes = left.groupBy("bucket", "c").agg(F.count("*").alias("_k")).groupBy("bucket").agg(F.sum("_k").alias("now"), F.max(F.struct("_k", "c")).alias("top"))
+    sizes = sizes.select("bucket", F.col("top.c").alias("top"), F.ceil(F.col("now") / MOST).alias("of_all"), F.ceil((F.col("now") - F.col("top._k")) / MOST).alias("of_few"))
     short = shingle_sets(_texts(docs, left.select(F.col("id").alias("doc_id")).distinct())).select(F.col("id").alias("_s"), F.transform("set", lambda x: F.shiftright(x, 32).cast("int")).alias("set"))
-    rows = written(small.union(split.distinct()).join(short, F.col("id") == F.col("_s")).drop("_s"), "rest")
-    side = lambda x: rows.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "c", "n", "sketch", "set")])
+    rows = written(left.join(sizes, "bucket").join(short, F.col("id") == F.col("_s")).drop("_s"), "rest")
+    block = lambda of: F.pmod(F.xxhash64("id", F.lit(of)), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    side = lambda x, df, p, q: df.select("bucket", p.alias("p"), q.alias("q"), *[F.col(c).alias(f"{x}_{c}") for c in ("id", "c", "n", "sketch", "set")])
+    a, b = side("a", rows, block("of_all"), every("of_few")), side("b", rows.where("c <> top"), every("of_all"), block("of_few"))
     inter = F.size(F.array_intersect("a_set", "b_set")) + 1  # two hashes of 64 bits may be one of 32
     alike = F.when(_close("a", "b"), 100 * inter >= PERCENT * (F.col("a_n") + F.col("b_n") - inter)).otherwise(F.lit(False))
-    both = side("a").join(side("b"), "bucket").where((F.col("a_id") < F.col("b_id")) & (F.col("a_c") != F.col("b_c")) & alike)
-    return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    both = a.join(b, ["bucket", "p", "q"]).where((F.col("a_c") != F.col("b_c")) & alike)
+    return both.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()

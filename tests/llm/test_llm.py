@@ -203,6 +203,19 @@ def test_near_duplicates_with_unlike_sketches(spark):
     check_components(spark.createDataFrame(items, "doc_id long, text string"), items)
 
 
+def test_large_buckets_need_no_second_band(spark, monkeypatch):
+    """Links that share one bucket alone are found where it has more than MOST members, whichever component is largest."""
+    w = [f"w{j}" for j in range(40)]
+    texts = {i: " ".join(f"t{i}x{j}" for j in range(40)) for i in range(30)} | {30: " ".join(w), 31: " ".join([*w[:-1], "end"]), 32: " ".join([*w, "more"])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    shared = spark.createDataFrame([(5, i, 33) for i in texts] + [(100 + i, i, 2) for i in texts], "bucket long, id long, members long")
+    nodes = near_dup.signatures(docs).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    monkeypatch.setattr(near_dup, "MOST", 5)
+    for known in ({30: 30, 32: 30}, {i: 0 for i in range(20)} | {30: 30, 32: 30}):
+        found = spark.createDataFrame(list(known.items()), "node long, component long")
+        assert {(r.a, r.b) for r in near_dup._rest(shared, found, nodes, docs).collect()} == {(30, 31), (31, 32)}
+
+
 # 4
 
 
