@@ -11,7 +11,8 @@ the BLAKE2b hash of its bytes and stored once. A store is a folder of three Parq
 * ``manifest``: for each recipe file its number, first start, documents, tokens and the Merkle root
   of its documents' roots.
 
-Reading verifies: each payload is hashed again, each recipe's root and each manifest row is recomputed.
+Reading verifies: each payload is hashed again, each recipe's root and each manifest row is recomputed,
+no manifest row or recipe file is without the other, and every recipe finds all its chunks, in its sizes.
 
 Encoding is the library's. A text of plain Latin letters is encoded by its words, as neither
 normalisation nor pre-tokenisation looks across white space there; the library encodes each distinct word,
@@ -239,11 +240,31 @@ def _file(part, state) -> pd.DataFrame:
 
 def read_ids(spark: SparkSession, store: str) -> DataFrame:
     """doc_id, start and ids (packed as unsigned 32-bit) of every document, put together from the chunks."""
-    links = _recipes(spark, store).select("doc_id", "start", F.posexplode("digests").alias("pos", "digest"))
-    payload = F.struct("pos", "n", "payload")
-    rows = links.join(_chunks(spark, store), "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(payload)).alias("c"))
-    whole = F.udf(lambda c: b"".join(unpack(bytes(x["payload"]), x["n"]).tobytes() for x in c), T.BinaryType())
-    return rows.select("doc_id", "start", whole("c").alias("ids"))
+    links = _sound(spark, store).select("doc_id", "start", "n_tokens", F.posexplode_outer("digests").alias("pos", "digest"))
+    payload = F.struct("pos", "digest", "n", "payload")
+    rows = links.join(_chunks(spark, store), "digest", "left").groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(payload)).alias("c"))
+
+    def whole(c, n_tokens):
+        for x in c:
+            if x["payload"] is None:
+                raise ValueError("the store lacks a chunk of a recipe")
+            if address(bytes(x["payload"])) != bytes(x["digest"]):
+                raise ValueError("a chunk does not have its digest")
+        ids = b"".join(unpack(bytes(x["payload"]), x["n"]).astype("<u4").tobytes() for x in c)
+        if len(ids) != 4 * n_tokens:
+            raise ValueError("a document does not have its number of tokens")
+        return ids
+
+    return rows.select("doc_id", "start", F.udf(whole, T.BinaryType())("c", "n_tokens").alias("ids"))
+
+
+def _sound(spark: SparkSession, store: str) -> DataFrame:
+    """The recipes, held against the manifest and their own roots."""
+    recipes = _recipes(spark, store)
+    _verify_manifest(spark, store, recipes)
+    root = F.udf(lambda x: merkle([bytes(d) for d in x]), T.BinaryType())
+    sound = F.when(root("digests") == F.col("root"), F.lit(True)).otherwise(F.raise_error(F.lit("a recipe does not have its root")))
+    return recipes.select("doc_id", "start", "n_tokens", "digests", "sizes", sound.alias("sound")).where("sound")
 
 
 _POLY = np.uint64(0xEDB88320)
@@ -288,23 +309,28 @@ def checked(spark: SparkSession, store: str) -> DataFrame:
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if b["n"].isna().any():
+                raise ValueError("the store lacks a chunk of a recipe")
+            if (b["n"] != b["size"]).any():
+                raise ValueError("a chunk does not have its size")
             crc = shifted(b["crc"].to_numpy(np.uint64), b["behind"].to_numpy(np.uint64))
-            yield b[["doc_id", "start", "n"]].assign(crc=crc.astype(np.int64))
+            yield b[["doc_id", "start", "n_tokens", "n"]].assign(crc=crc.astype(np.int64))
 
-    recipes = _recipes(spark, store)
-    _verify_manifest(spark, store, recipes)
-    root = F.udf(lambda x: merkle([bytes(d) for d in x]), T.BinaryType())
-    sound = recipes.select("doc_id", "start", "n_tokens", "digests", "sizes", F.when(root("digests") == F.col("root"), F.lit(True)).otherwise(F.raise_error(F.lit("a recipe does not have its root"))).alias("sound")).where("sound")
+    sound = _sound(spark, store)
     behind = F.transform("sizes", lambda s, i: F.aggregate(F.slice("sizes", i + 2, F.size("sizes")), F.lit(0).cast("long"), lambda a, x: a + x) * 4)
-    links = sound.select("doc_id", "start", F.explode(F.arrays_zip(F.col("digests").alias("digest"), behind.alias("behind"))).alias("l")).select("doc_id", "start", F.col("l.digest").alias("digest"), F.col("l.behind").alias("behind"))
+    zipped = F.arrays_zip(F.col("digests").alias("digest"), F.col("sizes").alias("size"), behind.alias("behind"))
+    links = sound.select("doc_id", "start", "n_tokens", F.explode_outer(zipped).alias("l")).select("doc_id", "start", "n_tokens", "l.digest", "l.size", "l.behind")
     sums = _chunks(spark, store).mapInPandas(verify, "digest binary, n long, crc long")
-    rows = links.join(sums, "digest").select("doc_id", "start", "n", "crc", "behind").mapInPandas(place, "doc_id long, start long, n long, crc long")
-    return rows.groupBy("start").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = links.join(sums, "digest", "left").mapInPandas(place, "doc_id long, start long, n_tokens long, n long, crc long")
+    found = rows.groupBy("start").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n").alias("_n"), F.bit_xor("crc").alias("ids_crc32"))
+    whole = F.when(F.col("_n") == F.col("n_tokens"), F.lit(True)).otherwise(F.raise_error(F.lit("a document does not have its number of tokens")))
+    return found.where(whole).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def _verify_manifest(spark: SparkSession, store: str, recipes: DataFrame) -> None:
     stated = spark.read.parquet(f"{store}/manifest")
-    if not stated.exceptAll(_manifest(recipes)).isEmpty():
+    both = stated.withColumn("_d", F.lit(1)).unionByName(_manifest(recipes).withColumn("_d", F.lit(-1)))
+    if not both.groupBy(*stated.columns).agg(F.sum("_d").alias("_d")).where("_d <> 0").isEmpty():
         raise ValueError("the manifest is not that of the recipes")
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -395,6 +396,24 @@ def test_token_store(spark, docs, empty, tmp_path):
     assert raw.count() == raw.select("key").distinct().count()
 
 
+def test_incomplete_stores_are_errors(spark, docs, tmp_path):
+    """A lost chunk and a manifest row without its recipes (and the reverse) are errors of both readers."""
+    at = [tmp_path / x for x in ("store", "chunk", "manifest", "recipes")]
+    token_store.write(docs, P.path("word_bpe_49k.json"), 1, f"file://{at[0]}")
+    for x in at[1:]:
+        shutil.copytree(at[0], x)
+    where, lost = {1: "raw/kind=chunk", 2: "manifest", 3: "recipes"}, {1: "key", 2: "part", 3: "part"}
+    for k, name in where.items():
+        full = spark.read.parquet(f"file://{at[0]}/{name}")
+        least = full.agg(F.min(lost[k])).first()[0]
+        shutil.rmtree(at[k] / name)
+        full.where(F.col(lost[k]) != F.lit(least)).write.parquet(f"file://{at[k]}/{name}")
+        for read in (token_store.checked, token_store.read_ids):
+            with pytest.raises(Exception, match="lacks a chunk" if k == 1 else "the manifest is not"):
+                read(spark, f"file://{at[k]}").collect()
+    assert token_store.checked(spark, f"file://{at[0]}").count() == token_store.read_ids(spark, f"file://{at[0]}").count() == len(rows())
+
+
 def test_words_are_encoded_as_whole_texts():
     path = P.path("word_bpe_49k.json")
     e = token_store.WordEncoder(path)
