@@ -30,8 +30,10 @@ WINDOW = 8
 ALPHA, DELTA, PRICE = 0.02, 0.05, 5.0
 #: Cutoffs of every rule, from loose to strict.
 GRID = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.04)
-#: The strata with most labels take part; so the table of cutoffs is bounded.
+#: The SQL's limit alone: the query keeps all strata, and equals the SQL up to so many.
 MAX_STRATA = 1000
+#: Up to so many strata, their cutoffs are broadcast.
+FEW = 10_000
 NONE = "\x00"
 
 
@@ -113,7 +115,7 @@ def _tail(n: Column, k: Column, p: float) -> Column:
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row for each stratum: ``_stratum`` and ``_cut``, a map from rule to cutoff.
 
-    ``measured`` has doc_id, lang and ``_m``. At most MAX_STRATA rows.
+    ``measured`` has doc_id, lang and ``_m``. All strata with labels take part.
     """
     names = list(rules())
     truth = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q"))
@@ -123,10 +125,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     # the number of grid cutoffs that a value exceeds: it is rejected by the last _level of them
     counted = levels.groupBy("_stratum", "_rule", "_level").agg(F.count_if(F.col("_q") > 0).alias("good"), F.count_if(F.col("_q") <= 0).alias("bad"))
     steps = counted.groupBy("_stratum", "_rule").agg(F.collect_list(F.struct("_level", "good", "bad")).alias("_c"), F.sum("good").alias("n"), F.sum("bad").alias("n_bad"))
-    strata = steps.groupBy("_stratum").agg(F.max(F.col("n") + F.col("n_bad")).alias("_size"))
-    strata = strata.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("_size"), "_stratum"))).where(F.col("_r") <= MAX_STRATA).select("_stratum", F.count("*").over(Window.partitionBy()).alias("_strata"))
+    strata = steps.agg(F.count_distinct("_stratum").alias("_strata"))
     above = lambda what: F.expr(f"aggregate(filter(_c, e -> e._level >= {len(GRID)} - _j), 0L, (a, e) -> a + e.{what})")
-    tested = steps.join(strata, "_stratum").withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))))
+    tested = steps.crossJoin(F.broadcast(strata)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))))
     tested = tested.select("_stratum", "_rule", "_j", "_strata", "n", "n_bad", above("good").alias("k"), above("bad").alias("k_bad"))
     passed = _tail(F.col("n"), F.col("k"), alpha / len(names)) <= F.lit(delta / len(names)) / F.col("_strata")
     chain = Window.partitionBy("_stratum", "_rule").orderBy("_j")
@@ -147,15 +148,15 @@ def _rejects() -> Column:
 
 
 def _judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``measured`` with ``_kept``; the cutoffs have at most MAX_STRATA rows, so they are broadcast."""
-    joined = measured.withColumn("_stratum", F.coalesce("lang", F.lit(NONE))).join(F.broadcast(cuts), "_stratum", "left")
+    """``measured`` with ``_kept``; ``cuts`` is a written table, broadcast if it has few rows."""
+    joined = measured.withColumn("_stratum", F.coalesce("lang", F.lit(NONE))).join(F.broadcast(cuts) if cuts.count() <= FEW else cuts, "_stratum", "left")
     return joined.withColumn("_kept", ~base_failed() & ~_rejects())
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document. Texts are read once."""
     measured = written(metrics(docs, ["doc_id", "lang"]), "quality")
-    done = _judged(measured, cutoffs(measured, labels))
+    done = _judged(measured, written(cutoffs(measured, labels), "cutoffs"))
     shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return done.select("doc_id", *[F.col("_m")[c].alias(c) for c in shown], base_failed().alias("base_failed"), F.col("_kept").alias("kept"))
 

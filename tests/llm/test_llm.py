@@ -104,6 +104,21 @@ def test_quality_cutoffs_control_risk(spark):
     assert one == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
 
 
+def test_quality_cutoffs_of_all_strata(spark, monkeypatch):
+    """More strata than a bound on their number would leave: every one gets its cutoffs."""
+    monkeypatch.setattr(quality, "MAX_STRATA", 1)
+    zero = ["n_dup_lines", "n_repeat_words", "n_capitals", "n_exclaims"]
+    n = lambda x: F.lit(x).cast("long")
+    good = F.col("id") % 10 > 0
+    m = F.struct(n(40).alias("n_words"), n(200).alias("word_chars"), F.when(good, n(0)).otherwise(n(150)).alias("n_symbols"), n(3).alias("n_lines"), *[n(0).alias(x) for x in zero])
+    df = spark.range(4800).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "en").otherwise("fr").alias("lang"), m.alias("_m"))
+    lab = spark.range(4800).select(F.col("id").alias("doc_id"), good.cast("int").alias("quality"))
+    assert {r._stratum for r in quality.cutoffs(df, lab).collect()} == {"en", "fr"}
+    monkeypatch.setattr(quality, "FEW", 0, raising=False)  # without a broadcast too
+    done = quality._judged(df, quality.cutoffs(df, lab))
+    assert done.where("_kept").count() == 4320
+
+
 # 2
 
 
