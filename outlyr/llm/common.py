@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,9 +41,39 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: The folders that ``written`` has made inside each ``scratch`` that is open.
+_open: list[dict[str, bool]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, the tables that ``written`` has made inside, but for those given to the function it yields.
+
+    What is kept is what a result reads that leaves the block; an outer ``scratch`` takes it over.
+    """
+    own: dict[str, bool] = {}
+    _open.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own[next(reversed(own))] = True  # the one written last
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.remove(own)
+        for path, kept in own.items():
+            if not kept:
+                drop_path(spark, path)
+            elif _open:
+                _open[-1][path] = False
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and nothing is computed twice."""
     path = f"{shared_dir(df.sparkSession)}/outlyr/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1][path] = False
     w = df.write
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -68,6 +100,30 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(blank_spaces(text), F.lit("")), " "), lambda w: w != F.lit(""))
 
 
+#: A key is hot if it has more than one in HOT of all rows; so there are HOT hot keys at most.
+HOT = 10_000
+#: Up to so many narrow rows (a few numbers each) are broadcast.
+FEW = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it is counted to have FEW rows at most; otherwise it is shuffled."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def keyed_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined on ``on`` to ``right``, which is narrow, written, and has one row for each key.
+
+    ``rows`` is right's column with the key's number of rows in ``left``, and ``total`` the number of all
+    of them. Rows of hot keys stay where they are: their keys, HOT at most by definition, are
+    broadcast. All other keys are joined by shuffle, and none of them fills a task.
+    """
+    hot = F.col(rows) * HOT > total
+    top = F.broadcast(right.where(hot))
+    rest = left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti")
+    return left.join(top, on).unionByName(rest.join(right.where(~hot), on, how))
+
+
 def uniform(*parts: Column) -> Column:
     """A number in (0, 1) that depends on the given values alone."""
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))

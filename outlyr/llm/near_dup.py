@@ -6,22 +6,32 @@ k-th coordinate: the least value over the set. One table and its wrap-around ser
 the coordinates of a shingle are K neighbouring cells.
 
 Candidates. K = BANDS * ROWS coordinates; a pair of similarity s shares a band with probability
-1 - (1 - s^ROWS)^BANDS: above 1 - 4e-6 at s = 0.75. Equal sets are one class from the start.
+1 - (1 - s^ROWS)^BANDS: above 1 - 4e-6 at s = 0.75. Equal sets are one class, which one document
+speaks for.
 
 Verification is on full sets: |A & B| * 100 >= 75 * |A | B|. What is asked for is the classes'
 components, so pairs need be checked only until the components are known:
-1. in each bucket (a band's value), each member against the most central one, which shares most
-   buckets with others: of a group of copies, that is the one most like all;
-2. rounds in which a member of another component than its bucket's hub, which changes by
-   round and bucket, is checked against it;
-3. all of different components in one bucket meet in a join that compares their sets itself, if
-   sizes and a 384-bit sketch of the signatures (6 standard deviations below 0.75) leave it open, so it
-   makes a row for a link and none for other pairs. In a bucket, the members outside its largest
-   component are compared with all, in blocks of about MOST against MOST members, so no bucket has to
-   fit a task and nothing is capped.
+1. in each bucket (a band's value) each member is offered the most central one, which shares most
+   buckets with others; of a document's offers the PARTNERS most alike by sketch are checked;
+2. while the pairs that step 3 would look at are more than LIGHT times the bucket rows, and each
+   round halves them, members outside their bucket's largest component are offered one of its
+   members, another in each round;
+3. every pair that is left, of one bucket and two components, is looked at, in a join that makes rows
+   for links alone: members outside the bucket's largest component are held against all, in blocks
+   of about MOST against MOST members. Sizes and a 384-bit sketch of the signatures (6 standard
+   deviations below 0.75) decide most; what they leave open is compared by sets of 32-bit hashes, with
+   as much slack as hashes fall together, in the first band that the pair shares alone. So
+   nothing is capped, no bucket has to fit a task, and no link of one bucket is lost.
+Links are confirmed on full sets, which are joined to chosen pairs, at most EACH pairs to one copy of a set.
+
+Components are kept as a table that each step's links change: links join components, and the
+components of that small graph are found by rounds of pointers.
 
 Defined cases: texts without words have the empty set and no links; fewer than 5 words are one
-shingle; rows of one doc_id are one node; a null doc_id has no links, component null, and is kept.
+shingle; rows of one doc_id are one node; a null doc_id has no links, component null, and is kept;
+repeated rows give one result row each. An empty table gives an empty one. Texts of any length are
+taken whole: a set takes 8 bytes a shingle. Extra columns take no part, whatever their names;
+``survivors`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -34,15 +44,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outlyr.llm.common import shared_dir, written
+from outlyr.llm.common import few, keyed_join, scratch, written
 
 SHINGLE, BANDS, ROWS = 5, 64, 6
 K, D = BANDS * ROWS, 1 << 20
 #: Bits of the sketch that a pair of similarity 0.75 agrees in: 7/8 of K, less 6 deviations.
 AGREE = int(K * 0.875 - 6 * (K * 0.875 * 0.125) ** 0.5)
-PERCENT, MOST, ROUNDS, PARTNERS = 75, 1000, 2, 4
-#: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond it texts are shuffled.
-FEW = 1_000_000
+PERCENT, PARTNERS, EACH = 75, 4, 1000
+#: Members and shingles of a block in which all pairs are looked at.
+MOST, MOST_SHINGLES = 1000, 4_000_000
+#: Pairs looked at a bucket row that need no further round, and rounds at most.
+LIGHT, ROUNDS = 16, 6
 _CELLS = 4096
 
 
@@ -111,7 +123,7 @@ def _sketch(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hi, set_lo (a 128-bit hash of the set), bands and sketch."""
+    """row, doc_id, n_shingles, set_hi, set_lo (a 128-bit hash of the set), bands and sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -127,10 +139,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 else:
                     rows.append((0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)))
             out = pd.DataFrame(rows, columns=["n_shingles", "set_hi", "set_lo", "bands", "sketch"])
-            yield out.assign(doc_id=b["doc_id"].to_numpy())
+            yield out.assign(doc_id=b["doc_id"].to_numpy(), row=b["row"].to_numpy())
 
-    schema = "n_shingles long, set_hi long, set_lo long, bands array<long>, sketch array<long>, doc_id long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    schema = "n_shingles long, set_hi long, set_lo long, bands array<long>, sketch array<long>, doc_id long, row long"
+    return docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row")).mapInPandas(run, schema)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -149,132 +161,215 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Every round points nodes at the least root among their neighbours' and shortens the pointers;
     the rounds grow with the logarithm of the longest path. Each round is written to the shared
-    folder, and only a count comes to the driver.
+    folder, and only counts come to the driver.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     e = written(both, name)
-    label = written(e.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("c")).withColumnRenamed("a", "node"), name)
+    total = e.count()
+    label = written(e.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("c"), F.count("*").alias("n")), name)
     while True:
-        # the least label around each node
-        seen = e.join(label.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
-        near = label.join(seen, label["node"] == seen["a"]).select("node", "c", F.least("c", "m").alias("m"))
+        # the least label around each node; a node has as many edges as it has neighbours
+        seen = keyed_join(e, label.select(F.col("node").alias("b"), F.col("c").alias("cb"), "n"), ["b"], "n", total)
+        near = label.join(seen.groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("m")), "node")
+        near = written(near.select("node", "n", "c", F.least("c", "m").alias("m")), name)
         # a root takes the least label that any of its members sees, and every node then follows its root
-        roots = near.groupBy("c").agg(F.min("m").alias("r"))
-        moved = near.join(roots, "c").select("node", F.col("c").alias("old"), F.least("m", "r").alias("c"))
-        moved = written(moved, name)
-        jump = moved.select(F.col("node").alias("_n"), F.col("c").alias("_c"))
-        short = moved.join(jump, moved["c"] == jump["_n"], "left").select("node", F.coalesce("_c", "c").alias("c"), "old")
-        short = written(short, name)
-        label = short.select("node", "c")
+        roots = near.groupBy("c").agg(F.min("m").alias("r"), F.count("*").alias("k"))
+        moved = keyed_join(near, roots, ["c"], "k", total)
+        moved = written(moved.select("node", "n", F.col("c").alias("old"), F.least("m", "r").alias("c")), name)
+        sizes = moved.groupBy("c").agg(F.count("*").alias("k"))
+        jump = sizes.join(moved.select(F.col("node").alias("c"), F.col("c").alias("to")), "c")
+        short = keyed_join(moved, jump, ["c"], "k", total)
+        short = written(short.select("node", "n", F.coalesce("to", "c").alias("c"), "old"), name)
+        label = short.select("node", "c", "n")
         if short.where("c <> old").isEmpty():
-            return label.withColumnRenamed("c", "component")
+            return label.select("node", F.col("c").alias("component"))
+
+
+def merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components ``found`` (node, component; a node that is missing is its own) joined by ``links``.
+
+    ``links`` has ca and cb, the components of two ends.
+    """
+    moved = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "merged")
+    if found is None:
+        return moved
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = found.join(few(to), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return written(old.unionByName(moved.join(few(found.select("node")), "node", "left_anti")), "found")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+    """The rows of ``pairs`` (a, b and more) whose full sets reach the similarity.
+
+    A set that many pairs ask for is copied once for each EACH of them, so that no task holds all
+    pairs of a document.
+    """
     pairs = written(pairs.distinct(), name)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = shingle_sets(_texts(docs, ids))
-    right = pairs.join(sets.withColumnRenamed("id", "b").withColumnRenamed("set", "sb"), "b")
-    both = right.join(sets.withColumnRenamed("id", "a").withColumnRenamed("set", "sa"), "a")
+    ends = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), name)
+    sets = shingle_sets(_texts(docs, ends.select("doc_id")))
+    # ids with more than EACH pairs: at most 2 / EACH as many as pairs
+    busy = few(ends.where(F.col("n") > EACH).select(F.col("doc_id").alias("id"), F.ceil(F.col("n") / EACH).alias("copies")))
+    copied = sets.join(busy, "id", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)))
+
+    def attached(df: DataFrame, end: str, other: str, out: str) -> DataFrame:
+        dealt = df.withColumn("id", F.col(end)).join(busy, "id", "left").withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))))
+        return dealt.drop("copies").join(copied.select("id", "copy", F.col("set").alias(out)), ["id", "copy"]).drop("id", "copy")
+
+    both = attached(attached(pairs, "b", "a", "sb"), "a", "b", "sa")
     inter = F.size(F.array_intersect("sa", "sb"))
-    return written(both.where(100 * inter >= PERCENT * (F.size("sa") + F.size("sb") - inter)).select("a", "b").distinct(), name)
+    return written(both.where(100 * inter >= PERCENT * (F.size("sa") + F.size("sb") - inter)).select(*pairs.columns).distinct(), name)
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts of some doc_ids. Ids are broadcast if they are few, so that the other texts stay where they are."""
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi").select("doc_id", "text")
+    return docs.select(F.col("doc_id").cast("long"), "text").join(few(ids), "doc_id", "left_semi")
 
 
-def _close(x: str, y: str) -> Column:
-    """Whether sizes and sketches of two sides leave a similarity of 0.75 open."""
-    same = sum((F.bit_count(F.get(f"{x}_sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}_sketch", F.lit(i)))) for i in range(K // 64)), F.lit(0))
-    small, large = F.least(f"{x}_n", f"{y}_n"), F.greatest(f"{x}_n", f"{y}_n")
-    return (100 * small >= PERCENT * large) & (same <= K - AGREE)
+def _agree(x: str, y: str) -> Column:
+    """The bits that two sketches have in common."""
+    return F.lit(K) - sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(K // 64)), F.lit(0))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
-    shared_dir(docs.sparkSession)
-    sig = written(signatures(docs), "signatures")
+def _near(x: str, y: str) -> Column:
+    """Whether two sizes leave the similarity open."""
+    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+
+
+def buckets(sig: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of equal sets (set_hi, set_lo, rep, rows), the rows that speak for them (id, n, sketch, bands), and shared buckets (bucket, band, id, n, members)."""
     real = sig.where("n_shingles > 0 and doc_id is not null")
-    reps = real.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
-    # members of a class follow its least doc_id; a doc_id of several rows links their classes
-    own = real.select("doc_id", "set_hi", "set_lo").join(reps, ["set_hi", "set_lo"]).select("doc_id", "rep")
-    equal = written(own.where("doc_id <> rep").distinct(), "equal")
-    # one row of each class speaks for it in the buckets
-    firsts = real.join(reps.select("set_hi", "set_lo", F.col("rep").alias("doc_id")), ["set_hi", "set_lo", "doc_id"]).dropDuplicates(["set_hi", "set_lo"]).select("doc_id", "n_shingles", "bands", "sketch")
-    spread = firsts.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    several = spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    shared = written(spread.join(several, "bucket").select("bucket", "id", "members"), "buckets")
-    nodes = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
-
-    def close_pairs(pairs: DataFrame) -> DataFrame:
-        a = nodes.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
-        b = nodes.select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
-        return pairs.join(b, "b").join(a, "a").where(_close("a", "b")).select("a", "b")
-
-    weight = shared.groupBy("id").agg(F.sum("members").alias("_w"))
-    central = shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("_w", (-F.col("id")).alias("_neg"))).alias("_h")).select("bucket", (-F.col("_h._neg")).alias("hub"))
-    shared = written(shared.select("bucket", "id", "members").join(central, "bucket"), "buckets")
-    links = verified(close_pairs(shared.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()), docs, "links")
-    found = components(links)
-    for k in range(ROUNDS):
-        placed = _placed(shared, found)
-        mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("bucket", "id", F.lit(k)).alias("h"), F.col("id"), F.col("c"))).alias("hub")).where("lo <> hi")
-        offered = placed.join(mixed, "bucket").where(F.col("c") != F.col("hub.c"))
-        pairs = offered.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("hub.id")), 1, PARTNERS).alias("hubs")).select(F.explode("hubs").alias("h"), "id")
-        pairs = close_pairs(pairs.select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b")).distinct())
-        more = verified(pairs, docs, f"links{k}")
-        if more.isEmpty():
-            break
-        links = written(links.union(more).distinct(), "links")
-        found = components(links)
-    more = verified(_rest(shared, found, nodes, docs), docs, "rest")
-    if not more.isEmpty():
-        links = links.union(more)
-    found = components(links.select("a", "b").union(equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    out = sig.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    first = F.min(F.struct("doc_id", "row")).alias("f")
+    sets = written(real.groupBy("set_hi", "set_lo").agg(first, F.count("*").alias("rows")).select("set_hi", "set_lo", F.col("f.doc_id").alias("rep"), F.col("f.row").alias("row"), "rows"), "sets")
+    firsts = real.join(few(sets.select("row")), "row", "left_semi")
+    nodes = written(firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands"), "nodes")
+    spread = nodes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
+    several = written(spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "several")
+    shared = keyed_join(spread, several, ["bucket"], "members", BANDS * sets.count())
+    return sets, nodes, written(shared.select("bucket", "band", "id", "n", "members"), "buckets")
 
 
-def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with the same columns, that stay: one of each group, by least doc_id.
+def _with_hub(tops: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``tops`` with the size and sketch of their column hub."""
+    return written(tops.join(nodes.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hub"), "hubs")
 
-    Of several rows of one kept doc_id one stays, unless the doc_id is null.
-    """
-    columns = docs.columns
-    gone = classes(docs).where("not kept").select("doc_id").distinct()
-    rows = docs.join(gone, "doc_id", "left_anti").select(*columns)
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = rows.join(again, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"])
-    return rows.join(again, "doc_id", "left_anti").select(*columns).unionByName(once)
+
+def _central(shared: DataFrame) -> DataFrame:
+    """bucket, members and hub: the member that shares most buckets with others, the least id of equals."""
+    weight = shared.groupBy("id").agg(F.sum("members").alias("w"))
+    top = shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("w", (-F.col("id")).alias("neg"), "members")).alias("h"))
+    return top.select("bucket", F.col("h.members").alias("members"), (-F.col("h.neg")).alias("hub"))
+
+
+def _chosen(offers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b and their components ca, cb: of each document's ``offers`` (id, c and hub, hc, hub_n, hub_sketch) the PARTNERS most alike."""
+    own = offers.join(nodes.select("id", "n", "sketch"), "id").where(_near("n", "hub_n")).withColumn("agree", _agree("sketch", "hub_sketch"))
+    best = own.where(F.col("agree") >= AGREE).groupBy("id", "c").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "hub", "hc")), False), 1, PARTNERS).alias("h"))
+    pairs = best.select("id", "c", F.explode("h").alias("h"))
+    return pairs.select(F.least("id", "h.hub").alias("a"), F.greatest("id", "h.hub").alias("b"), F.col("c").alias("ca"), F.col("h.hc").alias("cb"))
 
 
 def _placed(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """bucket, id, members and the component so far."""
-    return shared.join(found, shared["id"] == found["node"], "left").select("bucket", "id", "members", F.coalesce("component", "id").alias("c"))
+    """bucket, band, id, n and the component so far."""
+    at = shared.join(found.withColumnRenamed("node", "id"), "id", "left")
+    return written(at.select("bucket", "band", "id", "n", F.coalesce("component", "id").alias("c")), "placed")
+
 
+def _mixed(placed: DataFrame, k: int) -> DataFrame:
+    """Buckets of several components: their rows and shingles (now, size), the largest component (top, top_rows, top_size) and the k-th choice of its members (hub)."""
+    by = placed.groupBy("bucket", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("size"), F.min(F.struct(F.xxhash64("bucket", "id", F.lit(k)).alias("h"), "id")).alias("pick"))
+    top = by.groupBy("bucket").agg(F.sum("rows").alias("now"), F.sum("size").alias("size"), F.count("*").alias("parts"), F.max(F.struct("rows", "c", "size", "pick")).alias("t")).where("parts > 1")
+    return written(top.select("bucket", "now", "size", F.col("t.rows").alias("top_rows"), F.col("t.size").alias("top_size"), F.col("t.c").alias("top"), F.col("t.pick.id").alias("hub")), "mixed")
 
-def _rest(shared: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """All pairs of one bucket and two components whose sets, as 32-bit hashes, reach the similarity.
 
-    Of such a pair one at least is outside the bucket's largest component. These few are dealt into blocks,
-    as are all members, and each block of the one meets each of the other.
+def _left(placed: DataFrame, mixed: DataFrame, nodes: DataFrame, docs: DataFrame, total: int) -> DataFrame:
+    """a, b, ca, cb of all pairs of one bucket and two components whose sets, as 32-bit hashes, can reach the similarity.
+
+    Of such a pair one at least is outside the bucket's largest component. These few are dealt into blocks, as
+    are all members, and each block of the one meets each of the other. A pair is taken where its first common band is.
     """
-    placed = _placed(shared, found)
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    left = written(placed.join(mixed, "bucket").join(nodes, "id").select("bucket", "id", "c", "n", "sketch"), "left")
-    sizes = left.groupBy("bucket", "c").agg(F.count("*").alias("_k")).groupBy("bucket").agg(F.sum("_k").alias("now"), F.max(F.struct("_k", "c")).alias("top"))
-    sizes = sizes.select("bucket", F.col("top.c").alias("top"), F.ceil(F.col("now") / MOST).alias("of_all"), F.ceil((F.col("now") - F.col("top._k")) / MOST).alias("of_few"))
-    short = shingle_sets(_texts(docs, left.select(F.col("id").alias("doc_id")).distinct())).select(F.col("id").alias("_s"), F.transform("set", lambda x: F.shiftright(x, 32).cast("int")).alias("set"))
-    rows = written(left.join(sizes, "bucket").join(short, F.col("id") == F.col("_s")).drop("_s"), "rest")
+    parts = lambda n, size: F.ceil(F.greatest(n / MOST, size / MOST_SHINGLES))
+    blocks = mixed.select("bucket", "now", "top", parts(F.col("now"), F.col("size")).alias("of_all"), parts(F.col("now") - F.col("top_rows"), F.col("size") - F.col("top_size")).alias("of_few"))
+    rows = written(keyed_join(placed, written(blocks, "blocks"), ["bucket"], "now", total), "open")
+    ids = written(rows.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    own = nodes.select("id", F.col("n").alias("size"), "sketch", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands"))
+    sets = shingle_sets(_texts(docs, ids)).select("id", F.size("set").alias("size"), F.array_distinct(F.transform("set", lambda x: F.shiftright(x, 32).cast("int"))).alias("set"))
+    # a doc_id of several texts has several sets, told apart by their sizes; equal sizes make candidates only
+    known = own.join(sets, ["id", "size"]).withColumn("slack", F.col("size") - F.size("set"))
+    rows = rows.join(known, "id").where(F.col("n") == F.col("size")).withColumn("before", F.expr("slice(bands, 1, band)"))
+    rows = written(rows.select("bucket", "id", "c", "n", "top", "of_all", "of_few", "sketch", "before", "set", "slack"), "members")
     block = lambda of: F.pmod(F.xxhash64("id", F.lit(of)), F.col(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
-    side = lambda x, df, p, q: df.select("bucket", p.alias("p"), q.alias("q"), *[F.col(c).alias(f"{x}_{c}") for c in ("id", "c", "n", "sketch", "set")])
+    side = lambda x, df, p, q: df.select("bucket", p.alias("p"), q.alias("q"), *[F.col(c).alias(f"{x}_{c}") for c in ("id", "c", "n", "top", "sketch", "before", "set", "slack")])
     a, b = side("a", rows, block("of_all"), every("of_few")), side("b", rows.where("c <> top"), every("of_all"), block("of_few"))
-    inter = F.size(F.array_intersect("a_set", "b_set")) + 1  # two hashes of 64 bits may be one of 32
-    alike = F.when(_close("a", "b"), 100 * inter >= PERCENT * (F.col("a_n") + F.col("b_n") - inter)).otherwise(F.lit(False))
-    both = a.join(b, ["bucket", "p", "q"]).where((F.col("a_c") != F.col("b_c")) & alike)
-    return both.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+    once = (F.col("a_c") == F.col("a_top")) | (F.col("a_id") < F.col("b_id"))
+    first = ~F.exists(F.zip_with("a_before", "b_before", lambda x, y: x == y), lambda e: e)
+    inter = F.size(F.array_intersect("a_set", "b_set")) + F.least("a_slack", "b_slack")
+    alike = 100 * inter >= PERCENT * (F.col("a_n") + F.col("b_n") - inter)
+    cheap = (F.col("a_c") != F.col("b_c")) & once & _near("a_n", "b_n")
+    open_ = F.when(cheap, F.when(_agree("a_sketch", "b_sketch") >= AGREE, F.when(first, alike).otherwise(F.lit(False))).otherwise(F.lit(False))).otherwise(F.lit(False))
+    both = a.join(b, ["bucket", "p", "q"]).where(open_)
+    return both.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), F.col("a_c").alias("ca"), F.col("b_c").alias("cb"))
+
+
+def linked(docs: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """node, component of the documents that links join; the others are alone."""
+    total = shared.count()
+    hubs = _with_hub(_central(shared), nodes)
+    offers = keyed_join(shared.select("bucket", "id"), hubs, ["bucket"], "members", total).where("id <> hub")
+    offers = offers.select("id", F.col("id").alias("c"), "hub", F.col("hub").alias("hc"), "hub_n", "hub_sketch")
+    found = merged(None, verified(_chosen(offers, nodes), docs, "links"))
+    before = None
+    for k in range(ROUNDS + 1):
+        placed = _placed(shared, found)
+        mixed = _mixed(placed, k)
+        work = mixed.agg(F.sum((F.col("now") - F.col("top_rows")) * F.col("now")).alias("w")).first().w
+        if work is None:
+            return found
+        if work <= LIGHT * total or k == ROUNDS or (before is not None and work > before / 2):
+            break
+        offers = keyed_join(placed.select("bucket", "id", "c"), _with_hub(mixed, nodes), ["bucket"], "now", total).where("c <> top")
+        found = merged(found, verified(_chosen(offers.withColumn("hc", F.col("top")), nodes), docs, f"links{k}"))
+        before = work
+    links = verified(_left(placed, mixed, nodes, docs, total), docs, "rest")
+    return found if links.isEmpty() else merged(found, links)
+
+
+def _same_id(sig: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with the components joined that rows of one doc_id are in."""
+    own = sig.where("n_shingles > 0 and doc_id is not null").select("doc_id", "set_hi", "set_lo").distinct()
+    again = own.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rows = own.join(few(again), "doc_id", "left_semi").join(sets, ["set_hi", "set_lo"])
+    rows = written(rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("cb")), "same")
+    links = rows.join(rows.groupBy("doc_id").agg(F.min("cb").alias("ca")), "doc_id").where("ca <> cb").select("ca", "cb").distinct()
+    return found if links.isEmpty() else merged(found, links)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs``. Tables that the result does not read are deleted."""
+    with scratch(docs.sparkSession) as keep:
+        sig = keep(written(signatures(docs), "signatures"))
+        sets, nodes, shared = buckets(sig)
+        found = _same_id(sig, sets, linked(docs, nodes, shared))
+        # a class speaks for all its rows; one class may be any share of the table
+        own = sets.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        own = keep(written(own.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"), "rows"), "classes"))
+    rows = own.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
+    real = sig.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "set_hi", "set_lo")
+    out = keyed_join(real, own, ["set_hi", "set_lo"], "rows", rows)
+    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    alone = sig.where("n_shingles = 0 or doc_id is null")
+    return out.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with the same columns, that stay: one of each group, by least doc_id.
+
+    Of several rows of one kept doc_id one stays, unless the doc_id is null.
+    """
+    columns = docs.columns
+    packed = docs.select(F.col("doc_id").alias("id"), F.struct(*columns).alias("all"))
+    gone = written(classes(docs).where("not kept").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    rows = packed.join(few(gone), "id", "left_anti")
+    again = few(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"))
+    once = rows.join(again, "id", "left_semi").dropDuplicates(["id"])
+    return rows.join(again, "id", "left_anti").unionByName(once).select("all.*")
