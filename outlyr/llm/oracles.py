@@ -31,31 +31,27 @@ WITH d AS (
   FROM m
 ), truth AS (
   SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id
-), held AS (
-  SELECT stratum, q, r AS rule, vs[r] AS x FROM v JOIN truth USING (doc_id), (SELECT unnest(range(1, 6)) AS r) WHERE NOT base_failed
-), grid AS (
-  SELECT unnest({list(quality.GRID)})::DOUBLE AS g, unnest(range({len(quality.GRID)})) AS j
-), sizes AS (
-  SELECT stratum, count(*) AS c FROM held GROUP BY stratum ORDER BY c DESC, stratum LIMIT {quality.MAX_STRATA}
+), path AS (
+  SELECT unnest({list(quality.FACTORS)})::DOUBLE AS f, unnest(range({len(quality.FACTORS)})) AS j
+), judged AS (
+  SELECT *, list_max([len([f for f in {list(quality.FACTORS)} if vs[r] > f::DOUBLE * {list(quality.USUAL.values())}[r]::DOUBLE]) for r in range(1, 6)]) AS level FROM v
 ), tested AS (
-  SELECT stratum, rule, j, g, count(*) FILTER (q > 0) AS n, count(*) FILTER (q <= 0) AS nb,
-    count(*) FILTER (q > 0 AND x > g) AS k, count(*) FILTER (q <= 0 AND x > g) AS kb
-  FROM held SEMI JOIN sizes USING (stratum), grid GROUP BY ALL
+  SELECT stratum, j, count(*) FILTER (q > 0) AS n, count(*) FILTER (q <= 0) AS nb,
+    count(*) FILTER (q > 0 AND level >= {len(quality.FACTORS)} - j) AS k, count(*) FILTER (q <= 0 AND level >= {len(quality.FACTORS)} - j) AS kb
+  FROM judged JOIN truth USING (doc_id), path WHERE NOT base_failed GROUP BY ALL
 ), tails AS (
-  SELECT *, CASE WHEN n = 0 OR k >= n * ({quality.ALPHA} / 5) THEN 1.0 ELSE list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.ALPHA} / 5) + (n - i) * ln(1 - {quality.ALPHA} / 5)) for i in range(k + 1)]) END AS p
+  SELECT *, CASE WHEN n = 0 OR k >= n * {quality.ALPHA}::DOUBLE THEN 1.0 ELSE list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.ALPHA}) + (n - i) * ln(1 - {quality.ALPHA})) for i in range(k + 1)]) END AS p
   FROM tested
 ), chain AS (
-  SELECT *, bool_and(p <= {quality.DELTA} / 5 / (SELECT count(*) FROM sizes)) OVER (PARTITION BY stratum, rule ORDER BY j) AS ok,
+  SELECT *, bool_and(p <= {quality.DELTA} / (SELECT count(DISTINCT stratum) FROM tested)) OVER (PARTITION BY stratum ORDER BY j) AS ok,
     coalesce(kb::DOUBLE / nullif(nb, 0), 0) - {quality.PRICE} * coalesce(k::DOUBLE / nullif(n, 0), 0) AS gain
   FROM tails
 ), cuts AS (
-  SELECT stratum, rule, g AS cut FROM chain WHERE ok AND gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, j) = 1
-), maps AS (
-  SELECT stratum, map_from_entries(list((rule, cut))) AS cs FROM cuts GROUP BY stratum
+  SELECT stratum, j FROM chain WHERE ok AND gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, j) = 1
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(list_bool_or([coalesce(vs[r] > cs[r], false) for r in range(1, 6)]), false) AS kept
-FROM v LEFT JOIN maps USING (stratum)
+  NOT base_failed AND NOT coalesce(level >= {len(quality.FACTORS)} - j, false) AS kept
+FROM judged LEFT JOIN cuts USING (stratum)
 """
 
 NEAR_DUP = rf"""

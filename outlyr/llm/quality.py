@@ -1,18 +1,25 @@
 """Quality rules with risk-controlled cutoffs (op1), in DataFrame operations alone.
 
-Each rule rejects a document if a ratio is above a cutoff. Cutoffs are chosen per stratum (language)
-on the labelled documents: among the grid's cutoffs, those are *certified* for which the hypothesis
-"more than ``alpha`` / rules of the good documents are rejected" is refuted by the exact binomial
-test, P(Bin(n, alpha / rules) <= k). Within a stratum and rule, cutoffs are tested from the loosest
-on, and testing stops at the first that fails (fixed sequence, so the chain errs with its own level
-at most); over all chains the level is ``delta`` / (strata * rules), by Bonferroni. With probability
-1 - delta no stratum loses more than ``alpha`` of its good documents. Among certified cutoffs the
-one with the largest gain is taken: share of bad documents rejected less PRICE times that of good
-ones, the loosest of equals. A stratum or rule without a certified cutoff rejects nothing.
+Each rule rejects a document if a ratio is above a cutoff. A *setting* gives all rules their cutoffs at
+once: the usual ones (USUAL) times one of FACTORS, from loose to strict. This path is fixed beforehand; the
+labelled documents that pass the base rules choose a setting on it for each stratum (language).
+
+A setting is *certified* if the hypothesis "more than ``alpha`` of the stratum's good documents that pass
+the base rules are rejected by any rule" is refuted by the exact binomial test, P(Bin(n, alpha) <= k) <=
+``delta`` / strata. Settings are tested from the loosest on, and testing stops at the first that fails
+(fixed sequence, so a stratum's path errs with its own level at most); over the strata that have labels the level is
+shared out (Bonferroni). So with probability 1 - delta or more, over the draw of the labels, in
+no stratum do the rules reject more than ``alpha`` of the good documents among those that pass the base
+rules; what the base rules reject is not part of the guarantee. Without any false rejection
+log(delta / strata) / log(1 - alpha) good labels are needed, 217 for four strata. Of certified settings
+the one with the largest gain is taken: share of bad documents rejected less PRICE times that of good
+ones, the loosest of equals. A stratum without a certified setting, or without gain, rejects nothing.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null language is a
 stratum of its own; several labels of a document count as one, the lowest; unlabelled documents and
-null qualities take no part in the choice; with no labels only the base rules reject.
+null qualities take no part in the choice; with no labels only the base rules reject; repeated rows
+are judged each, and count each if they are labelled; an empty table gives an empty one. Texts of any length are taken whole,
+in one row's memory. Extra columns take no part, whatever their names; ``kept`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -21,19 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from outlyr.llm.common import SPACES, words, written
+from outlyr.llm.common import SPACES, few, words, written
 from outlyr.llm.native import let, runs, without
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
 ALPHA, DELTA, PRICE = 0.02, 0.05, 5.0
-#: Cutoffs of every rule, from loose to strict.
-GRID = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.04)
-#: The SQL's limit alone: the query keeps all strata, and equals the SQL up to so many.
-MAX_STRATA = 1000
-#: Up to so many strata, their cutoffs are broadcast.
-FEW = 10_000
+#: Cutoffs in common use, and the factors that make the path of settings, from loose to strict.
+USUAL = {"symbols": 0.1, "capitals": 0.3, "exclaims": 0.1, "repeats": 0.3, "lines": 0.4}
+FACTORS = (5.0, 4.0, 3.2, 2.5, 2.0, 1.6, 1.3, 1.15, 1.0, 0.85, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2)
 NONE = "\x00"
 
 
@@ -112,57 +116,54 @@ def _tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * F.lit(p), F.lit(1.0)).otherwise(F.exp(F.aggregate(steps, start, step, lambda s: s["sum"])))
 
 
+def level(m: str = "_m") -> Column:
+    """How many settings reject a document: the strictest so many of the path."""
+
+    def rejecting(rule: str, value: Column) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(f * USUAL[rule]) for f in FACTORS]), lambda cut: value > cut))
+
+    reject = [rejecting(r, v) for r, v in rules(m).items()]
+    return F.greatest(*reject)
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row for each stratum: ``_stratum`` and ``_cut``, a map from rule to cutoff.
+    """One row for each stratum that rejects anything: ``_stratum`` and ``_setting``, its place on the path.
 
     ``measured`` has doc_id, lang and ``_m``. All strata with labels take part.
     """
-    names = list(rules())
     truth = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q"))
-    held = measured.where(~base_failed()).select("doc_id", F.coalesce("lang", F.lit(NONE)).alias("_stratum"), F.array(*rules().values()).alias("_v")).join(truth, "doc_id")
-    grid = F.array(*[F.lit(g) for g in GRID])
-    levels = held.select("_stratum", "_q", F.posexplode(F.transform("_v", lambda v: F.size(F.filter(grid, lambda g: v > g)))).alias("_rule", "_level"))
-    # the number of grid cutoffs that a value exceeds: it is rejected by the last _level of them
-    counted = levels.groupBy("_stratum", "_rule", "_level").agg(F.count_if(F.col("_q") > 0).alias("good"), F.count_if(F.col("_q") <= 0).alias("bad"))
-    steps = counted.groupBy("_stratum", "_rule").agg(F.collect_list(F.struct("_level", "good", "bad")).alias("_c"), F.sum("good").alias("n"), F.sum("bad").alias("n_bad"))
-    strata = steps.agg(F.count_distinct("_stratum").alias("_strata"))
-    above = lambda what: F.expr(f"aggregate(filter(_c, e -> e._level >= {len(GRID)} - _j), 0L, (a, e) -> a + e.{what})")
-    tested = steps.crossJoin(F.broadcast(strata)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))))
-    tested = tested.select("_stratum", "_rule", "_j", "_strata", "n", "n_bad", above("good").alias("k"), above("bad").alias("k_bad"))
-    passed = _tail(F.col("n"), F.col("k"), alpha / len(names)) <= F.lit(delta / len(names)) / F.col("_strata")
-    chain = Window.partitionBy("_stratum", "_rule").orderBy("_j")
+    held = measured.where(~base_failed()).select("doc_id", F.coalesce("lang", F.lit(NONE)).alias("_stratum"), level().alias("_level")).join(truth, "doc_id")
+    counted = held.groupBy("_stratum", "_level").agg(F.count_if(F.col("_q") > 0).alias("good"), F.count_if(F.col("_q") <= 0).alias("bad"))
+    steps = counted.groupBy("_stratum").agg(F.collect_list(F.struct("_level", "good", "bad")).alias("_c"), F.sum("good").alias("n"), F.sum("bad").alias("n_bad"))
+    strata = steps.agg(F.count("*").alias("_strata"))
+    above = lambda what: F.expr(f"aggregate(filter(_c, e -> e._level >= {len(FACTORS)} - _j), 0L, (a, e) -> a + e.{what})")
+    tested = steps.crossJoin(F.broadcast(strata)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(FACTORS) - 1))))  # one row a stratum
+    tested = tested.select("_stratum", "_j", "_strata", "n", "n_bad", above("good").alias("k"), above("bad").alias("k_bad"))
+    passed = _tail(F.col("n"), F.col("k"), alpha) <= F.lit(delta) / F.col("_strata")
+    chain = Window.partitionBy("_stratum").orderBy("_j")
     tested = tested.withColumn("_ok", passed & (F.col("n") > 0)).withColumn("_all", F.min(F.col("_ok").cast("int")).over(chain) == 1)
     gain = F.coalesce(F.try_divide(F.col("k_bad"), F.col("n_bad")), F.lit(0.0)) - PRICE * F.coalesce(F.try_divide(F.col("k"), F.col("n")), F.lit(0.0))
-    best = tested.where("_all").withColumn("_gain", gain).groupBy("_stratum", "_rule").agg(F.max(F.struct("_gain", (-F.col("_j")).alias("_nj"))).alias("_b"))
-    best = best.where(F.col("_b._gain") > 0)
-    cut = F.element_at(grid, F.lit(1) - F.col("_b._nj"))
-    return best.groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("_rule", cut.alias("_cut")))).alias("_cut"))
-
-
-def _rejects() -> Column:
-    """Whether a rule's ratio is above its stratum's cutoff, given ``_cut``."""
-    out = F.lit(False)
-    for i, v in enumerate(rules().values()):
-        out = out | F.coalesce(v > F.try_element_at(F.col("_cut"), F.lit(i)), F.lit(False))
-    return out
+    best = tested.where("_all").withColumn("_gain", gain).groupBy("_stratum").agg(F.max(F.struct("_gain", (-F.col("_j")).alias("_nj"))).alias("_b"))
+    return best.where(F.col("_b._gain") > 0).select("_stratum", (-F.col("_b._nj")).alias("_setting"))
 
 
 def _judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:
     """``measured`` with ``_kept``; ``cuts`` is a written table, broadcast if it has few rows."""
-    joined = measured.withColumn("_stratum", F.coalesce("lang", F.lit(NONE))).join(F.broadcast(cuts) if cuts.count() <= FEW else cuts, "_stratum", "left")
-    return joined.withColumn("_kept", ~base_failed() & ~_rejects())
+    joined = measured.withColumn("_stratum", F.coalesce("lang", F.lit(NONE))).join(few(cuts), "_stratum", "left")
+    return joined.withColumn("_kept", ~base_failed() & ~F.coalesce(level() >= len(FACTORS) - F.col("_setting"), F.lit(False)))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document. Texts are read once."""
-    measured = written(metrics(docs, ["doc_id", "lang"]), "quality")
+    measured = written(metrics(docs.select("doc_id", "lang", "text"), ["doc_id", "lang"]), "quality")
     done = _judged(measured, written(cutoffs(measured, labels), "cutoffs"))
     shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return done.select("doc_id", *[F.col("_m")[c].alias(c) for c in shown], base_failed().alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with the same columns, that the rules keep."""
-    columns = docs.columns
-    cuts = written(cutoffs(written(metrics(docs, ["doc_id", "lang"]), "quality"), labels), "cutoffs")
-    return _judged(metrics(docs, columns), cuts).where("_kept").select(*columns)
+    """The rows of ``docs``, with the same columns, that the rules keep. Texts are measured once, and written with their measures."""
+    packed = docs.select("doc_id", "lang", "text", F.struct(*docs.columns).alias("all"))
+    measured = written(metrics(packed, ["doc_id", "lang", "all"]), "quality")
+    cuts = written(cutoffs(measured, labels), "cutoffs")
+    return _judged(measured, cuts).where("_kept").select("all.*")
