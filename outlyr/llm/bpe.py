@@ -1,22 +1,34 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction (op4).
 
-A text is halved until its parts are leaves; leaves are encoded alone, and two neighbours are
-joined by encoding a window around their border again. The window grows until both of its ends are
-*fixed points*: a white-space character after a character that is none. No alternative of the
-pattern spans such a place, whatever stands around it, so every token outside the window is the
-one that the whole text has. A text without such places grows the window to the whole node, which
-is exact as well. Decoding concatenates the bytes of halves up the tree.
+A text is halved until its parts are leaves of LEAF characters. A leaf is split into pre-tokens by the
+pattern and each is encoded by the ranks; a node's value is its pre-tokens' borders and tokens, for
+the node's text alone. Two neighbours are joined by splitting and encoding a window around their
+border again, which grows pre-token by pre-token until the tokens outside provably stand:
+
+* To the left it begins at the first pre-token that ends within ``reach`` characters of the border.
+  The pattern has no look-behind and no anchor, so a match depends on the text from its start on alone, and it reads
+  ``reach`` characters behind its end at most. So all pre-tokens before the window are those of the joined text.
+* To the right it ends where a pre-token of the window ends at a border of the right neighbour. From there on both
+  go on alike, as both match from the same place on the same text.
+
+``reach`` is known for the patterns in REACH, with the reason; any other pattern has one leaf, the whole
+text, which is exact as well. A run without borders grows the window over all of it. The root's tokens are the
+library's (tested, with every code point). Decoding concatenates the bytes of halves up the tree.
 
 Defined cases: a null text is empty; an empty text has no ids; other columns are carried as they
 are, and one called like an output is replaced; an empty table gives an empty table; repeated rows
-are encoded each for itself.
+are encoded each for itself. Texts of any length are taken whole, in one row's memory.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of a leaf, ids of a leaf when decoding, and the first width of a window's side.
-LEAF, LEAF_IDS, WINDOW = 16_384, 16_384, 64
+#: Characters of a leaf, ids of a leaf when decoding, and pre-tokens remembered.
+LEAF, LEAF_IDS, REMEMBERED = 512, 512, 400_000
 #: Rows whose ids and bytes are held at once.
 SLICE = 256
-_SPACE = frozenset(" \t\n\r")
+#: Characters behind its end that a match can have read, by pattern. Of this one: a loop reads the one character that ends
+#: it; ``\s+(?!\S)`` gives one back when a character follows its run, and so has read two; ``'re``, ``'ve`` and ``'ll`` read
+#: two characters behind the quote, one more than the match of a quote alone that is taken instead.
+REACH = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": 2}
+#: Where the split by Python's engine can differ from the library's (it takes these as white space or not): left to the library.
+_APART = re.compile("[\x1c-\x1f]").search
 
 
 @lru_cache(maxsize=4)
@@ -38,52 +55,60 @@ def codec(path: str, pattern: str) -> TreeBpe:
 
 
 class TreeBpe:
-    def __init__(self, path: str, pattern: str, leaf: int = LEAF, window: int = WINDOW):
+    def __init__(self, path: str, pattern: str, leaf: int = LEAF):
+        import regex
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        self.lengths[list(ranks.values())] = [len(x) for x in ranks]
-        self.leaf, self.window = leaf, window
-
-    def _leaf(self, text: str) -> np.ndarray:
-        return self.enc.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
-
-    @staticmethod
-    def _fixed(text: str, at: int) -> bool:
-        """Whether every tokenisation of any text around has a border at ``at``: ``x|space``."""
-        return text[at] in _SPACE and ("!" <= text[at - 1] <= "~" or text[at - 1].isalpha())
+        self.pattern, self.reach, self.leaf = regex.compile(pattern), REACH.get(pattern), leaf
+        self.known: dict[str, bytes] = {}
+
+    def _tokens(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of each pre-token."""
+        out = list(map(self.known.get, pieces))
+        if None in out:
+            if len(self.known) > REMEMBERED:
+                self.known = {}
+            known, ids = self.known, self.enc.encode_ordinary
+            for i, x in enumerate(out):
+                if x is None:
+                    x = known.get(pieces[i])
+                    out[i] = known[pieces[i]] = array("I", ids(pieces[i])).tobytes() if x is None else x
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        return self._node(text, 0, len(text))
+        if self.reach is None or _APART(text):
+            return self.enc.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+        return np.frombuffer(b"".join(self._node(text, 0, len(text))[1]), "<u4")
 
-    def _node(self, text: str, a: int, b: int) -> np.ndarray:
+    def _node(self, text: str, a: int, b: int) -> tuple[list[int], list[bytes]]:
+        """Where the pre-tokens of ``text[a:b]`` alone end, and their tokens."""
         if b - a <= self.leaf:
-            return self._leaf(text[a:b])
+            pieces = self.pattern.findall(text, a, b)
+            return list(accumulate(map(len, pieces), initial=a))[1:], self._tokens(pieces)
         mid = (a + b) // 2
-        return self._join(text, a, mid, b, self._node(text, a, mid), self._node(text, mid, b))
-
-    def _join(self, text: str, a: int, mid: int, b: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        width, lo, hi = self.window, mid, mid
-        while lo > a and not (lo < b and lo > a and self._fixed(text, lo)):
-            lo -= 1
-            if mid - lo >= width:  # grow both sides alike
-                width *= 2
-        while hi < b and not self._fixed(text, hi):
-            hi += 1
-        keep = self._tokens(left, len(text[a:lo].encode()))
-        skip = self._tokens(right, len(text[mid:hi].encode()))
-        return np.concatenate((left[:keep], self._leaf(text[lo:hi]), right[skip:]))
-
-    def _tokens(self, ids: np.ndarray, size: int) -> int:
-        """How many of the first tokens make up ``size`` bytes."""
-        ends = np.cumsum(self.lengths[ids])
-        n = int(np.searchsorted(ends, size, side="right"))
-        if (int(ends[n - 1]) if n else 0) != size:
-            raise AssertionError("a fixed point is not a border of tokens")
-        return n
+        return self._join(text, a, b, self._node(text, a, mid), self._node(text, mid, b))
+
+    def _join(self, text: str, a: int, b: int, left: tuple[list[int], list[bytes]], right: tuple[list[int], list[bytes]]) -> tuple[list[int], list[bytes]]:
+        mid = left[0][-1]
+        keep = bisect_right(left[0], mid - self.reach)  # these have not read beyond the left part
+        at = left[0][keep - 1] if keep else a
+        ends, pieces, skip = [], [], 0
+        while at < b:
+            m = self.pattern.match(text, at, b)
+            at = m.end()
+            ends.append(at)
+            pieces.append(m[0])
+            if at > mid:
+                skip = bisect_left(right[0], at, skip)
+                if right[0][skip] == at:  # a border of both
+                    break
+            elif at == mid:
+                skip = -1
+                break
+        return left[0][:keep] + ends + right[0][skip + 1 :], left[1][:keep] + self._tokens(pieces) + right[1][skip + 1 :]
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) <= LEAF_IDS:
