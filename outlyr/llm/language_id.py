@@ -1,25 +1,30 @@
 """Language identification by interpolated Kneser-Ney character models (op7).
 
 Each language's model predicts the characters of lower-cased words (runs of letters) and their
-ends from the ORDER - 1 characters before. All languages share sorted arrays of 64-bit n-gram
-hashes, one for each order, with a column of log probabilities and of back-off weights for each
-language, so a character costs one binary search where its longest n-gram is known. The language
-of a text is the one with the lowest cross-entropy per symbol; ties go to the first by code point.
-
-The model is learned from a bounded sample (BOUNDS): for each label, about ``rows`` rows, by hash of
-doc_id, of those of at most ``max_chars`` characters. A fifth of it is kept from the counts and
-calibrates the temperature of ``score`` and the rejection limit: a text is rejected if its
-cross-entropy, scaled by the root of its length, is above what all but ``reject`` of the
-calibration texts have, with a margin.
+ends from the ORDER - 1 characters before; below single characters it falls back to one in ALPHABET.
+A language has, for each order, a sorted array of 64-bit hashes of the n-grams it has seen, with their log
+probabilities, and one of its contexts, with their back-off weights: n-grams of other languages take no room in
+it. The language of a text is the one with the lowest cross-entropy per symbol; ties go to the first by code point.
+
+The model is learned from a bounded sample (BOUNDS): of every label, however many there are, about
+``per_label`` rows by hash of doc_id, or fewer where that would be more than ``rows`` in all; of a text in it,
+``max_chars`` characters at most. Words are counted in a distributed way, each language is learned in a
+task of its own, and the arrays, whose size the sample bounds, are broadcast; beyond MOST_BYTES that is an error. A fifth
+of the sample is kept from the counts and calibrates the temperature of ``score`` and the rejection limit: a text is
+rejected if its cross-entropy, scaled by the root of its length, is above what all but ``reject`` of the
+calibration texts have, with a margin. Predictions read whole texts.
 
 Defined cases: a null text or one without letters is ``und`` with score 0 and is rejected; null
-labels and null doc_ids are not learned from; with no labelled row at all every text is ``und``.
+labels and null doc_ids are not learned from; with no labelled row at all every text is ``und``; repeated rows are
+predicted each, and learned from each; an empty table gives an empty one. Texts of any length are scored whole, word by
+word. Extra columns take no part, whatever their names; ``accepted`` returns them as they are.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,11 +33,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlyr.llm.common import uniform
+from outlyr.llm.common import few, uniform, written
 
 ORDER = 4
-#: Rows of each label that are learned from (expected), their longest text, and the most labels.
-BOUNDS = {"rows": 1000, "max_chars": 20_000, "labels": 200}
+#: Rows that are learned from (expected): of a label, and in all; and the characters of a text that are.
+BOUNDS = {"per_label": 1000, "rows": 200_000, "max_chars": 20_000}
+#: Characters that are equally likely where nothing is known, and the largest model that is broadcast.
+ALPHABET, MOST_BYTES = 1 << 16, 1 << 31
 #: The share of calibration texts above the limit, and what the limit is then multiplied by.
 REJECT, MARGIN = 0.001, 1.25
 LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -55,58 +62,52 @@ def _hashes(codes: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _of(grams: list[str]) -> np.ndarray:
-    n = len(grams[0]) if grams else 0
-    return _hashes([np.array([ord(g[k]) for g in grams], dtype=np.uint64) for k in range(n)]) if grams else np.zeros(0, np.uint64)
-
-
-class _Language:
-    """Counts, discounts and interpolated probabilities of one language."""
-
-    def __init__(self, words: dict[str, int]):
-        top: Counter[str] = Counter()
-        for w, n in words.items():
-            s = START * (ORDER - 1) + w + END
-            for i in range(len(s) - ORDER + 1):
-                top[s[i : i + ORDER]] += n
-        self.count: list[Counter[str]] = [Counter() for _ in range(ORDER + 1)]
-        self.count[ORDER] = top
-        for k in range(ORDER - 1, 0, -1):  # of lower orders, how many characters stand before
-            for g in self.count[k + 1]:
-                self.count[k][g[1:]] += 1
-        self.total: list[Counter[str]] = [Counter() for _ in range(ORDER + 1)]
-        self.kinds: list[Counter[str]] = [Counter() for _ in range(ORDER + 1)]
-        self.discount = [0.0] * (ORDER + 1)
-        for k in range(1, ORDER + 1):
-            of = Counter(self.count[k].values())
-            self.discount[k] = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0.5
-            for g, n in self.count[k].items():
-                self.total[k][g[:-1]] += n
-                self.kinds[k][g[:-1]] += 1
-
-    def backoff(self, context: str) -> float:
-        """The weight of the shorter context's model behind ``context``."""
-        k = len(context) + 1
-        return self.discount[k] * self.kinds[k][context] / self.total[k][context] if self.total[k][context] else 1.0
-
-    def p(self, gram: str, floor: float) -> float:
-        if not gram:
-            return floor
-        k, context = len(gram), gram[:-1]
-        lower = self.p(gram[1:], floor)
-        if not self.total[k][context]:
-            return lower
-        return max(self.count[k][gram] - self.discount[k], 0) / self.total[k][context] + self.backoff(context) * lower
+#: Sorted n-gram hashes and their log probabilities, sorted context hashes and their logs of back-off weights.
+Table = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _laid(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of padded words one after the other, the places of all that are predicted, and each word's number of them."""
+    pad = START * (ORDER - 1)
+    codes = np.frombuffer("".join(pad + w + END for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
+    first = np.cumsum(sizes + ORDER - 1) - sizes
+    at = np.arange(sizes.sum()) + np.repeat(first - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+    return codes, at, sizes
+
+
+def learn(words: list[str], counts: np.ndarray) -> list[Table]:
+    """The tables of one language, for orders 1 to ORDER, from distinct words and how often each stands."""
+    codes, at, sizes = _laid(words)
+    grams = np.stack([codes[at - i] for i in range(ORDER - 1, -1, -1)], axis=1)
+    weight = np.repeat(np.asarray(counts, np.float64), sizes)
+    levels = []
+    for k in range(ORDER, 0, -1):  # of lower orders it is counted how many characters stand before
+        keys, first, inverse = np.unique(_hashes(list(grams.T)), return_index=True, return_inverse=True)
+        count = np.bincount(inverse, weights=weight)
+        grams = grams[first]
+        levels.append((keys, count, grams))
+        grams, weight = grams[:, 1:], np.ones(len(grams))
+    tables: list[Table] = []
+    lower: np.ndarray | None = None
+    for keys, count, grams in reversed(levels):
+        k = grams.shape[1]
+        context = _hashes(list(grams[:, :-1].T)) if k > 1 else np.zeros(len(grams), np.uint64)
+        ckeys, inverse = np.unique(context, return_inverse=True)
+        total = np.bincount(inverse, weights=count)
+        once, twice = (count == 1).sum(), (count == 2).sum()
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        back = discount * np.bincount(inverse) / total
+        behind = lower[np.searchsorted(tables[-1][0], _hashes(list(grams[:, 1:].T)))] if k > 1 else 1.0 / ALPHABET
+        lower = np.maximum(count - discount, 0) / total[inverse] + back[inverse] * behind
+        tables.append((keys, np.log(lower).astype(np.float32), ckeys, np.log(back).astype(np.float32)))
+    return tables
 
 
 @dataclass
 class Model:
     langs: list[str]
-    floor: float
-    keys: list[np.ndarray] = field(default_factory=list)
-    logp: list[np.ndarray] = field(default_factory=list)
-    context_keys: list[np.ndarray] = field(default_factory=list)
-    context_logs: list[np.ndarray] = field(default_factory=list)
+    tables: list[list[Table]] = field(default_factory=list)
     usual: float = 0.0
     limit: float = float("inf")
     heat: float = 1.0
@@ -114,55 +115,36 @@ class Model:
     @staticmethod
     def fit(words: dict[str, dict[str, int]]) -> Model:
         langs = sorted(words)
-        own = [_Language(words[x]) for x in langs]
-        floor = 1.0 / (len({g for x in own for g in x.count[1]}) + 1)
-        m = Model(langs, floor)
-        for k in range(1, ORDER + 1):
-            grams = sorted({g for x in own for g in x.count[k]})
-            contexts = sorted({g for x in own for g in x.total[k]}) if k > 1 else [""]
-            for what, of, keys, logs in ((grams, lambda x, g: x.p(g, floor), m.keys, m.logp), (contexts, _Language.backoff, m.context_keys, m.context_logs)):
-                h = _of(what) if what and what[0] else np.zeros(len(what), np.uint64)
-                order = np.argsort(h)
-                values = np.array([[of(x, g) for x in own] for g in what]).reshape(len(what), len(own))
-                keys.append(h[order])
-                logs.append(np.log(np.maximum(values, 1e-12)).astype(np.float32)[order])
-        return m
+        return Model(langs, [learn(list(words[x]), np.array(list(words[x].values()))) for x in langs])
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log probabilities [word, language] of words with their ends."""
-        pad = START * (ORDER - 1)
-        text = "".join(pad + w + END for w in words)
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-        sizes = np.array([len(w) + 1 for w in words])
-        ends = np.cumsum(sizes + ORDER - 1)
-        at = np.ones(len(codes), dtype=bool)
-        for k in range(ORDER - 1):
-            at[ends - sizes - (ORDER - 1) + k] = False
-        at = np.flatnonzero(at)
-        logs = self._logs(codes, at, ORDER)
+        codes, at, sizes = _laid(words)
+        # the hash of an n-gram goes on from that of its first characters, so each order has its own
+        grams = [_hashes([codes[at - i] for i in range(k - 1, -1, -1)]) for k in range(1, ORDER + 1)]
+        contexts = [np.zeros(len(at), np.uint64), *(_hashes([codes[at - i] for i in range(k - 1, 0, -1)]) for k in range(2, ORDER + 1))]
         starts = np.cumsum(sizes) - sizes
-        return np.add.reduceat(logs, starts, axis=0)
-
-    def _logs(self, codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-        if k == 0:
-            return np.full((len(at), len(self.langs)), np.log(self.floor), dtype=np.float32)
-        found, row = self._find(self.keys[k - 1], _hashes([codes[at - i] for i in range(k - 1, -1, -1)]))
-        out = np.empty((len(at), len(self.langs)), dtype=np.float32)
-        out[found] = self.logp[k - 1][row[found]]
-        if not found.all():
-            rest = at[~found]
-            known, row = self._find(self.context_keys[k - 1], _hashes([codes[rest - i] for i in range(k - 1, 0, -1)]) if k > 1 else np.zeros(len(rest), np.uint64))
-            weight = np.zeros((len(rest), len(self.langs)), dtype=np.float32)
-            weight[known] = self.context_logs[k - 1][row[known]]
-            out[~found] = weight + self._logs(codes, rest, k - 1)
-        return out
+        return np.stack([np.add.reduceat(self._logs(t, grams, contexts), starts) for t in self.tables], axis=1)
 
     @staticmethod
-    def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        row = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return keys[row] == h, row
+    def _logs(tables: list[Table], grams: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
+        """Log probabilities of one language at all places: of the longest n-gram that it has seen, and the weights of backing off."""
+        out = np.zeros(len(grams[0]), dtype=np.float32)
+        rest = np.arange(len(out))
+        for k in range(ORDER - 1, -1, -1):
+            keys, logs, ckeys, clogs = tables[k]
+            found, row = _find(keys, grams[k][rest])
+            out[rest[found]] += logs[row[found]]
+            rest = rest[~found]
+            known, row = _find(ckeys, contexts[k][rest])
+            out[rest[known]] += clogs[row[known]]
+        out[rest] += np.float32(-np.log(ALPHABET))
+        return out
+
+
+def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    row = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return keys[row] == h, row
 
 
 class Scorer:
@@ -212,15 +194,16 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """The sample of labelled rows, with ``cal`` for the fifth that calibrates.
+    """lang, text and cal (for the fifth that calibrates) of the sample of labelled rows.
 
     A label with more rows than the bound gives those whose hash of doc_id is below bound / rows, so
     about the bound; a count for each label is all that is gathered.
     """
-    fit = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.length("text").between(1, BOUNDS["max_chars"]))
-    counts = fit.groupBy("lang").agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), "lang").limit(BOUNDS["labels"])
-    share = counts.select("lang", (F.lit(float(BOUNDS["rows"])) / F.col("_c")).alias("_share"))
-    joined = fit.join(F.broadcast(share), "lang").where(uniform("doc_id") < F.col("_share"))
+    fit = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
+    fit = fit.select("lang", "doc_id", F.substring("text", 1, BOUNDS["max_chars"]).alias("text"))
+    counts = written(fit.groupBy("lang").agg(F.count("*").alias("n")), "labels")
+    bound = min(BOUNDS["per_label"], BOUNDS["rows"] / max(counts.count(), 1))
+    joined = fit.join(few(counts), "lang").where(uniform("doc_id") * F.col("n") < F.lit(float(bound)))
     return joined.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit("cal")), F.lit(5)) == 0).alias("cal"))
 
 
@@ -236,14 +219,21 @@ def fit(docs: DataFrame) -> Model:
                     c.update(LETTERS(x.lower()))
                 yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
-    sample = _sample(docs)
-    rows = sample.where("not cal").select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    words: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, word, n in zip(rows["lang"], rows["word"], rows["n"], strict=True):
-        words[lang][word] = int(n)
-    if not words:
-        return Model([], 1.0)
-    m = Model.fit(words)
+    def one(words: pd.DataFrame) -> pd.DataFrame:
+        words = words.sort_values("word")
+        tables = learn(words["word"].tolist(), words["n"].to_numpy())
+        return pd.DataFrame({"lang": words["lang"].iloc[:1], "tables": [pickle.dumps(tables)]})
+
+    sample = written(_sample(docs.select("doc_id", "lang", "text")), "sample")
+    words = sample.where("not cal").select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    learned = written(words.groupBy("lang").applyInPandas(one, "lang string, tables binary"), "models")
+    size = learned.agg(F.coalesce(F.sum(F.octet_length("tables")), F.lit(0)).alias("s")).first().s
+    if size > MOST_BYTES:
+        raise ValueError(f"the models take {size} bytes, too many to broadcast: lower BOUNDS")
+    rows = sorted(learned.collect(), key=lambda r: r.lang)
+    if not rows:
+        return Model([])
+    m = Model([r.lang for r in rows], [pickle.loads(r.tables) for r in rows])
     shared = spark.sparkContext.broadcast(m)
 
     def calibrate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
