@@ -4,21 +4,24 @@ Each document's ids, with an end id, are cut into chunks where a rolling hash of
 its low bits zero, so equal passages give equal chunks wherever they stand. A chunk is addressed by
 the BLAKE2b hash of its bytes and stored once. A store is a folder of three Parquet tables:
 
-* ``chunks``: digest, n, payload (ids as little-endian unsigned integers of 16 bits, or 32 where n * 2
-  is not its length);
+* ``raw/kind=chunk``: key (the digest), n, payload (ids as little-endian unsigned integers of 16 bits, or 32
+  where n * 2 is not its length);
 * ``recipes``, in files of ascending doc_id (nulls last): doc_id, start (ids of all documents before),
   n_tokens, digests, sizes, root (the Merkle root of the digests);
 * ``manifest``: for each recipe file its number, first start, documents, tokens and the Merkle root
   of its documents' roots.
 
 Reading verifies: each payload is hashed again, each recipe's root and each manifest row is recomputed,
-no manifest row or recipe file is without the other, and every recipe finds all its chunks, in its sizes.
+no manifest row or recipe file is without the other, and every recipe finds all its chunks, in its sizes. A chunk
+that more than one in HOT of all recipes' places ask for is joined in as many copies as there are partitions.
 
 Encoding is the library's. A text of plain Latin letters is encoded by its words, as neither
 normalisation nor pre-tokenisation looks across white space there; the library encodes each distinct word,
 and a bounded number is remembered. Any other text goes to the library whole.
 
-Defined cases: a null or empty text is the end id alone; repeated rows are stored as recipes of their own.
+Defined cases: a null or empty text is the end id alone; repeated rows are stored as recipes of their own; an empty
+table gives an empty store. Texts of any length are encoded whole, in one row's memory. Extra columns take no part,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -36,11 +39,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outlyr.llm.common import parts, running, shared_dir
+from outlyr.llm.common import HOT, drop_path, parts, running, scratch, shared_dir
 
 #: The rolling hash's span; least, mean (a power of two, beyond the least) and most ids of a chunk.
 SPAN, LEAST, MEAN, MOST = 16, 64, 256, 1024
-_REMEMBERED = 1_500_000
+_REMEMBERED = 1_000_000
 #: Texts in which words can be encoded alone: letters with single-character lower case and no marks.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*").fullmatch
 
@@ -147,23 +150,52 @@ def address(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=16).digest()
 
 
+def _leaf(x: bytes) -> bytes:
+    return hashlib.sha256(b"\x00" + x).digest()
+
+
+def _pair(x: bytes, y: bytes) -> bytes:
+    return hashlib.sha256(b"\x01" + x + y).digest()
+
+
+class Merkle:
+    """The root over hashes that come one after the other: pairs are hashed together, an odd last one goes up as it is.
+
+    Held are the roots of full trees, at most one of each height.
+    """
+
+    def __init__(self):
+        self.full: list[tuple[int, bytes]] = []
+
+    def add(self, x: bytes) -> None:
+        height, x = 0, _leaf(x)
+        while self.full and self.full[-1][0] == height:
+            height, x = height + 1, _pair(self.full.pop()[1], x)
+        self.full.append((height, x))
+
+    def root(self) -> bytes:
+        out = self.full[-1][1] if self.full else b"\x00" * 32
+        for _, x in reversed(self.full[:-1]):
+            out = _pair(x, out)
+        return out
+
+
 def merkle(leaves: list[bytes]) -> bytes:
-    """The root over hashes: pairs are hashed together, an odd last one goes up as it is."""
-    level = [hashlib.sha256(b"\x00" + x).digest() for x in leaves] or [b"\x00" * 32]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\x01" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    m = Merkle()
+    for x in leaves:
+        m.add(x)
+    return m.root()
 
 
 _RAW = T.StructType([
     T.StructField("key", T.BinaryType()), T.StructField("kind", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("n", T.LongType()),
-    T.StructField("digests", T.ArrayType(T.BinaryType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("payload", T.BinaryType()),
+    T.StructField("digests", T.ArrayType(T.BinaryType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("payload", T.BinaryType()), T.StructField("root", T.BinaryType()),
 ])
 
 
 def _chunked(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """A row for each document (its recipe) and one for each chunk."""
-    arrow = pa.schema([("key", pa.binary()), ("kind", pa.string()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64())), ("payload", pa.binary())])
+    arrow = pa.schema([("key", pa.binary()), ("kind", pa.string()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64())), ("payload", pa.binary()), ("root", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], "<u4")
@@ -182,8 +214,8 @@ def _chunked(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                         sizes.append(e - a)
                         if d not in own:
                             own.add(d)
-                            rows.append((d, "chunk", None, None, e - a, None, None, payload))
-                    rows.append((row.to_bytes(9, "little"), "recipe", doc_id, row, len(ids), digests, sizes, None))
+                            rows.append((d, "chunk", None, None, e - a, None, None, payload, None))
+                    rows.append((row.to_bytes(9, "little"), "recipe", doc_id, row, len(ids), digests, sizes, None, merkle(digests)))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
@@ -197,11 +229,12 @@ def write(docs: DataFrame, path: str, end_id: int, store: str) -> None:
     raw = f"{store}/raw"
     # chunks meet by digest, each at most once from a task; recipes have keys of their own
     _chunked(docs, path, end_id).dropDuplicates(["key"]).write.partitionBy("kind").option("compression", "zstd").parquet(raw)
-    recipes = spark.read.schema(_RAW).parquet(raw).where("kind = 'recipe'").select("doc_id", "row", "n", "digests", "sizes")
-    started = running(recipes, [], ["doc_id", "row"], {"start": "n"}, "starts")
-    root = F.udf(lambda x: merkle([bytes(d) for d in x]), T.BinaryType())
-    made = started.select("doc_id", "start", F.col("n").alias("n_tokens"), "digests", "sizes", root("digests").alias("root"))
-    made.repartitionByRange(parts(spark), "start").sortWithinPartitions("start").withColumn("part", F.spark_partition_id()).write.parquet(f"{store}/recipes")
+    recipes = spark.read.schema(_RAW).parquet(raw).where("kind = 'recipe'").select("doc_id", "row", "n", "digests", "sizes", "root")
+    with scratch(spark):
+        started = running(recipes, [], ["doc_id", "row"], {"start": "n"}, "starts")
+        made = started.select("doc_id", "start", F.col("n").alias("n_tokens"), "digests", "sizes", "root")
+        made.repartitionByRange(parts(spark), "start").sortWithinPartitions("start").withColumn("part", F.spark_partition_id()).write.parquet(f"{store}/recipes")
+    drop_path(spark, f"{raw}/kind=recipe")
     _manifest(_recipes(spark, store)).write.parquet(f"{store}/manifest")
 
 
@@ -214,7 +247,7 @@ def _chunks(spark: SparkSession, store: str) -> DataFrame:
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
-    """One row for each recipe file; a file's roots stream through one task in order, 32 bytes each."""
+    """One row for each recipe file; a file's roots stream through one task in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, state = None, None
@@ -223,10 +256,10 @@ def _manifest(recipes: DataFrame) -> DataFrame:
                 if p != part:
                     if state:
                         yield _file(part, state)
-                    part, state = p, [start, 0, 0, []]
+                    part, state = p, [start, 0, 0, Merkle()]
                 state[1] += 1
                 state[2] += n
-                state[3].append(bytes(root))
+                state[3].add(bytes(root))
         if state:
             yield _file(part, state)
 
@@ -235,14 +268,14 @@ def _manifest(recipes: DataFrame) -> DataFrame:
 
 
 def _file(part, state) -> pd.DataFrame:
-    return pd.DataFrame([(part, state[0], state[1], state[2], merkle(state[3]))], columns=["part", "start", "documents", "tokens", "root"])
+    return pd.DataFrame([(part, state[0], state[1], state[2], state[3].root())], columns=["part", "start", "documents", "tokens", "root"])
 
 
 def read_ids(spark: SparkSession, store: str) -> DataFrame:
     """doc_id, start and ids (packed as unsigned 32-bit) of every document, put together from the chunks."""
-    links = _sound(spark, store).select("doc_id", "start", "n_tokens", F.posexplode_outer("digests").alias("pos", "digest"))
+    links = _places(spark, store)
     payload = F.struct("pos", "digest", "n", "payload")
-    rows = links.join(_chunks(spark, store), "digest", "left").groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(payload)).alias("c"))
+    rows = _found(links, _chunks(spark, store), _recipes(spark, store)).groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(payload)).alias("c"))
 
     def whole(c, n_tokens):
         for x in c:
@@ -258,13 +291,42 @@ def read_ids(spark: SparkSession, store: str) -> DataFrame:
     return rows.select("doc_id", "start", F.udf(whole, T.BinaryType())("c", "n_tokens").alias("ids"))
 
 
-def _sound(spark: SparkSession, store: str) -> DataFrame:
-    """The recipes, held against the manifest and their own roots."""
+def _places(spark: SparkSession, store: str) -> DataFrame:
+    """doc_id, start, n_tokens, pos, digest, size, behind (bytes of ids after it): the chunks of all recipes, which are held against the manifest and their roots."""
     recipes = _recipes(spark, store)
     _verify_manifest(spark, store, recipes)
-    root = F.udf(lambda x: merkle([bytes(d) for d in x]), T.BinaryType())
-    sound = F.when(root("digests") == F.col("root"), F.lit(True)).otherwise(F.raise_error(F.lit("a recipe does not have its root")))
-    return recipes.select("doc_id", "start", "n_tokens", "digests", "sizes", sound.alias("sound")).where("sound")
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            digests, pos, sizes, behind = [], [], [], []
+            for ds, ns, root in zip(b["digests"], b["sizes"], b["root"], strict=True):
+                if merkle([bytes(d) for d in ds]) != bytes(root):
+                    raise ValueError("a recipe does not have its root")
+                ends = np.cumsum(ns)
+                digests.extend(ds)
+                pos.append(np.arange(len(ds)))
+                sizes.append(ns)
+                behind.append((ends[-1] - ends) * 4)
+            if not digests:
+                continue
+            out = b[["doc_id", "start", "n_tokens"]].loc[b.index.repeat([len(x) for x in pos])].reset_index(drop=True)
+            yield out.assign(pos=np.concatenate(pos), digest=digests, size=np.concatenate(sizes), behind=np.concatenate(behind))
+
+    return recipes.select("doc_id", "start", "n_tokens", "digests", "sizes", "root").mapInPandas(opened, "doc_id long, start long, n_tokens long, pos long, digest binary, size long, behind long")
+
+
+def _found(links: DataFrame, chunks: DataFrame, recipes: DataFrame) -> DataFrame:
+    """``links`` with what ``chunks`` has of their digest, null where there is none."""
+    spark = links.sparkSession
+    n = parts(spark)
+    asked = recipes.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
+    total = recipes.agg(F.coalesce(F.sum(F.size("digests")), F.lit(0)).alias("n")).first().n
+    hot = F.broadcast(asked.where(F.col("n") * HOT > total).where(F.col("n") > n).select("digest", F.lit(True).alias("hot")))  # HOT rows at most
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("start"), F.lit(n))).otherwise(F.lit(0).cast("long"))
+    copies = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    left = links.join(hot, "digest", "left").withColumn("salt", salt).drop("hot")
+    right = chunks.join(hot, "digest", "left").withColumn("salt", copies).drop("hot")
+    return left.join(right, ["digest", "salt"], "left").drop("salt")
 
 
 _POLY = np.uint64(0xEDB88320)
@@ -316,12 +378,9 @@ def checked(spark: SparkSession, store: str) -> DataFrame:
             crc = shifted(b["crc"].to_numpy(np.uint64), b["behind"].to_numpy(np.uint64))
             yield b[["doc_id", "start", "n_tokens", "n"]].assign(crc=crc.astype(np.int64))
 
-    sound = _sound(spark, store)
-    behind = F.transform("sizes", lambda s, i: F.aggregate(F.slice("sizes", i + 2, F.size("sizes")), F.lit(0).cast("long"), lambda a, x: a + x) * 4)
-    zipped = F.arrays_zip(F.col("digests").alias("digest"), F.col("sizes").alias("size"), behind.alias("behind"))
-    links = sound.select("doc_id", "start", "n_tokens", F.explode_outer(zipped).alias("l")).select("doc_id", "start", "n_tokens", "l.digest", "l.size", "l.behind")
+    links = _places(spark, store)
     sums = _chunks(spark, store).mapInPandas(verify, "digest binary, n long, crc long")
-    rows = links.join(sums, "digest", "left").mapInPandas(place, "doc_id long, start long, n_tokens long, n long, crc long")
+    rows = _found(links, sums, _recipes(spark, store)).mapInPandas(place, "doc_id long, start long, n_tokens long, n long, crc long")
     found = rows.groupBy("start").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n").alias("_n"), F.bit_xor("crc").alias("ids_crc32"))
     whole = F.when(F.col("_n") == F.col("n_tokens"), F.lit(True)).otherwise(F.raise_error(F.lit("a document does not have its number of tokens")))
     return found.where(whole).select("doc_id", "start", "n_tokens", "ids_crc32")
