@@ -10,7 +10,8 @@ corrects: (matches / BINS - c) / (1 - c), c = 2^-BITS, not below 0.
 Defined cases: a text without words (null, empty or blank) has the fingerprint '' which is like ''
 alone. Several rows of one doc_id each look at the next lower doc_id; of several rows there the one
 with the least text serves. A null doc_id has no next document: its edited text lacks the last
-third, and near_next is null.
+third, and near_next is null. Repeated rows get equal results. An empty table gives an empty one. Texts of any length
+are taken whole, in one row's memory. Extra columns take no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ encode alone as one token: each is encoded. A text then falls into pre-tokens th
 independently: those proved under (3) count one, and only the rest is merged, once for each
 distinct one. A model for which (1) fails, or which normalises texts, is used as it is.
 
-Defined cases: a null or empty text has 0 tokens and 0 bytes; special strings in texts are text.
+Defined cases: a null or empty text has 0 tokens and 0 bytes; special strings in texts are text;
+repeated rows are counted each; an empty table gives an empty one. Texts of any length are counted whole, in one row's
+memory. Extra columns take no part, whatever their names; ``keep`` names those that are returned.
 """
 
 from __future__ import annotations
