@@ -115,13 +115,17 @@ def keyed_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, tota
     """``left`` joined on ``on`` to ``right``, which is narrow, written, and has one row for each key.
 
     ``rows`` is right's column with the key's number of rows in ``left``, and ``total`` the number of all
-    of them. Rows of hot keys stay where they are: their keys, HOT at most by definition, are
-    broadcast. All other keys are joined by shuffle, and none of them fills a task.
+    of them. Rows of hot keys stay where they are: both sides are split by the hashes of the hot
+    keys, HOT numbers at most, which come to the driver, and right's part of them is broadcast. All other keys are joined
+    by shuffle, and none of them fills a task. A key that shares a hot one's hash goes with it on both sides.
     """
-    hot = F.col(rows) * HOT > total
-    top = F.broadcast(right.where(hot))
-    rest = left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti")
-    return left.join(top, on).unionByName(rest.join(right.where(~hot), on, how))
+    key = F.xxhash64(*on)
+    hashes = [r.h for r in right.where(F.col(rows) * HOT > total).select(key.alias("h")).collect()]
+    if not hashes:
+        return left.join(right, on, how)
+    names = ", ".join(f"`{c}`" for c in on)
+    hot = F.expr(f"xxhash64({names}) IN ({', '.join(f'{h}L' for h in sorted(hashes) if h != -(2**63))})") if any(h != -(2**63) for h in hashes) else F.lit(False)
+    return left.where(hot).join(F.broadcast(right.where(hot)), on, how).unionByName(left.where(~hot).join(right.where(~hot), on, how))
 
 
 def uniform(*parts: Column) -> Column:
