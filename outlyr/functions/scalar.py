@@ -51,6 +51,11 @@ def fraction_label(b: Column) -> Column:
     return F.regexp_replace(F.bround(F.lit(1.0) - b, 2).cast("string"), r"(\.\d*?)0+$", "$1")
 
 
+def log_count(n: Column) -> Column:
+    """The natural logarithm of a count; null for none."""
+    return F.ln(F.when(n > 0, n))
+
+
 def merged(first: Column, second: Column) -> Column:
     """Two maps in one; for a common key the second's value stands."""
     keys = F.map_keys(second)

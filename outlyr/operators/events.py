@@ -67,6 +67,28 @@ def peak_scorer(peak: str = "peak") -> Scorer:
     return lambda events: events.withColumn("score", F.greatest(F.col(peak), F.lit(0.0)) / (1 + F.greatest(F.col(peak), F.lit(0.0))))
 
 
+def process_models(z: DataFrame, group: Sequence[str], place: str, eps: float, min_samples: int = 15, volume: float = 1.0, least_size: float = 5.0, least_score: float = 0.15, radius: float = 6.0, scorer: Scorer | None = None) -> DataFrame:
+    """One statistical model's events, for all groups (dataset and model) at once: cells above their cutoff, clustered, filtered by size, scored, filtered by score, numbered from 1.
+
+    ``z``: group, ``place`` (unique over all groups), the position x, y, zz and the value z. A group without events has no rows.
+    """
+    over = thresholded(z, group)
+    placed = over.select(*group, place, "x", "y", F.col("zz").alias("z"), F.col("z").alias("_value"))
+    found = spatial.dbscan(placed, place, eps, min_samples, group=group)
+    cells = placed.join(found, [*group, place])
+    agg = cells.groupBy(*group, "cluster").agg(F.count("*").alias("n_points"), F.max("_value").alias("peak"), *[F.avg(c).alias(c) for c in spatial.XYZ])
+    sized = agg.withColumn("size", F.col("n_points") * F.lit(volume))
+    strong = local_strength(sized, "cluster", "size", radius, group)
+    kept = filter_size(strong, volume, least_size)
+    scored = (scorer or peak_scorer())(kept).where(F.col("score") > least_score)
+    return ranking.renumber(scored, group, ["cluster"], "event", 1)
+
+
+def build_tasks(events: DataFrame, ligands: DataFrame, conformers: DataFrame) -> DataFrame:
+    """Every event with every ligand and conformer: a product that is asked for, of two sides that have a few rows a dataset."""
+    return events.crossJoin(ligands).crossJoin(conformers)
+
+
 def best_ligand_score(scores: DataFrame, event: Sequence[str], score: str = "score") -> DataFrame:
     """The highest score over ligands, 0 at least."""
     return scores.groupBy(*event).agg(F.greatest(F.max(score), F.lit(0.0)).alias(score))

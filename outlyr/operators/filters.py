@@ -71,15 +71,17 @@ def quota(df: DataFrame, group: str, order: str, tie: str, ref: str, hard: int,
 def containing(pairs: DataFrame, reference: DataFrame, item: str, key: str) -> DataFrame:
     """Items whose keys contain all of ``reference``'s (relational division)."""
     wanted = reference.select(key).distinct()
+    one = F.broadcast(wanted.agg(F.count("*").alias("_all")))  # one row
     have = pairs.select(item, key).distinct().join(wanted, key).groupBy(item).agg(F.count("*").alias("_n"))
-    return have.join(wanted.agg(F.count("*").alias("_all")), F.col("_n") == F.col("_all")).select(item)
+    every = pairs.select(item).distinct().join(have, item, "left")  # an item contains an empty reference without any key of it
+    return every.join(one, F.coalesce("_n", F.lit(0)) == F.col("_all")).select(item)
 
 
 def common_keys(df: DataFrame, member: str, keys: Sequence[str]) -> DataFrame:
     """Keys that every member has."""
     members = df.agg(F.count_distinct(member).alias("_all"))
     n = df.groupBy(*keys).agg(F.count_distinct(member).alias("_n"))
-    return n.join(members, F.col("_n") == F.col("_all")).select(*keys)
+    return n.join(F.broadcast(members), F.col("_n") == F.col("_all")).select(*keys)  # one row
 
 
 def truncate_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -87,6 +89,37 @@ def truncate_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFram
     return df.join(keys.select(*on).distinct(), list(on), "left_semi")
 
 
+def truncate_resolution(df: DataFrame, d: str, limit: float) -> DataFrame:
+    """Rows at ``limit`` or above."""
+    return df.where(F.col(d) >= limit)
+
+
+def truncate_common(df: DataFrame, member: str, on: Sequence[str], d: str, limit: float) -> DataFrame:
+    """Rows at ``limit`` or above whose key all members have there."""
+    cut = truncate_resolution(df, d, limit)
+    return truncate_keys(cut, common_keys(cut, member, on), on)
+
+
+def masked_rows(df: DataFrame, mask: Column) -> DataFrame:
+    """Rows where a mask is true; null is not."""
+    return df.where(F.coalesce(mask, F.lit(False)))
+
+
+def confident(df: DataFrame, column: str = "Ligand Confidence", level: str = "High") -> DataFrame:
+    """Reviewed rows of one confidence."""
+    return df.where(F.col(f"`{column}`") == level)
+
+
+def with_events(models: DataFrame, events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Models that have an event."""
+    return models.join(events.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def unchanged(df: DataFrame) -> DataFrame:
+    """The preprocessing step that does nothing."""
+    return df
+
+
 def prune_sets(df: DataFrame, group: str, score: str, tie: str, best: int = 3, limit: float = 0.2) -> DataFrame:
     """The ``best`` lowest scores of each group and all others below ``limit``."""
     r = F.row_number().over(Window.partitionBy(group).orderBy(score, tie))

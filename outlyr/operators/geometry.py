@@ -108,6 +108,36 @@ def trilinear(samples: DataFrame, grid: DataFrame, sample: Sequence[str], at: Se
     return a.join(grid.select(*[F.col(g).cast("int") for g in "uvw"], "value"), ["u", "v", "w"]).groupBy(*sample).agg(F.sum(F.col("_w") * F.col("value")).alias("value"))
 
 
+def translated(xyz: Sequence[str], shift: Sequence[float]) -> list[Column]:
+    """Three columns: positions moved into a cell whose origin is elsewhere."""
+    return [F.col(c) + F.lit(float(s)) for c, s in zip(xyz, shift, strict=True)]
+
+
+def partition_cells(cells: DataFrame, residues: DataFrame, item: str, residue: str, radius: float = 10.0, images: DataFrame | None = None, clear: float = 1.0) -> DataFrame:
+    """(item, residue, distance): each grid cell with its nearest residue within ``radius``; cells at ``clear`` or nearer to a symmetry image (ix, iy, iz) are left out.
+
+    ``cells``: item, x, y, z; ``residues``: residue, rx, ry, rz.
+    """
+    from outlyr.operators.spatial import nearest, range_join
+
+    best = nearest(cells.select(item, "x", "y", "z"), residues, item, residue, radius, right_xyz=("rx", "ry", "rz"))
+    if images is None:
+        return best
+    close = range_join(cells.select(item, "x", "y", "z"), images.select("ix", "iy", "iz"), clear, right_xyz=("ix", "iy", "iz"), strict=False)
+    return best.join(close.select(item).distinct(), item, "left_anti")
+
+
+def aligned_maps(samples: DataFrame, grid: DataFrame, transforms: DataFrame, keys: Sequence[str], cell: str, residue: str, spacing: float, shape: Sequence[int]) -> DataFrame:
+    """(keys, cell, value): a map read at each cell's place under its residue's transform, between grid points.
+
+    ``samples``: keys, cell, residue, x, y, z; ``transforms``: keys, residue, mat, com_mov, com_ref (moving to reference).
+    """
+    at = samples.join(transforms.select(*keys, residue, "mat", "com_mov", "com_ref"), [*keys, residue])
+    back = moved(("x", "y", "z"), "mat", "com_mov", "com_ref", inverse=True)
+    placed = at.select(*keys, cell, *[(c / F.lit(float(spacing))).alias(f"_g{n}") for c, n in zip(back, "xyz", strict=True)])
+    return trilinear(placed, grid, [*keys, cell], ("_gx", "_gy", "_gz"), shape)
+
+
 def dense(mask: DataFrame, sparse: DataFrame, key: str = "cell", value: str = "value") -> DataFrame:
     """All cells of a mask with a sparse map's values, 0 where it has none."""
     return mask.select(key).join(sparse.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(0.0)))

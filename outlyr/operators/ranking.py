@@ -41,9 +41,25 @@ def rank_by_build(events: DataFrame, builds: DataFrame, keys: Sequence[str], sco
     return ranked(joined, [F.desc("build_score"), *keys])
 
 
+def rank_by_event_build(df: DataFrame, score: str, tie: Sequence[str]) -> DataFrame:
+    """Rank by the score of the build that an event carries, descending; none ranks last."""
+    return ranked(df, [F.col(score).desc_nulls_last(), *tie])
+
+
+def rank_by_best_build(df: DataFrame, builds: DataFrame, score: str, tie: Sequence[str]) -> DataFrame:
+    """``rank_by_build`` with the keys as tie-breakers."""
+    return rank_by_build(df, builds, tie, score)
+
+
+def sorted_by_tag(df: DataFrame, tag: str = "dtag") -> DataFrame:
+    """``df`` with its rank by name."""
+    return ranked(df, [tag])
+
+
 def rank_events(df: DataFrame, method: str, tie: Sequence[str], **columns: str) -> DataFrame:
-    """Rank by a named method: ``site`` or ``signal``."""
-    return {"site": rank_by_site, "signal": rank_by_signal}[method](df, tie=tie, **columns)
+    """Rank by a named method: ``site``, ``signal``, ``build`` or ``event_build``."""
+    methods = {"site": rank_by_site, "signal": rank_by_signal, "build": rank_by_best_build, "event_build": rank_by_event_build}
+    return methods[method](df, tie=tie, **columns)
 
 
 def ranked(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
@@ -68,10 +84,31 @@ def interpolate(x: Column, knots: Sequence[tuple[float, float]]) -> Column:
     return F.when(x <= knots[0][0], F.lit(float(knots[0][1]))).otherwise(out)
 
 
-def interpolate_table(df: DataFrame, x: str, table: DataFrame, out: str = "p", knots: int = 10_000) -> DataFrame:
-    """Interpolation on a quantile table (x, p) of at most ``knots`` rows, read from a source."""
-    rows = [(r["x"], r["p"]) for r in table.select(F.col("x").cast("double"), F.col("p").cast("double")).orderBy("x").limit(knots).collect()]
-    return df.withColumn(out, interpolate(F.col(x), rows))
+def interpolate_table(df: DataFrame, x: str, table: DataFrame, out: str = "p") -> DataFrame:
+    """Interpolation on a quantile table (x, p) of any length, clamped at both ends; of equal x the largest p counts.
+
+    Rows and knots are ranked together by x, so that a row finds the knots around it in its own
+    range or, at a range's edge, in what the ranges before and after have; nothing is gathered but one knot a range.
+    """
+    from outlyr.operators.spatial import ensure_checkpoints
+
+    ensure_checkpoints(df.sparkSession)
+    knots = table.groupBy(F.col("x").cast("double").alias("_x")).agg(F.max(F.col("p").cast("double")).alias("_p")).where("_x is not null")
+    knot = F.struct(F.col("_x").alias("x"), F.col("_p").alias("p"))
+    none = F.lit(None).cast("struct<x: double, p: double>")
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(x).cast("double").alias("_x"), none.alias("_k"))
+    both = rows.unionByName(knots.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_x", knot.alias("_k")))
+    dealt = both.repartitionByRange("_x").withColumn("_r", F.spark_partition_id()).checkpoint()
+    edges = dealt.groupBy("_r").agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))  # one row a range
+    order = Window.orderBy("_r")
+    edges = edges.select("_r", F.last("_hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    up = Window.partitionBy("_r").orderBy("_x")
+    a = dealt.withColumn("_a", F.last("_k", True).over(up)).withColumn("_b", F.last("_k", True).over(Window.partitionBy("_r").orderBy(F.desc("_x"))))
+    a = a.where("_row is not null").join(F.broadcast(edges), "_r").withColumn("_a", F.coalesce("_a", "_before")).withColumn("_b", F.coalesce("_b", "_after"))
+    slope = F.try_divide(F.col("_b.p") - F.col("_a.p"), F.col("_b.x") - F.col("_a.x"))
+    between = F.col("_a.p") + (F.col("_x") - F.col("_a.x")) * F.coalesce(slope, F.lit(0.0))
+    p = F.when(F.col("_x").isNull(), F.lit(None).cast("double")).when(F.col("_a").isNull(), F.col("_b.p")).when(F.col("_b").isNull(), F.col("_a.p")).otherwise(between)
+    return a.select("_row.*", p.alias(out))
 
 
 def remaining_hit_probability(df: DataFrame, site: str, score: str, tie: Sequence[str], p: str = "p", out: str = "hit_in_site_probability") -> DataFrame:

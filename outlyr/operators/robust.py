@@ -131,6 +131,36 @@ def optimal_contour(df: DataFrame, item: str, value: str, inside: str, low: floa
     return best.select(item, (F.lit(low) + (-F.col("_b.neg")) * F.lit(step)).alias("contour"), F.col("_b.gain").alias("gain"))
 
 
+def apply_scale(df: DataFrame, scales: DataFrame, item: str, x: str, y: str, out: str) -> DataFrame:
+    """``df`` with ``out``: y * exp(scale * x) by each item's own fitted scale."""
+    return df.join(scales.select(item, F.col("scale").alias("_s")), item).withColumn(out, F.col(y) * F.exp(F.col("_s") * F.col(x))).drop("_s")
+
+
+def normal_cdf(x: Column) -> Column:
+    """The standard normal distribution by a rational approximation of the error function, to 1.5e-7."""
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * F.abs(x) / F.lit(2.0**0.5))
+    poly = t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (F.lit(1.421413741) + t * (F.lit(-1.453152027) + t * F.lit(1.061405429)))))
+    half = F.lit(0.5) * poly * F.exp(-x * x / F.lit(2.0))
+    return F.when(x >= 0, F.lit(1.0) - half).otherwise(half)
+
+
+def normality(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """(group, n, statistic): the largest distance of the empirical distribution from the normal one with the sample's mean and deviation.
+
+    Groups without spread have none.
+    """
+    w = Window.partitionBy(*group)
+    a = df.withColumn("_m", F.avg(value).over(w)).withColumn("_s", F.stddev_samp(value).over(w)).withColumn("_n", F.count(value).over(w)).where("_s > 0")
+    a = a.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_f", normal_cdf((F.col(value) - F.col("_m")) / F.col("_s")))
+    gap = F.greatest(F.col("_r") / F.col("_n") - F.col("_f"), F.col("_f") - (F.col("_r") - 1) / F.col("_n"))
+    return a.groupBy(*group).agg(F.max("_n").alias("n"), F.max(gap).alias("statistic"))
+
+
+def difference(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """(keys, difference): one map less another on their common cells."""
+    return a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), list(keys)).select(*keys, (F.col("_a") - F.col("_b")).alias("difference"))
+
+
 def scale_fit(reference: DataFrame, moving: DataFrame, item: str, keys: Sequence[str], x: str, y: str, low: float = -15.0, step: float = 0.5, count: int = 61) -> DataFrame:
     """(item, scale): exp-scale of the moving bin means onto the reference's, least absolute difference on a grid.
 
@@ -161,11 +191,14 @@ def regression_spread(df: DataFrame, item: str, value: str) -> DataFrame:
     return mid.groupBy(item).agg(F.regr_slope(value, "_q").alias("spread"))
 
 
+#: Coefficients of the approximation, from the highest power down.
+QUANTILE_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+QUANTILE_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+
+
 def central_normal_quantile(p: Column) -> Column:
     """Inverse normal distribution for 0.02425 <= p <= 0.97575, to 1e-9."""
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
     q = p - F.lit(0.5)
     r = q * q
     poly = lambda c: __import__("functools").reduce(lambda s, x: s * r + F.lit(x), c[1:], F.lit(c[0]))
-    return poly(a) * q / poly(b)
+    return poly(QUANTILE_A) * q / poly(QUANTILE_B)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 XYZ = ("x", "y", "z")
+#: The most symmetry operators of any space group, centring included.
+OPERATORS = 192
 
 
 def distance(a: Sequence[str], b: Sequence[str]) -> Column:
@@ -51,10 +53,13 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radi
 def images(df: DataFrame, operators: DataFrame, xyz: Sequence[str] = XYZ) -> DataFrame:
     """Symmetry images in fractional space: each row under each operator (r11..r33, t1..t3) and each of 27 shifts.
 
-    The operators are a space group's, 192 at most, and are broadcast.
+    The operators are a space group's, 192 at most in any, which is checked; so the product has 5184 rows
+    for each of ``df`` at most, and the operators are broadcast.
     """
+    if operators.count() > OPERATORS:
+        raise ValueError(f"more than {OPERATORS} symmetry operators are those of no space group")
     shift = F.sequence(F.lit(-1), F.lit(1))
-    a = df.join(F.broadcast(operators.limit(192)))
+    a = df.join(F.broadcast(operators))
     for c in ("_i", "_j", "_k"):
         a = a.withColumn(c, F.explode(shift))
     for i, (c, s) in enumerate(zip(XYZ, ("_i", "_j", "_k"), strict=True), 1):
@@ -235,6 +240,22 @@ def knn(vectors: DataFrame, item: str, vector: str, k: int, group: Sequence[str]
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def first_set(vectors: DataFrame, item: str, group: Sequence[str], first: int = 30) -> DataFrame:
+    """(group, member): the first items of each group by name."""
+    from pyspark.sql.window import Window
+
+    a = vectors.select(*group, F.col(item).alias("member")).withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("member")))
+    return a.where(F.col("_r") <= first).drop("_r")
+
+
+def characterization_sets(vectors: DataFrame, item: str, vector: str, group: Sequence[str], k: int = 24, first: int = 30) -> DataFrame:
+    """(group, set_no, member): disjoint neighbourhoods of ``k``, and the first items of each group as one set more, also where there is no other."""
+    sets = claim_groups(knn(vectors, item, vector, k, group), group)
+    top = sets.groupBy(*group).agg(F.max("set_no").alias("_m"))
+    more = first_set(vectors, item, group, first).join(top, list(group), "left")
+    return sets.unionByName(more.select(*group, (F.coalesce("_m", F.lit(0)) + 1).cast("int").alias("set_no"), "member"))
+
+
 def claim_groups(neighbours: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group, set_no, member): neighbourhoods in order of mean distance, taken where no member is taken yet."""
     fields = ", ".join([*(f"{g} {neighbours.schema[g].dataType.simpleString()}" for g in group), "set_no int, member long"])

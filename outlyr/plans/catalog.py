@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,14 +161,14 @@ def nearest_neighbours(spark, sf_dir):
     return spatial.knn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5, ["label"]).select("label", "item", "neighbour", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query("claimed_sets")
+@query("claimed_sets", f"""WITH RECURSIVE {KNN}, k AS (SELECT label, item, avg(distance) AS radius, list(neighbour ORDER BY rank) AS near FROM ranked WHERE rank <= 24 GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY radius, item) AS i FROM k),
+walk AS (SELECT label, 0::BIGINT AS i, []::BIGINT[] AS taken, 0 AS set_no, false AS won, []::BIGINT[] AS near FROM (SELECT DISTINCT label FROM embeddings)
+UNION ALL SELECT w.label, o.i, CASE WHEN list_has_any(w.taken, o.near) THEN w.taken ELSE list_concat(w.taken, o.near) END, CASE WHEN list_has_any(w.taken, o.near) THEN w.set_no ELSE w.set_no + 1 END, NOT list_has_any(w.taken, o.near), o.near FROM walk w JOIN o ON o.label = w.label AND o.i = w.i + 1),
+sets AS (SELECT label, set_no, unnest(near) AS member FROM walk WHERE won), first AS (SELECT label, vec_id AS member, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings)
+SELECT label, set_no::INT AS set_no, member FROM sets UNION ALL SELECT label, (coalesce(m, 0) + 1)::INT, member FROM first LEFT JOIN (SELECT label, max(set_no) AS m FROM sets GROUP BY label) USING (label) WHERE r <= 30""")
 def claimed_sets(spark, sf_dir):
     """Disjoint neighbourhoods of 24, and the first 30 of each label as one more set."""
-    e = table(spark, sf_dir, "embeddings")
-    sets = spatial.claim_groups(spatial.knn(e, "vec_id", "embedding", 24, ["label"]), ["label"])
-    first = ranking.renumber(e.select("label", F.col("vec_id").alias("member")), ["label"], ["member"], "_r").where("_r <= 30").drop("_r")
-    top = sets.groupBy("label").agg(F.max("set_no").alias("_m"))
-    return sets.unionByName(first.join(top, "label", "left").select("label", (F.coalesce("_m", F.lit(0)) + 1).alias("set_no"), "member"))
+    return spatial.characterization_sets(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", ["label"])
 
 
 @query("first_members", "SELECT label, vec_id, rank::INT AS rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings) WHERE rank <= 30")
@@ -304,11 +306,14 @@ def cell_events(spark, sf_dir):
     return ev.local_strength(ev.cluster_events(placed, ["vec_id"], "place", 2.0, 1), "event", "size", group=["vec_id"])
 
 
-@query("suppressed_points")
+@query("suppressed_points", f"""WITH RECURSIVE {POINTS}, o AS (SELECT pts.*, row_number() OVER (PARTITION BY label ORDER BY embedding[4] DESC, vec_id) AS i FROM pts JOIN (SELECT vec_id, embedding FROM embeddings) USING (vec_id)),
+walk AS (SELECT label, 0::BIGINT AS i, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)[] AS kept FROM (SELECT DISTINCT label FROM embeddings)
+UNION ALL SELECT w.label, o.i, CASE WHEN len([p for p in w.kept if sqrt((p.x - o.x) ** 2 + (p.y - o.y) ** 2 + (p.z - o.z) ** 2) < 1.5]) > 0 THEN w.kept ELSE list_append(w.kept, {{'id': o.vec_id, 'x': o.x, 'y': o.y, 'z': o.z}}) END FROM walk w JOIN o ON o.label = w.label AND o.i = w.i + 1)
+SELECT label, unnest(kept).id AS vec_id FROM (SELECT label, arg_max(kept, i) AS kept FROM walk GROUP BY label)""")
 def suppressed_points(spark, sf_dir):
     """Greedy suppression by score within each label."""
-    p = points(spark, sf_dir).withColumn("score", F.xxhash64("vec_id"))
-    return spatial.suppress(p, ["label"], "vec_id", "score", 1.5).select("label", "vec_id")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[3].alias("score"))
+    return spatial.suppress(points(spark, sf_dir).join(e, "vec_id"), ["label"], "vec_id", "score", 1.5).select("label", "vec_id")
 
 
 @query("hierarchical_sites")
@@ -350,7 +355,12 @@ def atom_standardised(spark, sf_dir):
     return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.round(F.try_divide(F.col("l_extendedprice") - F.col("a"), F.expr("nullif(s, 0)")), 6).alias("scaled"))
 
 
-@query("regression_spread")
+def _poly(c: tuple[float, ...]) -> str:
+    return reduce(lambda s, x: f"(({s}) * r * r + {x!r}::DOUBLE)", c[1:], f"{c[0]!r}::DOUBLE")
+
+
+@query("regression_spread", f"""WITH {CELLS}, k AS (SELECT vec_id, value, (row_number() OVER (PARTITION BY vec_id ORDER BY value) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY vec_id) - 0.5::DOUBLE AS r FROM cells)
+SELECT vec_id, round(regr_slope(value, {_poly(robust.QUANTILE_A)} * r / {_poly(robust.QUANTILE_B)}), 6) AS spread FROM k WHERE abs(r) < 1 / 3.0::DOUBLE GROUP BY vec_id""")
 def regression_spread(spark, sf_dir):
     """Spread of each vector's cells by the slope on normal quantiles."""
     return robust.regression_spread(cells(spark, sf_dir), "vec_id", "value").select("vec_id", F.round("spread", 6).alias("spread"))
@@ -415,7 +425,7 @@ def symmetry_filter(spark, sf_dir):
     return ev.symmetry_clear(points(spark, sf_dir), ops, "vec_id", 0.9).select("vec_id")
 
 
-@query("superposition")
+@query("superposition", "SELECT label, [0, 1, 0, -1, 0, 0, 0, 0, 1]::DOUBLE[] AS mat, 0.0::DOUBLE AS rmsd FROM embeddings GROUP BY label")
 def superposition(spark, sf_dir):
     """Each label's first points laid on themselves after a known rotation."""
     p = points(spark, sf_dir)

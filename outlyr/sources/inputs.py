@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 REVIEW = T.StructType([T.StructField("dtag", T.StringType()), T.StructField("event_idx", T.IntegerType()), T.StructField("Interesting", T.BooleanType()), T.StructField("Ligand Placed", T.BooleanType()), T.StructField("Ligand Confidence", T.StringType()), T.StructField("Comment", T.StringType()), T.StructField("Viewed", T.BooleanType())])
 QUANTILES = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("p", T.DoubleType())])
@@ -55,11 +56,12 @@ def valid_text(name: str = "name", content: str = "content") -> Column:
 def atoms(spark: SparkSession, path: str, dtag: str | None = None) -> DataFrame:
     """Atoms of PDB files by their fixed columns, first conformer, with the model's number."""
     lines = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     model = F.coalesce(F.last(F.when(F.col("line").startswith("MODEL"), F.substring("line", 11, 4).cast("int")), ignorenulls=True).over(w), F.lit(1))
-    a = lines.withColumn("model", model).where(F.substring("line", 1, 6).isin("ATOM  ", "HETATM") & F.substring("line", 17, 1).isin(" ", "A"))
+    a = lines.withColumn("model", model).where(F.substring("line", 1, 6).isin("ATOM  ", "HETATM"))
+    # of a residue's places for one atom, the first letter's
+    place = Window.partitionBy("path", "model", F.substring("line", 22, 6), F.substring("line", 13, 4)).orderBy(F.substring("line", 17, 1), "n")
+    a = a.withColumn("_place", F.row_number().over(place)).where("_place = 1")
     part = lambda at, n: F.trim(F.substring("line", at, n))
     name = F.lit(dtag) if dtag else F.element_at(F.split("path", "/"), -2)
     return a.select(name.alias("dtag"), "model", part(22, 1).alias("chain"), part(23, 4).alias("seq_id"), part(27, 1).alias("icode"), part(13, 4).alias("atom_id"), part(18, 3).alias("residue_name"), *[part(31 + 8 * i, 8).cast("double").alias(c) for i, c in enumerate("xyz")])
@@ -88,6 +90,17 @@ def checkpoint(spark: SparkSession, path: str, dtag: str, schema: T.StructType)
     return spark.read.schema(schema).parquet(path).where(F.col("dtag") == dtag)
 
 
+def read_builds(spark: SparkSession, path: str, dtag: str | None = None) -> DataFrame:
+    """Autobuilds as they were written, of one dataset or all."""
+    rows = spark.read.parquet(path)
+    return rows if dtag is None else rows.where(F.col("dtag") == dtag)
+
+
+def water_free(a: DataFrame) -> DataFrame:
+    """Atoms of residues other than water."""
+    return a.where(~F.col("residue_name").isin("HOH", "WAT", "DOD"))
+
+
 def discover_column(df: DataFrame, pairs: tuple[tuple[str, str], ...]) -> tuple[str, str]:
     """The first pair of amplitude and phase labels that a table has."""
     for f, phi in pairs:

@@ -54,6 +54,33 @@ def write_maps(long: DataFrame, path: str) -> None:
     long.select("dtag", "model", "kind", "cell", "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dtag", "kind").parquet(path)
 
 
+def builds(events: DataFrame) -> DataFrame:
+    """(dtag, event_idx, path, ligand_key, score, x, y, z, bdc): autobuilds as a table, a row each."""
+    return events.select("dtag", "event_idx", "path", "ligand_key", "score", "x", "y", "z", "bdc")
+
+
+def write_builds(events: DataFrame, path: str) -> None:
+    """Autobuilds by dataset; a dataset that is written again replaces its own partition only."""
+    builds(events).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dtag").parquet(path)
+
+
+def structure_lines(atoms: DataFrame) -> DataFrame:
+    """(dtag, line) of atoms (atom_no, atom_id, residue_name, chain, seq_id, icode, x, y, z) in the fixed columns of the PDB format."""
+    name = F.when(F.length("atom_id") < 4, F.concat(F.lit(" "), F.rpad("atom_id", 3, " "))).otherwise(F.col("atom_id"))
+    line = F.format_string("ATOM  %5d %4s %3s %1s%4s%1s   %8.3f%8.3f%8.3f", "atom_no", name, "residue_name", "chain", "seq_id", F.coalesce(F.when(F.col("icode") != "", F.col("icode")), F.lit(" ")), "x", "y", "z")
+    return atoms.select("dtag", "atom_no", line.alias("line"))
+
+
+def write_structures(atoms: DataFrame, path: str) -> None:
+    """A folder for each dataset with its atoms as text, in order."""
+    structure_lines(atoms).repartition("dtag").sortWithinPartitions("dtag", "atom_no").select("dtag", F.col("line").alias("value")).write.mode("overwrite").partitionBy("dtag").text(path)
+
+
+def layout(root: str, dtag: str) -> dict[str, str]:
+    """Where a dataset's outputs are."""
+    return {k: f"{root}/{k}/dtag={dtag}" for k in ("events", "maps", "builds", "structures", "reports")}
+
+
 def manifest(datasets: DataFrame) -> DataFrame:
     """(dtag, manifest): a dataset's inputs as JSON."""
     return datasets.select("dtag", F.to_json(F.struct(*[c for c in datasets.columns if c != "dtag"])).alias("manifest"))
