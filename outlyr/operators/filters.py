@@ -136,17 +136,23 @@ def comparators(datasets: DataFrame, residues: DataFrame | None, targets: DataFr
     """(target, member): same space group, good R-free, residues that contain the target's, then the quota.
 
     ``datasets``: dtag, resolution, spacegroup, rfree. The target is a member of its own group; groups
-    below ``least`` are dropped. One equi-join on the space group, no product.
+    below ``least`` are dropped. Equi-joins on the space group and the kind of residue set, no product.
     """
     d = datasets.where(below("rfree", max_rfree, 0.0)).select(F.col("dtag").alias("member"), F.col("resolution").alias("_res"), "spacegroup")
     t = targets.select(F.col("dtag").alias("target"), F.col("resolution").alias("_ref"), "spacegroup")
-    pairs = t.join(d, "spacegroup")
-    if residues is not None:
-        want = residues.select(F.col("dtag").alias("target"), "residue").distinct()
-        n = want.groupBy("target").agg(F.count("*").alias("_want"))
-        have = residues.select(F.col("dtag").alias("member"), "residue").distinct()
-        shared = pairs.join(want, "target").join(have, ["member", "residue"]).groupBy("target", "member").agg(F.count("*").alias("_have"))
-        pairs = pairs.join(shared, ["target", "member"]).join(n, "target").where(F.col("_have") == F.col("_want"))
+    if residues is None:
+        pairs = t.join(d, "spacegroup")
+    else:
+        # datasets of one study mostly have one residue set: containment is decided between distinct sets
+        own = residues.groupBy("dtag").agg(F.array_sort(F.collect_set("residue")).alias("_set"))
+        kind = own.select("dtag", F.sha2(F.to_json("_set"), 256).alias("_kind"), "_set")
+        kinds = kind.groupBy("_kind").agg(F.first("_set").alias("_set"))
+        want = kinds.select(F.col("_kind").alias("_a"), F.size("_set").alias("_n"), F.explode("_set").alias("residue"))
+        have = kinds.select(F.col("_kind").alias("_b"), F.explode("_set").alias("residue"))
+        inside = want.join(have, "residue").groupBy("_a", "_b", "_n").agg(F.count("*").alias("_c")).where("_c = _n").select("_a", "_b")
+        t_kind = t.join(kind.select(F.col("dtag").alias("target"), F.col("_kind").alias("_a")), "target").join(inside, "_a")
+        d_kind = d.join(kind.select(F.col("dtag").alias("member"), F.col("_kind").alias("_b")), "member")
+        pairs = t_kind.join(d_kind, ["spacegroup", "_b"])
     chosen = quota(pairs.select("target", "member", "_res", "_ref"), "target", "_res", "member", "_ref", hard, soft, buffer).select("target", "member")
     own = t.select("target", F.col("target").alias("member"))
     return min_group(chosen.unionByName(own).distinct(), "target", least)

@@ -112,9 +112,21 @@ def interpolate_table(df: DataFrame, x: str, table: DataFrame, out: str = "p") -
 
 
 def remaining_hit_probability(df: DataFrame, site: str, score: str, tie: Sequence[str], p: str = "p", out: str = "hit_in_site_probability") -> DataFrame:
-    """1 - prod(1 - p) over the events ranked after this one in its site; 0 for the last."""
-    w = Window.partitionBy(site).orderBy(F.desc(score), *tie).rowsBetween(1, Window.unboundedFollowing)
-    return df.withColumn(out, F.lit(1.0) - F.coalesce(F.product(F.lit(1.0) - F.col(p)).over(w), F.lit(1.0)))
+    """1 - prod(1 - p) over the events ranked after this one in its site; 0 for the last.
+
+    Events are dealt by ranges of site and rank, so that no site has to fit a task: the products of a site's
+    later ranges (a row for each range, and one more for each site) meet those inside the own one.
+    """
+    from outlyr.operators.spatial import ensure_checkpoints
+
+    ensure_checkpoints(df.sparkSession)
+    after = (1, Window.unboundedFollowing)
+    dealt = df.repartitionByRange(F.col(site), F.desc(score), *tie).withColumn("_r", F.spark_partition_id()).checkpoint()
+    totals = dealt.groupBy("_r", site).agg(F.product(F.lit(1.0) - F.col(p)).alias("_t"))
+    later = F.product("_t").over(Window.partitionBy(site).orderBy("_r").rowsBetween(*after))
+    totals = totals.select("_r", site, F.coalesce(later, F.lit(1.0)).alias("_later"))
+    own = F.product(F.lit(1.0) - F.col(p)).over(Window.partitionBy("_r", site).orderBy(F.desc(score), *tie).rowsBetween(*after))
+    return dealt.withColumn("_own", F.coalesce(own, F.lit(1.0))).join(totals, ["_r", site]).withColumn(out, F.lit(1.0) - F.col("_own") * F.col("_later")).select(*df.columns, out)
 
 
 def best_build(builds: DataFrame, event: Sequence[str], score: str, path: str) -> DataFrame:

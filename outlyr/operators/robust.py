@@ -21,9 +21,24 @@ def robust_model(long: DataFrame, group: Sequence[str], floor: float = 0.1) -> D
     return off.groupBy(*group, "median").agg(F.greatest(F.percentile("_d", F.lit(0.5)) / F.lit(0.6745), F.lit(floor)).alias("spread"))
 
 
+def _middle(a: Column) -> Column:
+    """The interpolated median of a sorted array; null of an empty one."""
+    n = F.size(a)
+    return (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / F.lit(2.0)
+
+
 def robust_z(long: DataFrame, group: Sequence[str], floor: float = 0.1) -> DataFrame:
-    """``long`` with median, spread and z = (value - median) / spread."""
-    return long.join(robust_model(long, group, floor), list(group)).withColumn("z", (F.col("value") - F.col("median")) / F.col("spread"))
+    """``long`` with median, spread and z = (value - median) / spread.
+
+    A group's rows (one cell's values in a set of members) are brought together once; both medians come from its
+    sorted values, so the input is read and shuffled once.
+    """
+    others = [c for c in long.columns if c not in group]
+    g = long.groupBy(*group).agg(F.collect_list(F.struct(*others)).alias("_g"))
+    g = g.withColumn("_v", F.array_sort(F.filter(F.transform("_g", lambda e: e["value"]), lambda v: v.isNotNull()))).withColumn("median", _middle(F.col("_v")))
+    g = g.withColumn("_d", F.array_sort(F.transform("_v", lambda v: F.abs(v - F.col("median"))))).withColumn("spread", F.greatest(_middle(F.col("_d")) / F.lit(0.6745), F.lit(floor)))
+    rows = g.select(*group, "median", "spread", F.explode("_g").alias("_e")).select(*group, "_e.*", "median", "spread")
+    return rows.select(*long.columns, "median", "spread", ((F.col("value") - F.col("median")) / F.col("spread")).alias("z"))
 
 
 def mean_z(long: DataFrame, group: Sequence[str]) -> DataFrame:

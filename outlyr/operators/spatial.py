@@ -166,50 +166,72 @@ def suppress_asymmetric(points: DataFrame, group: Sequence[str], item: str, key:
     return points.groupBy(*group).applyInPandas(run, points.schema)
 
 
+#: The most items that one task clusters by linkage: their distances take 8 bytes a pair.
+MOST_LINKED = 20_000
+
+
 def centroid_clusters(positions: np.ndarray, t: float, linkage: str = "centroid") -> np.ndarray:
-    """Flat clusters 1..n of a hierarchical clustering cut at distance ``t``.
+    """Flat clusters 1..n of a hierarchical clustering cut at distance ``t``, ``centroid`` or ``complete``.
 
-    Cuts use the largest height at or below a node, so inversions of centroid linkage do not split what a
+    One matrix of distances is kept and one row of it renewed by a merge; each row knows its nearest later one. Cuts use the
+    largest height at or below a node, so inversions of centroid linkage do not split what a
     higher merge holds together. Clusters are numbered by their first member.
     """
-    n = len(positions)
-    members = {i: [i] for i in range(n)}
-    top = dict.fromkeys(range(n), 0.0)
-    done: list[list[int]] = []
-    merges: list[tuple[int, int, int, float]] = []
-    at = dict(enumerate(np.asarray(positions, float)))
-    new = n
-    while len(members) > 1:
-        ids = sorted(members)
+    p = np.asarray(positions, float)
+    n = len(p)
+    if n > MOST_LINKED:
+        raise ValueError(f"{n} items are too many for the distances of one task, {MOST_LINKED}")
+    if n == 0:
+        return np.zeros(0, int)
+    d = (p * p).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * p @ p.T if n > 2000 else ((p[:, None] - p[None]) ** 2).sum(-1)
+    d = np.maximum(d, 0.0)
+    np.fill_diagonal(d, np.inf)
+    size, top, alive = np.ones(n), np.zeros(n), np.ones(n, bool)
+    node = np.arange(n)  # the tree's node that a row stands for
+    near = d.argmin(axis=1)
+    least = d[np.arange(n), near]
+    children: dict[int, tuple[int, int]] = {}
+    height = dict.fromkeys(range(n), 0.0)
+    for new in range(n, 2 * n - 1):
+        i = int(least.argmin())
+        j = int(near[i])
+        between = d[i, j]
         if linkage == "centroid":
-            p = np.array([at[i] for i in ids])
-            d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+            row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]) - size[i] * size[j] * between / (size[i] + size[j]) ** 2
         else:
-            full = np.sqrt(((np.asarray(positions, float)[:, None] - np.asarray(positions, float)[None]) ** 2).sum(-1))
-            d = np.array([[full[np.ix_(members[i], members[j])].max() for j in ids] for i in ids])
-        d[np.tril_indices(len(ids))] = np.inf
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        a, b = ids[i], ids[j]
-        size = len(members[a]), len(members[b])
-        at[new] = (at[a] * size[0] + at[b] * size[1]) / sum(size)
-        top[new] = max(float(d[i, j]), top[a], top[b])
-        members[new] = members.pop(a) + members.pop(b)
-        merges.append((new, a, b, top[new]))
-        new += 1
-    label = np.zeros(n, int)
-    children = {m: (a, b) for m, a, b, _ in merges}
-
-    def leaves(k: int) -> list[int]:
-        return [k] if k < n else leaves(children[k][0]) + leaves(children[k][1])
-
-    stack = list(members)
+            row = np.maximum(d[i], d[j])
+        children[new] = (int(node[i]), int(node[j]))
+        top[i] = max(float(np.sqrt(max(between, 0.0))), top[i], top[j])
+        height[new] = top[i]
+        size[i] += size[j]
+        node[i], alive[j] = new, False
+        row[~alive] = np.inf
+        row[i] = np.inf
+        d[i], d[:, i] = row, row
+        d[j], d[:, j] = np.inf, np.inf
+        stale = alive & ((near == i) | (near == j))
+        stale[i] = True
+        closer = alive & (row < least)
+        near[closer], least[closer] = i, row[closer]
+        for k in np.flatnonzero(stale & ~closer | (np.arange(n) == i)):
+            near[k] = d[k].argmin()
+            least[k] = d[k, near[k]]
+        least[j] = np.inf
+    label, stack, found = np.zeros(n, int), [int(node[alive][0])], []
     while stack:
         k = stack.pop()
-        if k < n or top[k] <= t:
-            done.append(leaves(k))
-        else:
+        if height[k] > t and k >= n:
             stack += children[k]
-    for c, own in enumerate(sorted(done, key=min), 1):
+            continue
+        own, below = [], [k]
+        while below:
+            x = below.pop()
+            if x < n:
+                own.append(x)
+            else:
+                below += children[x]
+        found.append(own)
+    for c, own in enumerate(sorted(found, key=min), 1):
         label[own] = c
     return label
 
@@ -227,16 +249,45 @@ def linkage_clusters(points: DataFrame, group: Sequence[str], item: str, t: floa
     return points.select(*group, item, *xyz).groupBy(*group).applyInPandas(run, fields)
 
 
+#: Vectors of a block in which all distances are taken.
+BLOCK = 1000
+
+
 def knn(vectors: DataFrame, item: str, vector: str, k: int, group: Sequence[str] = ()) -> DataFrame:
-    """(group, item, neighbour, distance, rank): the k nearest of the same group, the item itself included."""
+    """(group, item, neighbour, distance, rank): the k nearest of the same group, the item itself included.
+
+    Vectors are dealt into blocks; each block meets each other of its group in a task that gives the k best for each
+    of its items, so rows grow with items, blocks and k, not with pairs.
+    """
     from pyspark.sql.window import Window
 
-    a = vectors.select(*group, F.col(item).alias("item"), F.col(vector).alias("_a"))
-    b = vectors.select(*group, F.col(item).alias("neighbour"), F.col(vector).alias("_b"))
-    pairs = a.join(b, list(group))
-    d = F.sqrt(F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
+    a = vectors.select(*group, F.col(item).cast("long").alias("item"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = a.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_of"))  # a row a group
+    dealt = a.join(blocks, list(group)) if group else a.crossJoin(F.broadcast(blocks))
+    block = F.pmod(F.xxhash64("item"), F.col("_of")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_of") - 1))
+    keys = [*group, "_p", "_q"]
+    own = lambda p, q: dealt.select(*[F.col(c).alias(c) for c in (*group, "item", "v")], p.alias("_p"), q.alias("_q"))
+    left, right = own(block, every), own(every, block)
+    fields = ", ".join([*(f"`{g}` {vectors.schema[g].dataType.simpleString()}" for g in group), "item long, neighbour long, distance double"])
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({c: [] for c in [*group, "item", "neighbour", "distance"]})
+        own, ids = x["item"].to_numpy(), y["item"].to_numpy()
+        p, q = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy())
+        places, distances = [], []
+        for i in range(0, len(own), 64):
+            d = np.sqrt(((p[i : i + 64, None] - q[None]) ** 2).sum(-1)).round(9)
+            for row, item in zip(d, own[i : i + 64], strict=True):
+                order = np.lexsort((ids, ids != item, row))[:k]
+                places.append(order)
+                distances.append(row[order])
+        out = {g: x[g].iloc[0] for g in group} | {"item": np.repeat(own, [len(o) for o in places]), "neighbour": ids[np.concatenate(places)], "distance": np.concatenate(distances)}
+        return pd.DataFrame(out)
+
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, fields)
     w = Window.partitionBy(*group, "item").orderBy("distance", F.col("neighbour") != F.col("item"), "neighbour")
-    near = pairs.select(*group, "item", "neighbour", F.round(d, 9).alias("distance"))
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

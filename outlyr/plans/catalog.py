@@ -318,11 +318,10 @@ def suppressed_points(spark, sf_dir):
 
 @query("hierarchical_sites")
 def hierarchical_sites(spark, sf_dir):
-    """Centroid linkage of label centroids, merged with a known site."""
-    c = points(spark, sf_dir).groupBy(F.col("label").alias("event")).agg(*[F.avg(k).alias(k) for k in "xyz"])
-    clusters = sites.hierarchical_sites(c, 0.8)
-    known = c.orderBy("event").limit(1)
-    return sites.merge_sites(clusters, known.select("event", F.lit(1).alias("site")))
+    """Centroid linkage of all points, merged with sites known from an earlier run."""
+    c = points(spark, sf_dir).select(F.col("vec_id").alias("event"), *"xyz")
+    known = c.where("event % 50 = 3").select("event", (F.floor(F.col("event") / 100) + 1).cast("int").alias("site"))
+    return sites.get_sites("hierarchical", known, centroids=c, t=2.0)
 
 
 @query("contour_levels", """WITH lv AS (SELECT i, 1.0 + i * (49.0 / 99) AS level FROM (SELECT unnest(range(100)) AS i)),
