@@ -84,10 +84,21 @@ def interpolate(x: Column, knots: Sequence[tuple[float, float]]) -> Column:
     return F.when(x <= knots[0][0], F.lit(float(knots[0][1]))).otherwise(out)
 
 
+#: Up to so many knots (16 bytes each) are broadcast as an array.
+FEW_KNOTS = 1000
+
+
+def _between() -> Column:
+    """The value at _x between the knots _a and _b around it; where one is missing, the other's."""
+    slope = F.try_divide(F.col("_b.p") - F.col("_a.p"), F.col("_b.x") - F.col("_a.x"))
+    line = F.col("_a.p") + (F.col("_x") - F.col("_a.x")) * F.coalesce(slope, F.lit(0.0))
+    return F.when(F.col("_x").isNull(), F.lit(None).cast("double")).when(F.col("_a").isNull(), F.col("_b.p")).when(F.col("_b").isNull(), F.col("_a.p")).otherwise(line)
+
+
 def interpolate_table(df: DataFrame, x: str, table: DataFrame, out: str = "p") -> DataFrame:
     """Interpolation on a quantile table (x, p) of any length, clamped at both ends; of equal x the largest p counts.
 
-    Rows and knots are ranked together by x, so that a row finds the knots around it in its own
+    Up to FEW_KNOTS knots are broadcast as one sorted array. More are ranked together with the rows by x, so that a row finds the knots around it in its own
     range or, at a range's edge, in what the ranges before and after have; nothing is gathered but one knot a range.
     """
     from outlyr.operators.spatial import ensure_checkpoints
@@ -95,6 +106,11 @@ def interpolate_table(df: DataFrame, x: str, table: DataFrame, out: str = "p") -
     ensure_checkpoints(df.sparkSession)
     knots = table.groupBy(F.col("x").cast("double").alias("_x")).agg(F.max(F.col("p").cast("double")).alias("_p")).where("_x is not null")
     knot = F.struct(F.col("_x").alias("x"), F.col("_p").alias("p"))
+    if knots.count() <= FEW_KNOTS:
+        one = F.broadcast(knots.agg(F.sort_array(F.collect_list(knot)).alias("_k")))  # one row
+        a = df.crossJoin(one).withColumn("_x", F.col(x).cast("double"))
+        a = a.withColumn("_a", F.try_element_at(F.filter("_k", lambda k: k["x"] <= F.col("_x")), F.lit(-1))).withColumn("_b", F.get(F.filter("_k", lambda k: k["x"] >= F.col("_x")), F.lit(0)))
+        return a.select(*df.columns, _between().alias(out))
     none = F.lit(None).cast("struct<x: double, p: double>")
     rows = df.select(F.struct(*df.columns).alias("_row"), F.col(x).cast("double").alias("_x"), none.alias("_k"))
     both = rows.unionByName(knots.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_x", knot.alias("_k")))
@@ -105,10 +121,7 @@ def interpolate_table(df: DataFrame, x: str, table: DataFrame, out: str = "p") -
     up = Window.partitionBy("_r").orderBy("_x")
     a = dealt.withColumn("_a", F.last("_k", True).over(up)).withColumn("_b", F.last("_k", True).over(Window.partitionBy("_r").orderBy(F.desc("_x"))))
     a = a.where("_row is not null").join(F.broadcast(edges), "_r").withColumn("_a", F.coalesce("_a", "_before")).withColumn("_b", F.coalesce("_b", "_after"))
-    slope = F.try_divide(F.col("_b.p") - F.col("_a.p"), F.col("_b.x") - F.col("_a.x"))
-    between = F.col("_a.p") + (F.col("_x") - F.col("_a.x")) * F.coalesce(slope, F.lit(0.0))
-    p = F.when(F.col("_x").isNull(), F.lit(None).cast("double")).when(F.col("_a").isNull(), F.col("_b.p")).when(F.col("_b").isNull(), F.col("_a.p")).otherwise(between)
-    return a.select("_row.*", p.alias(out))
+    return a.select("_row.*", _between().alias(out))
 
 
 def remaining_hit_probability(df: DataFrame, site: str, score: str, tie: Sequence[str], p: str = "p", out: str = "hit_in_site_probability") -> DataFrame:
