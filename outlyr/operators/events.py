@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlyr.operators import ranking, robust, spatial
+from outlyr.operators import filters, ranking, robust, spatial
 
 
 def thresholded(z: DataFrame, group: Sequence[str], quantile: float = 0.98, least: float = 2.0) -> DataFrame:
@@ -60,6 +60,9 @@ def merge_events(events: DataFrame, group: Sequence[str], item: str, t: float) -
 
 #: A scorer takes events and returns them with ``score``. The stand-in is NOT a trained model.
 Scorer = Callable[[DataFrame], DataFrame]
+#: An outlier model takes values and returns those that stand out; a cluster model takes these and returns events;
+#: a characterisation takes vectors and returns sets of comparable ones.
+OutlierModel = ClusterModel = Characterization = Callable[[DataFrame], DataFrame]
 
 
 def peak_scorer(peak: str = "peak") -> Scorer:
@@ -84,6 +87,12 @@ def process_models(z: DataFrame, group: Sequence[str], place: str, eps: float, m
     return ranking.renumber(scored, group, ["cluster"], "event", 1)
 
 
+def evaluate(values: DataFrame, outliers: OutlierModel, clusters: ClusterModel, before: Sequence[filters.Filter] = (), scorer: Scorer | None = None, after: Sequence[filters.Filter] = ()) -> DataFrame:
+    """The stages of a model by exchangeable parts: outliers, clusters, filters, score, filters. One lazy plan."""
+    found = filters.chain(clusters(outliers(values)), before)
+    return filters.chain((scorer or peak_scorer())(found), after)
+
+
 def build_tasks(events: DataFrame, ligands: DataFrame, conformers: DataFrame) -> DataFrame:
     """Every event with every ligand and conformer: a product that is asked for, of two sides that have a few rows a dataset."""
     return events.crossJoin(ligands).crossJoin(conformers)

@@ -141,3 +141,35 @@ def aligned_maps(samples: DataFrame, grid: DataFrame, transforms: DataFrame, key
 def dense(mask: DataFrame, sparse: DataFrame, key: str = "cell", value: str = "value") -> DataFrame:
     """All cells of a mask with a sparse map's values, 0 where it has none."""
     return mask.select(key).join(sparse.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+
+
+def grid_masks(positions: DataFrame, spacing: float, outer: float = 6.0, inner: float = 2.0, atomic: float = 0.5, xyz: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """(u, v, w, inner, atomic): grid points within ``outer`` of any position, and whether they are within the smaller radii."""
+    r = int(np.ceil(outer / spacing))
+    a = positions
+    for c, g in zip(xyz, "uvw", strict=True):
+        a = a.withColumn(g, F.explode(F.sequence(F.floor(F.col(c) / spacing) - r, F.ceil(F.col(c) / spacing) + r)))
+    d = sum(((F.col(g) * spacing - F.col(c)) ** 2 for c, g in zip(xyz, "uvw", strict=True)), F.lit(0.0))
+    near = a.where(d < outer * outer).groupBy("u", "v", "w").agg(F.min(d).alias("_d"))
+    return near.select("u", "v", "w", (F.col("_d") < inner * inner).alias("inner"), (F.col("_d") < atomic * atomic).alias("atomic"))
+
+
+def plane_samples(atoms: DataFrame, group: Sequence[str], n: int, spacing: float) -> DataFrame:
+    """(group, i, j, sx, sy, sz): an n x n grid through the plane of the two main axes of each group's atoms, round their centre.
+
+    Axes point so that their largest part is positive. Groups are molecules: a few hundred atoms at most.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf[["x", "y", "z"]].to_numpy()
+        axes = np.linalg.svd(p - p.mean(axis=0), full_matrices=True)[2][:2]
+        axes = np.array([v * np.sign(v[np.abs(v).argmax()]) for v in axes])
+        i, j = (k.ravel() for k in np.meshgrid(np.arange(n), np.arange(n), indexing="ij"))
+        at = p.mean(axis=0) + spacing * ((i - (n - 1) / 2)[:, None] * axes[0] + (j - (n - 1) / 2)[:, None] * axes[1])
+        out = pd.DataFrame({"i": i, "j": j, "sx": at[:, 0], "sy": at[:, 1], "sz": at[:, 2]})
+        for g in reversed(group):
+            out.insert(0, g, pdf[g].iloc[0])
+        return out
+
+    fields = ", ".join([*(f"{g} {atoms.schema[g].dataType.simpleString()}" for g in group), "i int, j int, sx double, sy double, sz double"])
+    return atoms.select(*group, "x", "y", "z").groupBy(*group).applyInPandas(run, fields)

@@ -217,3 +217,14 @@ def central_normal_quantile(p: Column) -> Column:
     r = q * q
     poly = lambda c: __import__("functools").reduce(lambda s, x: s * r + F.lit(x), c[1:], F.lit(c[0]))
     return poly(QUANTILE_A) * q / poly(QUANTILE_B)
+
+
+def build_metrics(cells: DataFrame, item: Sequence[str], value: str, mean: str, predicted: str, mask: str, fraction: Column, contour: float, high: float = 3.0) -> DataFrame:
+    """(item, signal, noise, num_points) of builds: sums of the corrected map, clipped to 0 .. high.
+
+    Signal is taken where the predicted density is above ``contour``, noise inside the build's mask.
+    """
+    strong = F.col(predicted) > F.lit(contour)
+    clipped = F.least(F.greatest(corrected(value, mean, fraction), F.lit(0.0)), F.lit(high))
+    total = lambda inside: F.coalesce(F.sum(F.when(inside, clipped)), F.lit(0.0))
+    return cells.groupBy(*item).agg(total(strong).alias("signal"), total(F.col(mask)).alias("noise"), F.count_if(strong).alias("num_points"))

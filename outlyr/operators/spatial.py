@@ -327,3 +327,29 @@ def claim_groups(neighbours: DataFrame, group: Sequence[str]) -> DataFrame:
         return out
 
     return neighbours.groupBy(*group).applyInPandas(run, fields)
+
+
+def principal(vectors: DataFrame, vector: str, k: int = 100, out: str | None = None) -> DataFrame:
+    """``vectors`` with ``out`` (``vector`` itself by default): projections on the k main axes of all rows, or on all axes if there are fewer.
+
+    The driver gets the covariance alone, which grows with the length of a vector and not with the rows.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    a = vectors.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    length = a.select(F.size(vector).alias("n")).first()
+    if length is None:
+        return vectors
+    model = PCA(k=min(k, length.n), inputCol="_v", outputCol="_p").fit(a)
+    return model.transform(a).withColumn(out or vector, vector_to_array("_p")).drop("_v", "_p")
+
+
+def mixture_sets(vectors: DataFrame, item: str, vector: str, k: int = 20, components: int = 100, seed: int = 0) -> DataFrame:
+    """(set_no, member): the parts of a Gaussian mixture of k, over the main axes."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import array_to_vector
+
+    a = principal(vectors, vector, components, "_a").withColumn("_v", array_to_vector("_a"))
+    model = GaussianMixture(k=k, featuresCol="_v", predictionCol="_set", seed=seed).fit(a)
+    return model.transform(a).select((F.col("_set") + 1).alias("set_no"), F.col(item).alias("member"))

@@ -93,3 +93,37 @@ def concatenated(tables: dict[str, DataFrame], column: str = "system") -> DataFr
     from functools import reduce
 
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [t.withColumn(column, F.lit(k)) for k, t in tables.items()])
+
+
+def merged_structures(atoms: DataFrame, ligands: DataFrame, dataset: str = "dtag", order: str = "atom_no") -> DataFrame:
+    """``atoms`` with each dataset's chosen ligand added to the first chain of its first model, as residue max + 100.
+
+    First is by ``order``. Both tables have dataset, seq_id and the atoms' other columns; a ligand's own
+    model, chain and seq_id are replaced. Ligands of datasets without atoms go nowhere.
+    """
+    chains = atoms.groupBy(dataset, "model", "chain").agg(F.min(order).alias("_o"), (F.max("seq_id") + 100).alias("seq_id"))
+    first = chains.groupBy(dataset).agg(F.min_by(F.struct("model", "chain", "seq_id"), "_o").alias("_f"))
+    placed = ligands.drop("model", "chain", "seq_id").join(first, dataset).select("*", "_f.model", "_f.chain", "_f.seq_id").drop("_f")
+    return atoms.unionByName(placed, allowMissingColumns=True)
+
+
+def symmetric_deviation(a: DataFrame, b: DataFrame, matches: DataFrame, group: Sequence[str], atom: str) -> DataFrame:
+    """(group, match, rmsd): the least deviation over the symmetry matches of a molecule.
+
+    ``matches`` has match, ``atom`` and to: one row for each atom of a's that a match sends to an atom of b's;
+    it is as long as a molecule has atoms and matches. Equal deviations count for the least match.
+    """
+    other = b.select(*group, F.col(atom).alias("to"), *[F.col(c).alias(f"_o{c}") for c in XYZ])
+    pairs = a.select(*group, atom, *XYZ).join(matches.select("match", atom, "to", *[g for g in group if g in matches.columns]), [atom, *[g for g in group if g in matches.columns]]).join(other, [*group, "to"])
+    d = distance(XYZ, _OTHER)
+    each = pairs.groupBy(*group, "match").agg(F.sqrt(F.avg(d * d)).alias("rmsd"))
+    best = F.min(F.struct("rmsd", "match")).alias("_b")
+    return each.groupBy(*group).agg(best).select(*group, "_b.match", "_b.rmsd")
+
+
+def calibrated(records: DataFrame, build: Sequence[str], tie: Sequence[str], deviation: str = "rmsd") -> DataFrame:
+    """Of each build's ``records`` (one for each ligand and known hit) the one of least deviation; builds without any have none."""
+    rest = [c for c in records.columns if c not in build]
+    order = F.struct(F.col(deviation), *[F.col(c) for c in tie])
+    best = records.where(F.col(deviation).isNotNull()).groupBy(*build).agg(F.min_by(F.struct(*rest), order).alias("_b"))
+    return best.select(*build, "_b.*")
