@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from outlyr.llm import bpe, chat, fingerprint, language_id, mixing, near_dup, oracles, quality, sharding, token_count, token_store
+from outlyr.llm import bpe, chat, filter_audit, fingerprint, language_id, license_scan, mixing, near_dup, oracles, quality, sharding, token_count, token_store, word_runs
 from outlyr.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,21 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.repetitions(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE |= {"op11_license_scan": oracles.LICENSE_SCAN, "op12_word_runs": oracles.WORD_RUNS, "op13_filter_audit": oracles.FILTER_AUDIT}
