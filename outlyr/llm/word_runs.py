@@ -8,7 +8,8 @@ nearer member exists, its period is its smallest. Squares of one period at succe
 
 A run of exponent EXPONENT = 4 or more shows three or more members in each class of the positions where its squares start,
 at every level up to its period: a position q, and one 2q, words on. So classes of fewer than three members are dropped, and texts are left
-at the level n / EXPONENT. Most positions of ordinary prose are gone after three or four levels.
+at the level n / EXPONENT, or where all their positions in classes lie in runs found before. Most positions of ordinary prose are
+gone after three or four levels.
 
 The texts of a batch are refined together, each with classes of its own, by array operations; from level SCAN on, squares are
 found from a table of the distances to the next member, which is updated where classes change, not by looking at all positions.
@@ -70,7 +71,8 @@ class Refinement:
         self.small = np.arange(total)  # the positions by whose classes the next level splits; a dropped one is in no class
         self._drop(np.arange(self.n_classes))
         self.by_size = np.argsort(sizes, kind="stable")
-        self.left = 0  # texts, from the shortest on, that are left
+        self.left = 0  # texts, from the shortest on, that are left for their length
+        self.found: list[np.ndarray] = []  # first and last positions of all runs of exponent 2 or more
 
     def _members(self, classes: np.ndarray) -> np.ndarray:
         n = self.size[classes]
@@ -89,6 +91,35 @@ class Refinement:
             self.cls[self.first[t] : self.first[t] + self.sizes[t]] = -1
             self.left += 1
 
+    def _leave_covered(self) -> None:
+        """Leaves texts whose positions in classes can be in no further run.
+
+        The squares of a run to come start at 2 * level + 1 successive positions or more, all in classes. If these lay inside
+        a run of a smaller period, both periods would hold there, and by the theorem of Fine and Wilf a common divisor.
+        """
+        at = np.flatnonzero(self.cls >= 0)
+        if not len(at):
+            return
+        cut = np.concatenate(([True], at[1:] != at[:-1] + 1))
+        begin, end = at[cut], at[np.concatenate((cut[1:], [True]))]
+        known = np.concatenate(self.found) if self.found else np.zeros((0, 2), np.int64)
+        known = known[np.argsort(known[:, 0], kind="stable")]
+        reach = np.concatenate(([-1], np.maximum.accumulate(known[:, 1])))[np.searchsorted(known[:, 0], begin, side="right")]
+        hopeful = self.text[begin[(end - begin >= 2 * self.level) & (reach < end)]]
+        stay = np.zeros(len(self.sizes), bool)
+        stay[hopeful] = True
+        self.cls[at[~stay[self.text[at]]]] = -1
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First positions and lengths of the runs of this level's period, of exponent 2 or more."""
+        at = self.squares()
+        if not len(at):
+            return at, at
+        new = np.concatenate(([True], at[1:] != at[:-1] + 1))
+        begin, length = at[new], np.diff(np.concatenate((np.flatnonzero(new), [len(at)]))) - 1 + 2 * self.level
+        self.found.append(np.stack((begin, begin + length - 1), axis=1))
+        return begin, length
+
     def squares(self) -> np.ndarray:
         """The positions where a square of this level's period starts, ascending."""
         if self.level < SCAN:
@@ -120,11 +151,12 @@ class Refinement:
         """Go one level on; False if no class is left."""
         self.level += 1
         self._leave()
+        if self.level >= 4 and self.level.bit_count() == 1:
+            self._leave_covered()
         moved = self.small[self.small > 0] - 1
         moved = moved[self.cls[moved] >= 0]
         if not len(moved):
-            self.small = moved
-            return self.left < len(self.by_size)
+            return False  # the last position of a class's text leaves at every level, so none is left
         of, to = self.cls[moved], self.cls[moved + 1]
         by = np.lexsort((moved, to, of))
         moved, of, to = moved[by], of[by], to[by]
@@ -207,16 +239,11 @@ def runs(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     r = Refinement(codes, sizes)
     out = [np.zeros((0, 4), np.int64)]
     while True:
-        at = r.squares()
-        q = r.level
-        if len(at):
-            new = np.concatenate(([True], at[1:] != at[:-1] + 1))
-            begin = at[new]
-            length = np.diff(np.concatenate((np.flatnonzero(new), [len(at)]))) - 1 + 2 * q
-            long = length >= max(SHORTEST, EXPONENT * q)
-            begin, length = begin[long], length[long]
-            text = r.text[begin]
-            out.append(np.stack((text, begin - r.first[text], length, np.full(len(begin), q)), axis=1))
+        begin, length = r.runs()
+        long = length >= max(SHORTEST, EXPONENT * r.level)
+        begin, length = begin[long], length[long]
+        text = r.text[begin]
+        out.append(np.stack((text, begin - r.first[text], length, np.full(len(begin), r.level)), axis=1))
         if not r.refine():
             break
     found = np.concatenate(out)
