@@ -19,7 +19,7 @@ WITH d AS (
 ), rep AS (
   SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + {quality.WINDOW})) AS p FROM twice) GROUP BY rid
 ), m AS (
-  SELECT doc_id, stratum, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  SELECT doc_id, stratum, t, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
     length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS caps, length(t) - length(replace(t, '!', '')) AS excl
@@ -35,15 +35,17 @@ WITH d AS (
   SELECT unnest({list(quality.FACTORS)})::DOUBLE AS f, unnest(range({len(quality.FACTORS)})) AS j
 ), judged AS (
   SELECT *, list_max([len([f for f in {list(quality.FACTORS)} if vs[r] > f::DOUBLE * {list(quality.USUAL.values())}[r]::DOUBLE]) for r in range(1, 6)]) AS level FROM v
+), held AS (  -- equal texts of a stratum are one draw
+  SELECT stratum, t, min(q) AS q, max(level) AS level FROM judged JOIN truth USING (doc_id) WHERE NOT base_failed GROUP BY stratum, t
 ), tested AS (
   SELECT stratum, j, count(*) FILTER (q > 0) AS n, count(*) FILTER (q <= 0) AS nb,
     count(*) FILTER (q > 0 AND level >= {len(quality.FACTORS)} - j) AS k, count(*) FILTER (q <= 0 AND level >= {len(quality.FACTORS)} - j) AS kb
-  FROM judged JOIN truth USING (doc_id), path WHERE NOT base_failed GROUP BY ALL
+  FROM held, path GROUP BY stratum, j
 ), tails AS (
   SELECT *, CASE WHEN n = 0 OR k >= n * {quality.ALPHA}::DOUBLE THEN 1.0 ELSE list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.ALPHA}) + (n - i) * ln(1 - {quality.ALPHA})) for i in range(k + 1)]) END AS p
   FROM tested
 ), chain AS (
-  SELECT *, bool_and(p <= {quality.DELTA} / (SELECT count(DISTINCT stratum) FROM tested)) OVER (PARTITION BY stratum ORDER BY j) AS ok,
+  SELECT *, bool_and(p <= {quality.DELTA}::DOUBLE * n / (SELECT sum(n) FROM tested WHERE j = 0)) OVER (PARTITION BY stratum ORDER BY j) AS ok,
     coalesce(kb::DOUBLE / nullif(nb, 0), 0) - {quality.PRICE} * coalesce(k::DOUBLE / nullif(n, 0), 0) AS gain
   FROM tails
 ), cuts AS (

@@ -6,19 +6,20 @@ labelled documents that pass the base rules choose a setting on it for each stra
 
 A setting is *certified* if the hypothesis "more than ``alpha`` of the stratum's good documents that pass
 the base rules are rejected by any rule" is refuted by the exact binomial test, P(Bin(n, alpha) <= k) <=
-``delta`` / strata. Settings are tested from the loosest on, and testing stops at the first that fails
-(fixed sequence, so a stratum's path errs with its own level at most); over the strata that have labels the level is
-shared out (Bonferroni). So with probability 1 - delta or more, over the draw of the labels, in
+``delta`` times the stratum's share of all good labelled texts. Settings are tested from the loosest on, and testing stops at the first that fails
+(fixed sequence, so a stratum's path errs with its own level at most); over the strata the level is
+shared out by their numbers of good labelled texts, which say nothing of what is rejected (weighted Bonferroni). So with probability 1 - delta or more, over the draw of the labels, in
 no stratum do the rules reject more than ``alpha`` of the good documents among those that pass the base
 rules; what the base rules reject is not part of the guarantee. Without any false rejection
-log(delta / strata) / log(1 - alpha) good labels are needed, 217 for four strata. Of certified settings
+log(delta * share) / log(1 - alpha) good labels are needed, 217 in each of four strata of equal size. Of certified settings
 the one with the largest gain is taken: share of bad documents rejected less PRICE times that of good
 ones, the loosest of equals. A stratum without a certified setting, or without gain, rejects nothing.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null language is a
-stratum of its own; several labels of a document count as one, the lowest; unlabelled documents and
+stratum of its own; several labels of a document count as one, the lowest; equal texts of a stratum, which are no independent
+draws, count as one with the lowest of their labels, repeated rows among them; unlabelled documents and
 null qualities take no part in the choice; with no labels only the base rules reject; repeated rows
-are judged each, and count each if they are labelled; an empty table gives an empty one. Texts of any length are taken whole,
+are judged each; an empty table gives an empty one. Texts of any length are taken whole,
 in one row's memory. Extra columns take no part, whatever their names; ``kept`` returns them as they are.
 """
 
@@ -61,9 +62,10 @@ def repeated(ws: Column) -> Column:
 
 
 def metrics(df: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and the counts of every whole text, as ``_m`` struct."""
+    """``keep``, a hash of every whole text as ``_h``, and its counts as ``_m`` struct."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    a = df.select(*keep, t.alias("_t"))
+    a = df.select(*keep, t.alias("_t"), F.xxhash64(t).alias("_h"))
+    keep = [*keep, "_h"]
     lines = F.filter(F.split("_t", "\n"), lambda x: without(x, SPACES + " ") > 0)
     a = a.select(*keep, "_t", words(F.col("_t")).alias("_w"), let(lines, lambda v: F.size(v) - F.size(F.array_distinct(v))).alias("_d"), F.size(lines).alias("_l"))
     a = a.select(
@@ -129,17 +131,20 @@ def level(m: str = "_m") -> Column:
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row for each stratum that rejects anything: ``_stratum`` and ``_setting``, its place on the path.
 
-    ``measured`` has doc_id, lang and ``_m``. All strata with labels take part.
+    ``measured`` has doc_id, lang, ``_m`` and, where texts may be equal, ``_h``. All strata with labels take part, and
+    each of their texts is one draw.
     """
+    text = "_h" if "_h" in measured.columns else "doc_id"
     truth = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q"))
-    held = measured.where(~base_failed()).select("doc_id", F.coalesce("lang", F.lit(NONE)).alias("_stratum"), level().alias("_level")).join(truth, "doc_id")
+    held = measured.where(~base_failed()).select("doc_id", F.col(text).alias("_text"), F.coalesce("lang", F.lit(NONE)).alias("_stratum"), level().alias("_level")).join(truth, "doc_id")
+    held = held.groupBy("_stratum", "_text").agg(F.min("_q").alias("_q"), F.max("_level").alias("_level"))
     counted = held.groupBy("_stratum", "_level").agg(F.count_if(F.col("_q") > 0).alias("good"), F.count_if(F.col("_q") <= 0).alias("bad"))
     steps = counted.groupBy("_stratum").agg(F.collect_list(F.struct("_level", "good", "bad")).alias("_c"), F.sum("good").alias("n"), F.sum("bad").alias("n_bad"))
-    strata = steps.agg(F.count("*").alias("_strata"))
+    total = steps.agg(F.sum("n").alias("_total"))
     above = lambda what: F.expr(f"aggregate(filter(_c, e -> e._level >= {len(FACTORS)} - _j), 0L, (a, e) -> a + e.{what})")
-    tested = steps.crossJoin(F.broadcast(strata)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(FACTORS) - 1))))  # one row a stratum
-    tested = tested.select("_stratum", "_j", "_strata", "n", "n_bad", above("good").alias("k"), above("bad").alias("k_bad"))
-    passed = _tail(F.col("n"), F.col("k"), alpha) <= F.lit(delta) / F.col("_strata")
+    tested = steps.crossJoin(F.broadcast(total)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(FACTORS) - 1))))  # one row a stratum
+    tested = tested.select("_stratum", "_j", "_total", "n", "n_bad", above("good").alias("k"), above("bad").alias("k_bad"))
+    passed = _tail(F.col("n"), F.col("k"), alpha) <= F.lit(delta) * F.col("n") / F.col("_total")
     chain = Window.partitionBy("_stratum").orderBy("_j")
     tested = tested.withColumn("_ok", passed & (F.col("n") > 0)).withColumn("_all", F.min(F.col("_ok").cast("int")).over(chain) == 1)
     gain = F.coalesce(F.try_divide(F.col("k_bad"), F.col("n_bad")), F.lit(0.0)) - PRICE * F.coalesce(F.try_divide(F.col("k"), F.col("n")), F.lit(0.0))
