@@ -1,7 +1,7 @@
 """Sharding by k-d tree partitioning (op6), law ``bytes``.
 
 Points are groups of equal texts, with their bytes as weight. A group of more than a 64th of a
-shard's bytes is dealt into pieces of about that size, by a hash of doc_id; its pieces are neighbours in every dimension,
+shard's bytes is dealt into pieces of about that size, by a hash of doc_id and, among equal rows, a number; its pieces are neighbours in every dimension,
 so a cut divides one group at most, and a group that no cut falls into stays whole.
 A node of the tree stands for a number of shards; it is split along its widest metadata dimension
 at the weighted quantile that gives the two sides bytes in the ratio of their shards, until every leaf
@@ -35,7 +35,7 @@ _DIMENSIONS = ("size", "source", "lang")
 
 
 def _points(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """_g, _piece, weight, n (rows), a position along each dimension and _tie of every point; and the groups of several pieces."""
+    """_g, _piece, weight, n (rows), a position along each dimension and _tie of every point; and ``rows`` with their pieces."""
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first().s
     piece = max(total // (shards * PIECES), 1)
     groups = rows.groupBy("_g").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"), F.max("size").alias("_size"), F.min("source").alias("_source"), F.min("lang").alias("_lang"))
@@ -55,15 +55,20 @@ def _points(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     at = at.drop("_bytes", "_pieces")
     # a group of several pieces holds more than a piece's bytes, so there are shards * PIECES at most
     large = F.broadcast(groups.where("_pieces > 1").select("_g", "_pieces"))
-    dealt = _dealt(rows, large).groupBy("_g", "_piece").agg(F.sum("size").alias("weight"), F.count("*").alias("n"))
+    dealt = written(_dealt(rows, large), "dealt")
+    sums = dealt.groupBy("_g", "_piece").agg(F.sum("size").alias("weight"), F.count("*").alias("n"))
     tie = F.shiftleft(F.pmod(F.xxhash64("_g"), F.lit(1 << HASH_BITS)), PIECE_BITS) + F.col("_piece")
-    return written(dealt.join(at, "_g").withColumn("_tie", tie), "points"), large
+    return written(sums.join(at, "_g").withColumn("_tie", tie), "points"), dealt
 
 
 def _dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """``rows`` with their piece of a group of several."""
-    piece = F.when(F.col("_pieces") > 1, F.pmod(F.xxhash64("doc_id", "source"), F.col("_pieces"))).otherwise(F.lit(0)).cast("int")
-    return rows.join(large, "_g", "left").withColumn("_piece", piece).drop("_pieces")
+    """``rows`` with their piece of a group of several. Equal rows go to successive pieces; which of them goes where is alike."""
+    marked = rows.join(large, "_g", "left")
+    alone = marked.where("_pieces is null").withColumn("_piece", F.lit(0))
+    several = marked.where("_pieces is not null").select("*", F.lit(1).alias("_one"), F.monotonically_increasing_id().alias("_row"))
+    several = running(several, ["_g", "doc_id", "source", "lang"], ["_row"], {"_k": "_one"}, "equal")
+    several = several.withColumn("_piece", F.pmod(F.xxhash64("doc_id", "source") + F.col("_k"), F.col("_pieces")).cast("int"))
+    return alone.select(*rows.columns, "_piece").unionByName(several.select(*rows.columns, "_piece"))
 
 
 def leaves(points: DataFrame, shards: int) -> DataFrame:
@@ -87,9 +92,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         rows = docs.select("doc_id", (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64("text", F.crc32(t.cast("binary"))).alias("_g"), "source", "lang")
         rows = written(rows, "rows")
         total = rows.count()
-        points, large = _points(rows, shards)
+        points, pieces = _points(rows, shards)
         leaf = written(leaves(points, shards).select("_g", "_piece", "n", F.col("node").alias("shard")), "leaves")
-        dealt = keyed_join(_dealt(rows, large), leaf, ["_g", "_piece"], "n", total)
+        dealt = keyed_join(pieces, leaf, ["_g", "_piece"], "n", total)
         dealt = dealt.select("doc_id", "size", "text_crc32", "shard", F.lit(1).alias("_one"), F.xxhash64("_g", "source", "lang").alias("_o"))
         slots = running(dealt, ["shard"], ["doc_id", "_o"], {"slot": "_one"}, "slots")
         keep(slots)
