@@ -6,16 +6,18 @@ A language has, for each order, a sorted array of 64-bit hashes of the n-grams i
 probabilities, and one of its contexts, with their back-off weights: n-grams of other languages take no room in
 it. The language of a text is the one with the lowest cross-entropy per symbol; ties go to the first by code point.
 
-The model is learned from a bounded sample (BOUNDS): of every label, however many there are, about
-``per_label`` rows by hash of doc_id, or fewer where that would be more than ``rows`` in all; of a text in it,
-``max_chars`` characters at most. Words are counted in a distributed way, each language is learned in a
+The model is learned from the whole texts of a bounded sample (BOUNDS): of every label, however many there are, about
+``per_label`` rows by hash of doc_id, or fewer where that would be more than ``rows`` in all, but always the row with the least
+hash. Words are counted in a distributed way, each language is learned in a
 task of its own, and the arrays, whose size the sample bounds, are broadcast; beyond MOST_BYTES that is an error. A fifth
-of the sample is kept from the counts and calibrates the temperature of ``score`` and the rejection limit: a text is
+of the sample, of labels with CAL_ROWS rows or more and never a label's first row, is kept from the counts and calibrates the
+temperature of ``score`` and the rejection limit: a text is
 rejected if its cross-entropy, scaled by the root of its length, is above what all but ``reject`` of the
-calibration texts have, with a margin. Predictions read whole texts.
+calibration texts have, with a margin. What a calibration text says is a few numbers, whatever the number of languages, and
+Spark takes their quantiles and means. Predictions read whole texts.
 
 Defined cases: a null text or one without letters is ``und`` with score 0 and is rejected; null
-labels and null doc_ids are not learned from; with no labelled row at all every text is ``und``; repeated rows are
+labels and null doc_ids are not learned from, nor texts without letters; a label with one row is learned from it; with no labelled row at all every text is ``und``; repeated rows are
 predicted each, and learned from each; an empty table gives an empty one. Texts of any length are scored whole, word by
 word. Extra columns take no part, whatever their names; ``accepted`` returns them as they are.
 """
@@ -36,8 +38,12 @@ from pyspark.sql import functions as F
 from outlyr.llm.common import few, uniform, written
 
 ORDER = 4
-#: Rows that are learned from (expected): of a label, and in all; and the characters of a text that are.
-BOUNDS = {"per_label": 1000, "rows": 200_000, "max_chars": 20_000}
+#: Rows that are learned from (expected): of a label, and in all, beside one of each label.
+BOUNDS = {"per_label": 1000, "rows": 200_000}
+#: Labels with fewer rows lend none to calibration.
+CAL_ROWS = 10
+#: The temperatures that calibration chooses from.
+HEATS = (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
 #: Characters that are equally likely where nothing is known, and the largest model that is broadcast.
 ALPHABET, MOST_BYTES = 1 << 16, 1 << 31
 #: The share of calibration texts above the limit, and what the limit is then multiplied by.
@@ -45,6 +51,8 @@ REJECT, MARGIN = 0.001, 1.25
 LETTERS = re.compile(r"[^\W\d_]+").findall
 START, END = "\x02", "\x03"
 _REMEMBERED, _CHUNK = 300_000, 1_000_000
+#: Symbols beyond which a longer text is no stronger evidence.
+LONG = 1000
 
 
 def _mix(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -179,12 +187,12 @@ class Scorer:
 
 
 def _excess(m: Model, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return (best - m.usual) * np.sqrt(np.minimum(np.maximum(n, 1), 1000))
+    return (best - m.usual) * np.sqrt(np.minimum(np.maximum(n, 1), LONG))
 
 
-def posterior(m: Model, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
-    z = -entropy * (np.minimum(n, 1000) * m.heat)[:, None]
-    z = np.exp(z - z.max(axis=1, keepdims=True))
+def posterior(entropy: np.ndarray, n: np.ndarray, heat: float) -> np.ndarray:
+    z = -entropy * (np.minimum(n, LONG) * heat)[:, None]
+    z = np.exp(z - z.max(axis=1, keepdims=True, initial=-np.inf))
     return z / z.sum(axis=1, keepdims=True)
 
 
@@ -197,14 +205,15 @@ def _sample(docs: DataFrame) -> DataFrame:
     """lang, text and cal (for the fifth that calibrates) of the sample of labelled rows.
 
     A label with more rows than the bound gives those whose hash of doc_id is below bound / rows, so
-    about the bound; a count for each label is all that is gathered.
+    about the bound, and the one with the least; a count and the least hash for each label are all that is gathered.
     """
-    fit = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    fit = fit.select("lang", "doc_id", F.substring("text", 1, BOUNDS["max_chars"]).alias("text"))
-    counts = written(fit.groupBy("lang").agg(F.count("*").alias("n")), "labels")
+    fit = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    fit = fit.select("lang", "doc_id", "text", uniform("doc_id").alias("u"))
+    counts = written(fit.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("least")), "labels")
     bound = min(BOUNDS["per_label"], BOUNDS["rows"] / max(counts.count(), 1))
-    joined = fit.join(few(counts), "lang").where(uniform("doc_id") * F.col("n") < F.lit(float(bound)))
-    return joined.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit("cal")), F.lit(5)) == 0).alias("cal"))
+    joined = fit.join(few(counts), "lang").where((F.col("u") * F.col("n") < F.lit(float(bound))) | (F.col("u") == F.col("least")))
+    cal = (F.pmod(F.xxhash64("doc_id", F.lit("cal")), F.lit(5)) == 0) & (F.col("n") >= CAL_ROWS) & (F.col("u") > F.col("least"))
+    return joined.select("lang", "text", cal.alias("cal"))
 
 
 def fit(docs: DataFrame) -> Model:
@@ -236,24 +245,26 @@ def fit(docs: DataFrame) -> Model:
     m = Model([r.lang for r in rows], [pickle.loads(r.tables) for r in rows])
     shared = spark.sparkContext.broadcast(m)
 
+    columns = [f"loss{k}" for k in range(len(HEATS))]
+
     def calibrate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Scorer(shared.value)
+        place = {x: k for k, x in enumerate(s.model.langs)}
         for b in batches:
+            b = b[b["lang"].isin(place)]
             e, n = s.raw(list(b["text"]))
-            yield pd.DataFrame({"lang": b["lang"], "n": n, "e": list(e)})
-
-    cal = sample.where("cal").select("lang", "text").mapInPandas(calibrate, "lang string, n long, e array<double>").where("n > 0").toPandas()
-    cal = cal[cal["lang"].isin(m.langs)].sort_values(["lang", "n"])
-    if len(cal):
-        e, n = np.array(cal["e"].tolist()), cal["n"].to_numpy()
-        truth = np.array([m.langs.index(x) for x in cal["lang"]])
-        m.usual = float(np.median(e.min(axis=1)))
-        m.limit = max(float(np.quantile(_excess(m, e.min(axis=1), n), 1 - REJECT)), 0.1) * MARGIN
-        losses = {}
-        for heat in (0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
-            m.heat = heat
-            losses[heat] = -np.log(np.maximum(posterior(m, e, n)[np.arange(len(truth)), truth], 1e-9)).mean()
-        m.heat = min(losses, key=losses.get)
+            at = np.arange(len(b)), b["lang"].map(place).to_numpy(np.int64)
+            losses = {c: -np.log(np.maximum(posterior(e, n, heat)[at], 1e-9)) for c, heat in zip(columns, HEATS, strict=True)}
+            yield pd.DataFrame({"n": n, "best": e.min(axis=1, initial=np.inf), **losses})
+
+    schema = ", ".join(["n long", "best double", *(f"{c} double" for c in columns)])
+    cal = written(sample.where("cal").select("lang", "text").mapInPandas(calibrate, schema).where("n > 0"), "calibration")
+    found = cal.agg(F.expr("percentile(best, 0.5D)").alias("usual"), *[F.avg(c).alias(c) for c in columns]).first()
+    if found.usual is not None:
+        m.usual = found.usual
+        excess = (F.col("best") - F.lit(m.usual)) * F.sqrt(F.least(F.col("n"), F.lit(LONG)))
+        m.limit = max(cal.agg(F.percentile(excess, F.lit(1 - REJECT)).alias("q")).first().q, 0.1) * MARGIN
+        m.heat = min(HEATS, key=lambda h: found[columns[HEATS.index(h)]])
     return m
 
 
@@ -272,7 +283,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             e, n = s.raw(list(b["_text"]))
             best = e.argmin(axis=1)
             low, none = e[np.arange(len(e)), best], n == 0
-            score = np.where(none, 0.0, posterior(m, e, n)[np.arange(len(e)), best])
+            score = np.where(none, 0.0, posterior(e, n, m.heat)[np.arange(len(e)), best])
             lang = np.where(none, "und", np.array(m.langs, dtype=object)[best])
             yield own.assign(lang_pred=lang, score=score, cross_entropy=pd.Series(low, index=own.index).mask(none), rejected=none | (_excess(m, low, n) > m.limit))
 

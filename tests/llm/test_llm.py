@@ -129,6 +129,16 @@ def test_quality_cutoffs_of_all_strata(spark):
         assert quality.cutoffs(small, small.select("doc_id", (F.col("doc_id") >= 0).cast("int").alias("quality"))).count() == certified
 
 
+def test_quality_cutoffs_take_a_text_once(spark):
+    """40 good texts certify nothing, however often their rows or texts are repeated; 400 do."""
+    for texts, certified in ((40, 0), (400, 1)):
+        few = spark.range(texts).select("id", F.lit(0).alias("s")).union(spark.range(1000, 1030).select("id", F.lit(150).alias("s")))
+        m = few.select(F.explode(F.array(*[F.col("id") + 10_000 * k for k in range(6)])).alias("doc_id"), F.lit("en").alias("lang"), F.xxhash64("id").alias("_h"), measures(40, F.col("s")).alias("_m"))
+        m = m.union(m.where("doc_id < 10000")).union(m.where("doc_id < 10000"))
+        lab = m.select("doc_id", (F.col("doc_id") % 10_000 < 1000).cast("int").alias("quality")).distinct()
+        assert quality.cutoffs(m, lab).count() == certified
+
+
 def test_quality_rules_reject_jointly(spark):
     """Three rules that each reject 1 % of the good documents reject 3 % together, which is too much."""
     r = F.col("id") % 100
@@ -455,6 +465,15 @@ def test_shards(spark, docs, empty):
     assert sharding.shard(docs).count() == len(rows()) and sharding.shard(empty).count() == 0
 
 
+def test_shards_of_repeated_rows(spark):
+    """One row repeated 4000 times beside 800 others: the shards' bytes stay near equal."""
+    df = spark.range(800).selectExpr("id doc_id", "concat('text ', id) text", "'en' lang", "'a' source").unionByName(spark.range(4000).selectExpr("5L doc_id", "'text 5' text", "'en' lang", "'a' source"))
+    size = Counter()
+    for r in sharding.shard(df).collect():
+        size[r.shard] += r.size
+    assert len(size) == 24 and max(size.values()) < 1.1 * sum(size.values()) / 24
+
+
 def test_shards_are_the_tree_of_sorted_points(spark):
     """Brute force: each node is sorted along its widest dimension and cut at the weighted quantile; no cut divides two groups."""
     r = random.Random(5)
@@ -553,15 +572,18 @@ def test_kneser_ney_is_the_plain_one_and_sums_to_one():
 
 
 def test_every_label_is_learned(spark, monkeypatch):
-    """201 labels, one of them on texts beyond the bound alone, are all learned, each in its own tables; a model that is too large is an error."""
+    """201 labels, one of them on long texts alone, and 31 of one to five rows are all learned, each in its own tables; a model that is too large is an error."""
     r = random.Random(9)
     syllables = {f"l{k:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)] for k in range(201)}
     say = lambda x, n: " ".join(r.choice(syllables[x]) + r.choice(syllables[x]) for _ in range(n))
     items = [(i * 1000 + k, say(x, 400 if x == "l200" else 12), x) for i, x in enumerate(sorted(syllables)) for k in range(12)]
     df = spark.createDataFrame(items, "doc_id long, text string, lang string").repartition(4)
-    monkeypatch.setitem(language_id.BOUNDS, "max_chars", 300)
     m = language_id.fit(df)
     assert m.langs == sorted(syllables)
+    free = [i for i in range(10**6, 10**6 + 1000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rare = spark.createDataFrame([(free[k * 5 + j], f"word{k} " * 9, f"r{k:02}") for k in range(31) for j in range(1 + k % 5)], df.schema)
+    monkeypatch.setitem(language_id.BOUNDS, "rows", 50)
+    assert language_id.fit(df.unionByName(rare)).langs == sorted([*syllables, *(f"r{k:02}" for k in range(31))])
     own = {r.doc_id: r for r in language_id.predict(df, m).collect()}
     assert sum(own[i].lang_pred == x for i, _, x in items) > 0.97 * len(items) and all(own[i].lang_pred == x for i, _, x in items if x == "l200")
     monkeypatch.setattr(language_id, "MOST_BYTES", 1000)
@@ -764,4 +786,4 @@ def test_pipeline(spark, sf):
 
 
 def test_names():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
