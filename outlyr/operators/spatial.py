@@ -6,13 +6,16 @@ left point to the 27 cubes around it, so the join is an equi-join on the cube.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from outlyr.operators.linkage import clusters
+from outlyr.operators.linkage import flat_clusters as centroid_clusters  # noqa: F401
+
 XYZ = ("x", "y", "z")
 #: The most symmetry operators of any space group, centring included.
 OPERATORS = 192
@@ -166,87 +169,9 @@ def suppress_asymmetric(points: DataFrame, group: Sequence[str], item: str, key:
     return points.groupBy(*group).applyInPandas(run, points.schema)
 
 
-#: The most items that one task clusters by linkage: their distances take 8 bytes a pair.
-MOST_LINKED = 20_000
-
-
-def centroid_clusters(positions: np.ndarray, t: float, linkage: str = "centroid") -> np.ndarray:
-    """Flat clusters 1..n of a hierarchical clustering cut at distance ``t``, ``centroid`` or ``complete``.
-
-    One matrix of distances is kept and one row of it renewed by a merge; each row knows its nearest later one. Cuts use the
-    largest height at or below a node, so inversions of centroid linkage do not split what a
-    higher merge holds together. Clusters are numbered by their first member.
-    """
-    p = np.asarray(positions, float)
-    n = len(p)
-    if n > MOST_LINKED:
-        raise ValueError(f"{n} items are too many for the distances of one task, {MOST_LINKED}")
-    if n == 0:
-        return np.zeros(0, int)
-    d = (p * p).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * p @ p.T if n > 2000 else ((p[:, None] - p[None]) ** 2).sum(-1)
-    d = np.maximum(d, 0.0)
-    np.fill_diagonal(d, np.inf)
-    size, top, alive = np.ones(n), np.zeros(n), np.ones(n, bool)
-    node = np.arange(n)  # the tree's node that a row stands for
-    near = d.argmin(axis=1)
-    least = d[np.arange(n), near]
-    children: dict[int, tuple[int, int]] = {}
-    height = dict.fromkeys(range(n), 0.0)
-    for new in range(n, 2 * n - 1):
-        i = int(least.argmin())
-        j = int(near[i])
-        between = d[i, j]
-        if linkage == "centroid":
-            row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]) - size[i] * size[j] * between / (size[i] + size[j]) ** 2
-        else:
-            row = np.maximum(d[i], d[j])
-        children[new] = (int(node[i]), int(node[j]))
-        top[i] = max(float(np.sqrt(max(between, 0.0))), top[i], top[j])
-        height[new] = top[i]
-        size[i] += size[j]
-        node[i], alive[j] = new, False
-        row[~alive] = np.inf
-        row[i] = np.inf
-        d[i], d[:, i] = row, row
-        d[j], d[:, j] = np.inf, np.inf
-        stale = alive & ((near == i) | (near == j))
-        stale[i] = True
-        closer = alive & (row < least)
-        near[closer], least[closer] = i, row[closer]
-        for k in np.flatnonzero(stale & ~closer | (np.arange(n) == i)):
-            near[k] = d[k].argmin()
-            least[k] = d[k, near[k]]
-        least[j] = np.inf
-    label, stack, found = np.zeros(n, int), [int(node[alive][0])], []
-    while stack:
-        k = stack.pop()
-        if height[k] > t and k >= n:
-            stack += children[k]
-            continue
-        own, below = [], [k]
-        while below:
-            x = below.pop()
-            if x < n:
-                own.append(x)
-            else:
-                below += children[x]
-        found.append(own)
-    for c, own in enumerate(sorted(found, key=min), 1):
-        label[own] = c
-    return label
-
-
 def linkage_clusters(points: DataFrame, group: Sequence[str], item: str, t: float, xyz: Sequence[str] = XYZ, linkage: str = "centroid") -> DataFrame:
-    """(group, item, cluster) by hierarchical clustering of each group, in numpy."""
-    fields = ", ".join([*(f"{g} {points.schema[g].dataType.simpleString()}" for g in group), f"{item} {points.schema[item].dataType.simpleString()}, cluster int"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item)
-        out = pdf[[*group, item]].copy()
-        out["cluster"] = centroid_clusters(pdf[list(xyz)].to_numpy(float), t, linkage).astype("int32")
-        return out
-
-    return points.select(*group, item, *xyz).groupBy(*group).applyInPandas(run, fields)
+    """(group, item, cluster) by hierarchical clustering of each group, ``centroid`` or ``complete``, cut at ``t``."""
+    return clusters(points, group, item, t, xyz, linkage)
 
 
 #: Vectors of a block in which all distances are taken.
@@ -308,25 +233,32 @@ def characterization_sets(vectors: DataFrame, item: str, vector: str, group: Seq
 
 
 def claim_groups(neighbours: DataFrame, group: Sequence[str]) -> DataFrame:
-    """(group, set_no, member): neighbourhoods in order of mean distance, taken where no member is taken yet."""
-    fields = ", ".join([*(f"{g} {neighbours.schema[g].dataType.simpleString()}" for g in group), "set_no int, member long"])
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        pdf = pdfs
-        radius = pdf.groupby("item")["distance"].mean().reset_index().sort_values(["distance", "item"])
-        near = {i: x["neighbour"].tolist() for i, x in pdf.sort_values("rank").groupby("item")}
-        taken, rows, no = set(), [], 0
-        for i in radius["item"]:
-            if taken.isdisjoint(near[i]):
-                taken.update(near[i])
-                no += 1
-                rows += [(no, m) for m in near[i]]
-        out = pd.DataFrame(rows, columns=["set_no", "member"]).astype({"set_no": "int32"})
-        for g in reversed(group):
-            out.insert(0, g, pdf[g].iloc[0])
-        return out
-
-    return neighbours.groupBy(*group).applyInPandas(run, fields)
+    """(group, set_no, member): neighbourhoods in order of mean distance (ties by item), taken where no member is taken yet.
+
+    Solved by rounds: an undecided neighbourhood that comes first at each of its members is taken, and all that share a member with it
+    are out. That is what taking them one by one gives, and no task holds a group. Rounds are checkpointed.
+    """
+    from outlyr.operators.ranking import ranked
+
+    ensure_checkpoints(neighbours.sparkSession)
+    keys = list(group)
+    radius = neighbours.groupBy(*keys, "item").agg(F.avg("distance").alias("radius"))
+    members = neighbours.join(radius, [*keys, "item"]).select(*keys, F.struct("radius", "item").alias("set"), F.col("neighbour").alias("member"))
+    open_, taken = members.distinct().checkpoint(), None
+    while not open_.isEmpty():
+        first = open_.groupBy(*keys, "member").agg(F.min("set").alias("first"))
+        won = open_.join(first, [*keys, "member"]).groupBy(*keys, "set").agg(F.bool_and(F.col("set") == F.col("first")).alias("won")).where("won").drop("won")
+        now = open_.join(won, [*keys, "set"], "left_semi").checkpoint()
+        taken = now if taken is None else taken.union(now).checkpoint()
+        out = open_.join(now.select(*keys, "member"), [*keys, "member"], "left_semi").select(*keys, "set").distinct()
+        open_ = open_.join(out, [*keys, "set"], "left_anti").checkpoint()
+    if taken is None:
+        return members.select(*keys, F.lit(1).alias("set_no"), F.col("member").cast("long").alias("member"))
+    numbered = ranked(taken.select(*keys, "set").distinct(), [*keys, "set"])
+    if keys:
+        low = numbered.groupBy(*keys).agg(F.min("rank").alias("_low"))
+        numbered = numbered.join(low, keys).withColumn("rank", F.col("rank") - F.col("_low") + 1)
+    return taken.join(numbered, [*keys, "set"]).select(*keys, F.col("rank").cast("int").alias("set_no"), F.col("member").cast("long").alias("member"))
 
 
 def principal(vectors: DataFrame, vector: str, k: int = 100, out: str | None = None) -> DataFrame:

@@ -316,7 +316,13 @@ def suppressed_points(spark, sf_dir):
     return spatial.suppress(points(spark, sf_dir).join(e, "vec_id"), ["label"], "vec_id", "score", 1.5).select("label", "vec_id")
 
 
-@query("hierarchical_sites")
+@query("hierarchical_sites", f"""WITH RECURSIVE {POINTS}, step AS (SELECT 0 AS k, vec_id AS event, vec_id AS c, x, y, z FROM pts
+UNION ALL SELECT k + 1, event, CASE WHEN c = b THEN a ELSE c END, x, y, z FROM step, (SELECT p.c AS a, q.c AS b
+  FROM (SELECT c, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM step GROUP BY c) p JOIN (SELECT c, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM step GROUP BY c) q ON p.c < q.c
+  WHERE sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) <= 2.0 ORDER BY (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2, a, b LIMIT 1)),
+found AS (SELECT event, dense_rank() OVER (ORDER BY c) AS cluster FROM step WHERE k = (SELECT max(k) FROM step)), known AS (SELECT vec_id AS event, vec_id // 100 + 1 AS site FROM pts WHERE vec_id % 50 = 3),
+claim AS (SELECT cluster, min(site) AS site FROM found JOIN known USING (event) GROUP BY cluster), fresh AS (SELECT cluster, row_number() OVER (ORDER BY cluster) AS n FROM (SELECT DISTINCT cluster FROM found) ANTI JOIN claim USING (cluster))
+SELECT event, coalesce(known.site, claim.site, n + (SELECT max(site) FROM known))::INT AS site FROM found LEFT JOIN known USING (event) LEFT JOIN claim USING (cluster) LEFT JOIN fresh USING (cluster)""")
 def hierarchical_sites(spark, sf_dir):
     """Centroid linkage of all points, merged with sites known from an earlier run."""
     c = points(spark, sf_dir).select(F.col("vec_id").alias("event"), *"xyz")
