@@ -93,9 +93,9 @@ def evaluate(values: DataFrame, outliers: OutlierModel, clusters: ClusterModel,
     return filters.chain((scorer or peak_scorer())(found), after)
 
 
-def build_tasks(events: DataFrame, ligands: DataFrame, conformers: DataFrame) -> DataFrame:
-    """Every event with every ligand and conformer: a product that is asked for, of two sides that have a few rows a dataset."""
-    return events.crossJoin(ligands).crossJoin(conformers)
+def build_tasks(events: DataFrame, ligands: DataFrame, conformers: DataFrame, dataset: str = "dtag", ligand: str = "ligand") -> DataFrame:
+    """Every event with every ligand of its dataset and every conformer of that ligand there: joins by dataset, and by dataset and ligand."""
+    return events.join(ligands, dataset).join(conformers, [dataset, ligand])
 
 
 def best_ligand_score(scores: DataFrame, event: Sequence[str], score: str = "score") -> DataFrame:

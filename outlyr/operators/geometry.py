@@ -91,10 +91,11 @@ def box_samples(centres: DataFrame, n: int, spacing: float) -> DataFrame:
     return a
 
 
-def trilinear(samples: DataFrame, grid: DataFrame, sample: Sequence[str], at: Sequence[str], shape: Sequence[int]) -> DataFrame:
+def trilinear(samples: DataFrame, grid: DataFrame, sample: Sequence[str], at: Sequence[str], shape: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
     """(sample, value): values between grid points; ``at`` are positions in grid units, wrapped round ``shape``.
 
-    ``grid``: u, v, w, value. Eight corners are joined by their indices and weighed.
+    ``grid``: u, v, w, value and ``keys``, which say whose grid it is and are columns of ``samples`` too. Eight corners are joined by
+    their indices and weighed; where a corner of any weight is missing, the value is null.
     """
     a = samples
     for c, g in zip(at, "uvw", strict=True):
@@ -104,8 +105,10 @@ def trilinear(samples: DataFrame, grid: DataFrame, sample: Sequence[str], at: Se
         f = F.col(c) - F.floor(c)
         weight = weight * F.when(F.col(f"_o{g}") == 1, f).otherwise(F.lit(1.0) - f)
         a = a.withColumn(g, F.pmod(F.floor(c) + F.col(f"_o{g}"), F.lit(n)).cast("int"))
-    a = a.withColumn("_w", weight)
-    return a.join(grid.select(*[F.col(g).cast("int") for g in "uvw"], "value"), ["u", "v", "w"]).groupBy(*sample).agg(F.sum(F.col("_w") * F.col("value")).alias("value"))
+    a = a.withColumn("_w", weight).where("_w > 0")
+    corners = a.join(grid.select(*keys, *[F.col(g).cast("int") for g in "uvw"], F.col("value").alias("_value")), [*keys, "u", "v", "w"], "left")
+    read = corners.groupBy(*sample).agg(F.sum(F.col("_w") * F.col("_value")).alias("_sum"), F.count_if(F.col("_value").isNull()).alias("_gaps"))
+    return read.select(*sample, F.when(F.col("_gaps") == 0, F.col("_sum")).alias("value"))
 
 
 def translated(xyz: Sequence[str], shift: Sequence[float]) -> list[Column]:
@@ -128,14 +131,15 @@ def partition_cells(cells: DataFrame, residues: DataFrame, item: str, residue: s
 
 
 def aligned_maps(samples: DataFrame, grid: DataFrame, transforms: DataFrame, keys: Sequence[str], cell: str, residue: str, spacing: float, shape: Sequence[int]) -> DataFrame:
-    """(keys, cell, value): a map read at each cell's place under its residue's transform, between grid points.
+    """(keys, cell, value): each dataset's own map read at each cell's place under its residue's transform, between grid points.
 
-    ``samples``: keys, cell, residue, x, y, z; ``transforms``: keys, residue, mat, com_mov, com_ref (moving to reference).
+    ``samples``: keys, cell, residue, x, y, z; ``transforms``: keys, residue, mat, com_mov, com_ref (moving to reference); ``grid``: those
+    of ``keys`` that it has (none: one map for all), u, v, w, value.
     """
     at = samples.join(transforms.select(*keys, residue, "mat", "com_mov", "com_ref"), [*keys, residue])
     back = moved(("x", "y", "z"), "mat", "com_mov", "com_ref", inverse=True)
     placed = at.select(*keys, cell, *[(c / F.lit(float(spacing))).alias(f"_g{n}") for c, n in zip(back, "xyz", strict=True)])
-    return trilinear(placed, grid, [*keys, cell], ("_gx", "_gy", "_gz"), shape)
+    return trilinear(placed, grid, [*keys, cell], ("_gx", "_gy", "_gz"), shape, [k for k in keys if k in grid.columns])
 
 
 def dense(mask: DataFrame, sparse: DataFrame, key: str = "cell", value: str = "value") -> DataFrame:

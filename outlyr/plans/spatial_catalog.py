@@ -341,12 +341,13 @@ def table_interpolation(spark, sf_dir):
     return ranking.interpolate_table(table(spark, sf_dir, "events"), "value", knots).select("event_id", *r6("p"))
 
 
-@query("build_conformers", "SELECT o_orderstatus AS ligand, r_regionkey AS conformer, n_nationkey AS event FROM (SELECT DISTINCT o_orderstatus FROM orders), region, nation")
+@query("build_conformers", """WITH l AS (SELECT DISTINCT l_suppkey AS dtag, l_returnflag AS ligand FROM lineitem), c AS (SELECT DISTINCT l_suppkey AS dtag, l_returnflag AS ligand, l_linenumber AS conformer FROM lineitem WHERE l_linenumber < 4)
+SELECT o_orderkey AS event, dtag, ligand, conformer FROM (SELECT o_orderkey, o_custkey % 10 + 1 AS dtag FROM orders) JOIN l USING (dtag) JOIN c USING (dtag, ligand)""")
 def build_conformers(spark, sf_dir):
-    """Builds to make: each event with each ligand and conformer, both a few a dataset."""
-    return ev.build_tasks(
-        table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("event")), table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("ligand")).distinct(), table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("conformer"))
-    )
+    """Builds to make: each event with its dataset's ligands and their conformers."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("dtag"), F.col("l_returnflag").alias("ligand"), F.col("l_linenumber").alias("conformer"))
+    events = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event"), (F.col("o_custkey") % 10 + 1).alias("dtag"))
+    return ev.build_tasks(events, li.select("dtag", "ligand").distinct(), li.where("conformer < 4").distinct()).select("event", "dtag", "ligand", "conformer")
 
 
 #: Cells on a line, above their cutoff; islands are runs without a gap of more than 2.
