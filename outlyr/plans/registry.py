@@ -25,3 +25,4 @@ def query(name: str, sql: str | None = None):
 from outlyr.plans import catalog as _catalog  # noqa: E402,F401  (registers its queries)
 from outlyr.plans import spatial_catalog as _spatial_catalog  # noqa: E402,F401
 from outlyr.plans import model_catalog as _model_catalog  # noqa: E402,F401
+from outlyr.plans import map_catalog as _map_catalog  # noqa: E402,F401
