@@ -125,7 +125,7 @@ def dbscan(points: DataFrame, item: str, eps: float, min_samples: int, xyz: Sequ
 
 
 def suppress(points: DataFrame, group: Sequence[str], item: str, key: str, radius: float, xyz: Sequence[str] = XYZ) -> DataFrame:
-    """Greedy suppression: in descending ``key`` (ties by item), keep a row unless one kept is nearer than ``radius``.
+    """Greedy suppression: in descending ``key`` (nulls last, ties by item), keep a row unless one kept is nearer than ``radius``.
 
     Solved by rounds over the conflict graph: a row none of whose undecided conflicts come first is
     kept and decides them. Distributed, so no group has to fit a task; the rounds are checkpointed.
@@ -134,7 +134,8 @@ def suppress(points: DataFrame, group: Sequence[str], item: str, key: str, radiu
     a = points.select(*group, F.col(item).alias("a"), F.col(key).alias("ak"), *[F.col(c).alias(f"a_{c}") for c in xyz])
     b = points.select(*group, F.col(item).alias("b"), F.col(key).alias("bk"), *[F.col(c).alias(f"b_{c}") for c in xyz])
     near = range_join(a, b, radius, [f"a_{c}" for c in xyz], [f"b_{c}" for c in xyz], group)
-    first = (F.col("ak") > F.col("bk")) | ((F.col("ak") == F.col("bk")) & (F.col("a") < F.col("b")))
+    above = F.col("ak").isNotNull() & F.coalesce(F.col("ak") > F.col("bk"), F.col("bk").isNull())  # null keys come last
+    first = above | (F.col("ak").eqNullSafe(F.col("bk")) & (F.col("a") < F.col("b")))
     edges = near.where(first).select("a", "b").distinct().checkpoint()  # a comes before b
     open_, kept = points.select(F.col(item).alias("i")).distinct().checkpoint(), None
     while True:

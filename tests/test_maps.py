@@ -49,6 +49,11 @@ def test_linkage_of_many_points(spark):
     assert (np.diff(label) >= 0).all() and 300 < label.max() < 2000
 
 
+def test_null_keys_are_suppressed_last(spark):
+    df = spark.createDataFrame([(1, None, 0.0), (2, None, 0.1), (3, 5.0, 4.0), (4, None, 4.1), (5, None, 9.0)], "i long, key double, x double").selectExpr("*", "0.0 y", "0.0 z", "'g' g")
+    assert {r.i for r in spatial.suppress(df, ["g"], "i", "key", 1.0).collect()} == {1, 3, 5}
+
+
 def test_claims_in_rounds_are_those_in_order(spark):
     r = np.random.default_rng(2)
     rows = []
