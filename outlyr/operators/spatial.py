@@ -180,14 +180,14 @@ BLOCK = 1000
 
 
 def knn(vectors: DataFrame, item: str, vector: str, k: int, group: Sequence[str] = ()) -> DataFrame:
-    """(group, item, neighbour, distance, rank): the k nearest of the same group, the item itself included.
+    """(group, item, neighbour, distance, rank): the k nearest of the same group, the item itself included; a null vector is nobody's neighbour.
 
     Vectors are dealt into blocks; each block meets each other of its group in a task that gives the k best for each
     of its items, so rows grow with items, blocks and k, not with pairs.
     """
     from pyspark.sql.window import Window
 
-    a = vectors.select(*group, F.col(item).cast("long").alias("item"), F.col(vector).cast("array<double>").alias("v"))
+    a = vectors.where(F.col(vector).isNotNull()).select(*group, F.col(item).cast("long").alias("item"), F.col(vector).cast("array<double>").alias("v"))
     blocks = a.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_of"))  # a row a group
     dealt = a.join(blocks, list(group)) if group else a.crossJoin(F.broadcast(blocks))
     block = F.pmod(F.xxhash64("item"), F.col("_of")).cast("int")
@@ -263,7 +263,7 @@ def claim_groups(neighbours: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def principal(vectors: DataFrame, vector: str, k: int = 100, out: str | None = None) -> DataFrame:
-    """``vectors`` with ``out`` (``vector`` itself by default): projections on the k main axes of all rows, or on all axes if there are fewer.
+    """``vectors`` with ``out`` (``vector`` itself by default): projections on the k main axes of all rows, or on all axes if there are fewer. One row alone has no axes and stays as it is.
 
     The driver gets the covariance alone, which grows with the length of a vector and not with the rows.
     """
@@ -272,8 +272,8 @@ def principal(vectors: DataFrame, vector: str, k: int = 100, out: str | None = N
 
     a = vectors.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
     length = a.select(F.size(vector).alias("n")).first()
-    if length is None:
-        return vectors
+    if length is None or len(a.select(F.lit(1)).head(2)) < 2:
+        return vectors.withColumn(out or vector, F.col(vector).cast("array<double>"))
     model = PCA(k=min(k, length.n), inputCol="_v", outputCol="_p").fit(a)
     return model.transform(a).withColumn(out or vector, vector_to_array("_p")).drop("_v", "_p")
 

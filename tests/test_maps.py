@@ -54,6 +54,13 @@ def test_null_keys_are_suppressed_last(spark):
     assert {r.i for r in spatial.suppress(df, ["g"], "i", "key", 1.0).collect()} == {1, 3, 5}
 
 
+def test_null_vectors_and_one_row(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [0.0, 2.0])], "i long, v array<double>")
+    assert {(r.item, r.neighbour) for r in spatial.knn(df, "i", "v", 2).collect()} == {(1, 1), (1, 3), (3, 3), (3, 1)}
+    assert spatial.principal(df.where("i = 1"), "v", 2, "p").first().p == [0.0, 1.0]
+    assert spatial.principal(df.limit(0), "v", 2, "p").count() == 0
+
+
 def test_claims_in_rounds_are_those_in_order(spark):
     r = np.random.default_rng(2)
     rows = []
