@@ -16,12 +16,19 @@ components, so pairs need be checked only until the components are known:
 2. while the pairs that step 3 would look at are more than LIGHT times the bucket rows, and each
    round halves them, members outside their bucket's largest component are offered one of its
    members, another in each round;
-3. every pair that is left, of one bucket and two components, is looked at, in a join that makes rows
-   for links alone: members outside the bucket's largest component are held against all, in blocks
-   of about MOST against MOST members. Sizes and a 384-bit sketch of the signatures (6 standard
-   deviations below 0.75) decide most; what they leave open is compared by sets of 32-bit hashes, with
-   as much slack as hashes fall together, in the first band that the pair shares alone. So
-   nothing is capped, no bucket has to fit a task, and no link of one bucket is lost.
+3. where DIRECT members at most are outside a bucket's largest component, these are held against all of it
+   in a join that makes rows for links alone, in blocks of about MOST against MOST members. Sizes and
+   a 384-bit sketch of the signatures (6 standard deviations below 0.75) decide most; what they leave
+   open is compared by sets of 32-bit hashes, with as much slack as hashes fall together, in the
+   first band that the pair shares alone;
+4. the members of all other buckets, such as texts under one template that are not links of each other, meet
+   by their rarest shingles. In one order of all shingles, rarest first, the first that a link of sizes a
+   and b has in common has 3/7 (a + b) - 1 common ones after it in either set, so it is among the first
+   a/7 + 1 of the shorter and b/4 + 1 of the longer. A template is less than 6/7 of texts of one size that
+   are no links of each other, so its shingles, the frequent ones, are not among their first.
+   Pairs that meet so are decided by sizes, places and sketch.
+So nothing is capped, no bucket has to fit a task, and no link of one bucket is lost. What remains quadratic is a
+rare shingle's number of texts outside its largest component, as when texts are put together from few passages.
 Links are confirmed on full sets, which are joined to chosen pairs, at most EACH pairs to one copy of a set.
 
 Components are kept as a table that each step's links change: links join components, and the
@@ -55,6 +62,8 @@ PERCENT, PARTNERS, EACH = 75, 4, 1000
 MOST, MOST_SHINGLES = 1000, 4_000_000
 #: Pairs looked at a bucket row that need no further round, and rounds at most.
 LIGHT, ROUNDS = 16, 6
+#: Members outside a bucket's largest component that are held against the whole bucket.
+DIRECT = 64
 _CELLS = 4096
 
 
@@ -311,6 +320,50 @@ def _left(placed: DataFrame, mixed: DataFrame, nodes: DataFrame, docs: DataFrame
     return both.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), F.col("a_c").alias("ca"), F.col("b_c").alias("cb"))
 
 
+def _rare(placed: DataFrame, heavy: DataFrame, nodes: DataFrame, docs: DataFrame, total: int) -> DataFrame:
+    """a, b, ca, cb of the pairs of two components, among members of ``heavy`` buckets, that their rarest shingles, sizes and sketches leave open."""
+    ids = written(keyed_join(placed, written(heavy.select("bucket", "now"), "heavy"), ["bucket"], "now", total).select("id", "c").distinct(), "heavy_ids")
+    sets = shingle_sets(_texts(docs, ids.select(F.col("id").alias("doc_id")))).where(F.size("set") > 0)
+    sets = written(sets.withColumn("key", F.xxhash64("set")).dropDuplicates(["id", "key"]), "heavy_sets")
+    shingles = sets.select("id", "key", F.size("set").alias("n"), F.explode("set").alias("bucket"))
+    # shingles of one text alone come first in the order, so their number is all that places need
+    often = written(shingles.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    ranked = keyed_join(shingles, often, ["bucket"], "df", sets.agg(F.coalesce(F.sum(F.size("set")), F.lit(0)).alias("n")).first().n)
+    own = ranked.groupBy("id", "key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "bucket"))).alias("s")).withColumn("alone", F.col("n") - F.size("s"))
+    first = own.withColumn("take", (F.floor(F.col("n") / 4) + 1 - F.col("alone")).cast("int")).where("take > 0")
+    rows = first.select("id", F.col("n").cast("long").alias("n"), "alone", F.posexplode(F.slice("s", F.lit(1), F.col("take"))).alias("k", "s"))
+    rows = rows.select("id", "n", (F.col("alone") + F.col("k")).cast("long").alias("at"), F.col("s.bucket").alias("bucket"))
+    rows = rows.join(few(ids), "id").join(nodes.select("id", "n", "sketch"), ["id", "n"]).withColumn("short", F.col("at") * 7 <= F.col("n"))
+    rows = written(rows, "prefixes")
+    by = rows.groupBy("bucket", "c").agg(F.count("*").alias("rows"), F.max("short").alias("short"))
+    top = by.groupBy("bucket").agg(F.sum("rows").alias("now"), F.max("short").alias("short"), F.count("*").alias("parts"), F.max(F.struct("rows", "c")).alias("t")).where("short and parts > 1")
+    parts = lambda n: F.ceil(n / MOST)
+    blocks = top.select("bucket", "now", F.col("t.c").alias("top"), parts(F.col("now")).alias("of_all"), parts(F.col("now") - F.col("t.rows")).alias("of_few"))
+    rows = written(keyed_join(rows, written(blocks, "blocks"), ["bucket"], "now", rows.count()), "rare")
+
+    def side(x: str, df: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        mine, theirs = F.pmod(F.xxhash64("id", F.lit(own)), F.col(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        return df.select("bucket", mine.alias(names[0]), theirs.alias(names[1]), *[F.col(c).alias(f"{x}_{c}") for c in ("id", "c", "n", "at", "sketch")])
+
+    def met(short: DataFrame, long: DataFrame, of_short: str, of_long: str) -> DataFrame:
+        both = side("a", short, of_short, of_long, ("p", "q")).join(side("b", long, of_long, of_short, ("q", "p")), ["bucket", "p", "q"])
+        longer = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
+        after = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+        cheap = (F.col("a_c") != F.col("b_c")) & longer & _near("a_n", "b_n") & (7 * after >= 3 * (F.col("a_n") + F.col("b_n")))
+        found = both.where(F.when(cheap, _agree("a_sketch", "b_sketch") >= AGREE).otherwise(F.lit(False)))
+        return found.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), F.col("a_c").alias("ca"), F.col("b_c").alias("cb"))
+
+    few_, most = F.col("c") != F.col("top"), F.col("c") == F.col("top")
+    return met(rows.where(F.col("short") & few_), rows, "of_few", "of_all").unionByName(met(rows.where(F.col("short") & most), rows.where(few_), "of_all", "of_few"))
+
+
+def _open_pairs(placed: DataFrame, mixed: DataFrame, nodes: DataFrame, docs: DataFrame, total: int) -> DataFrame:
+    """a, b, ca, cb of all pairs of one bucket and two components that can be links."""
+    direct = F.col("now") - F.col("top_rows") <= DIRECT
+    pairs, heavy = _left(placed, mixed.where(direct), nodes, docs, total), mixed.where(~direct)
+    return pairs if heavy.isEmpty() else pairs.unionByName(_rare(placed, heavy, nodes, docs, total))
+
+
 def linked(docs: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
     """node, component of the documents that links join; the others are alone."""
     total = shared.count()
@@ -330,7 +383,7 @@ def linked(docs: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
         offers = keyed_join(placed.select("bucket", "id", "c"), _with_hub(mixed, nodes), ["bucket"], "now", total).where("c <> top")
         found = merged(found, verified(_chosen(offers.withColumn("hc", F.col("top")), nodes), docs, f"links{k}"))
         before = work
-    links = verified(_left(placed, mixed, nodes, docs, total), docs, "rest")
+    links = verified(_open_pairs(placed, mixed, nodes, docs, total), docs, "rest")
     return found if links.isEmpty() else merged(found, links)
 
 
@@ -338,7 +391,8 @@ def _same_id(sig: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
     """``found`` with the components joined that rows of one doc_id are in."""
     own = sig.where("n_shingles > 0 and doc_id is not null").select("doc_id", "set_hi", "set_lo").distinct()
     again = own.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    rows = own.join(few(again), "doc_id", "left_semi").join(sets, ["set_hi", "set_lo"])
+    total = sets.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
+    rows = keyed_join(own.join(few(again), "doc_id", "left_semi"), sets, ["set_hi", "set_lo"], "rows", total)
     rows = written(rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("cb")), "same")
     links = rows.join(rows.groupBy("doc_id").agg(F.min("cb").alias("ca")), "doc_id").where("ca <> cb").select("ca", "cb").distinct()
     return found if links.isEmpty() else merged(found, links)

@@ -1,5 +1,6 @@
 """The corpus operators on small fixtures against brute force, and their edge cases."""
 
+import contextlib
 import hashlib
 import random
 import re
@@ -345,6 +346,40 @@ def test_large_buckets_need_no_second_band(spark, monkeypatch):
         assert {(r.a, r.b) for r in left} == {(30, 31), (31, 32)} and len(left) == 2
 
 
+@pytest.mark.parametrize("n", [150, 300])
+def test_texts_under_one_template_meet_by_their_own_words(spark, monkeypatch, n):
+    """Pairs looked at grow with the documents where texts share 85 words and differ in 22; their few links are found."""
+    r = random.Random(n)
+    shared, word = [f"shared{j}" for j in range(85)], lambda: f"o{r.randrange(10**7)}"
+    own = [[word() for _ in range(22)] for _ in range(n)]
+    for i in range(0, n, 10):  # two of ten are links
+        own[i + 1] = [*own[i][:20], word(), word()]
+    items = [(i, " ".join([*shared[:40], *x, *shared[40:]])) for i, x in enumerate(own)]
+    items += [(n, " ".join(shared)), (n + 1, " ".join(shared[:60])), (n + 2, items[5][1]), (n + 2, items[9][1]), (n + 2, items[9][1])]
+    kept, plain = {}, near_dup.written
+    monkeypatch.setattr(near_dup, "written", lambda df, name, *by: kept.setdefault(name, []).append(plain(df, name, *by)) or kept[name][-1])
+    monkeypatch.setattr(near_dup, "DIRECT", 8)
+    monkeypatch.setattr(near_dup, "scratch", contextlib.contextmanager(lambda spark: iter([lambda df: df])))
+    check_components(spark.createDataFrame(items, "doc_id long, text string"), items)
+    looked = sum(x.k**2 for df in kept["rare"] for x in df.groupBy("bucket").agg(F.count("*").alias("k")).collect())
+    assert kept["heavy"] and looked < 300 * n
+
+
+def test_rare_shingles_lose_no_link(spark, monkeypatch):
+    """With no direct comparison, texts around the similarity, of unlike sizes and down to one shingle, are linked as by brute force."""
+    r = random.Random(3)
+    base = [[f"b{k}w{r.randrange(10**6)}" for _ in range(m)] for k, m in enumerate((200, 60, 30, 9, 5))]
+    items = []
+    for k, b in enumerate(base):
+        for i in range(30):
+            cut, at = r.randrange(1 + len(b) // 4), r.randrange(len(b))
+            x = [*b[:at], f"new{k}n{i % 20}", *b[at + cut :]]
+            items.append((len(items), " ".join(x)))
+    for name, value in (("DIRECT", 0), ("ROUNDS", 0), ("PARTNERS", 1), ("MOST", 4)):
+        monkeypatch.setattr(near_dup, name, value)
+    check_components(spark.createDataFrame(items, "doc_id long, text string").repartition(3), items)
+
+
 def test_many_copies_in_many_shapes(spark):
     """A hot class of copies, a hot near group, empty texts and rows of one doc_id with several texts, without a crash and without a lost link."""
     r = random.Random(11)
