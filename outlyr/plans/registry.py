@@ -26,3 +26,4 @@ from outlyr.plans import catalog as _catalog  # noqa: E402,F401  (registers its
 from outlyr.plans import spatial_catalog as _spatial_catalog  # noqa: E402,F401
 from outlyr.plans import model_catalog as _model_catalog  # noqa: E402,F401
 from outlyr.plans import map_catalog as _map_catalog  # noqa: E402,F401
+from outlyr.plans import graph_catalog as _graph_catalog  # noqa: E402,F401
