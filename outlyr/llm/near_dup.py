@@ -35,7 +35,7 @@ Components are kept as a table that each step's links change: links join compone
 components of that small graph are found by rounds of pointers.
 
 Defined cases: texts without words have the empty set and no links; fewer than 5 words are one
-shingle; rows of one doc_id are one node; a null doc_id has no links, component null, and is kept;
+shingle; rows of one doc_id are one node, those without words included; a null doc_id has no links, component null, and is kept;
 repeated rows give one result row each. An empty table gives an empty one. Texts of any length are
 taken whole: a set takes 8 bytes a shingle. Extra columns take no part, whatever their names;
 ``survivors`` returns them as they are.
@@ -407,12 +407,19 @@ def classes(docs: DataFrame) -> DataFrame:
         # a class speaks for all its rows; one class may be any share of the table
         own = sets.join(found.withColumnRenamed("node", "rep"), "rep", "left")
         own = keep(written(own.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"), "rows"), "classes"))
-    rows = own.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
-    real = sig.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "set_hi", "set_lo")
-    out = keyed_join(real, own, ["set_hi", "set_lo"], "rows", rows)
-    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-    alone = sig.where("n_shingles = 0 or doc_id is null")
-    return out.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
+        rows = own.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
+        real = sig.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "set_hi", "set_lo")
+        # rows without words go with the rows of their doc_id that have some
+        alone = sig.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles")
+        bare = written(alone.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("bare")), "bare")
+        some = keyed_join(real.join(few(bare.select("doc_id")), "doc_id", "left_semi"), own, ["set_hi", "set_lo"], "rows", rows)
+        group = keep(written(some.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).join(few(bare), "doc_id"), "group"))
+        total = bare.agg(F.coalesce(F.sum("bare"), F.lit(0)).alias("n")).first().n
+    out = keyed_join(real, own, ["set_hi", "set_lo"], "rows", rows).select("doc_id", "n_shingles", "component_id")
+    wordless = keyed_join(alone.where("doc_id is not null"), group, ["doc_id"], "bare", total, "left")
+    out = out.unionByName(wordless.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.unionByName(alone.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def survivors(docs: DataFrame) -> DataFrame:

@@ -306,6 +306,17 @@ def test_near_duplicates(docs, empty):
     assert Counter(r.doc_id for r in left).most_common(1)[0][1] == 1
 
 
+def test_rows_without_words_go_with_their_doc_id(spark):
+    """Such rows take the component of their doc_id's other rows, many of them or one; alone they are their own."""
+    t = " ".join(str(i) for i in range(50))
+    items = [(7, t), (9, t + " x"), (9, None), (7, " "), (12, None), (None, None), (None, t), *[(9, "")] * 300]
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    check_components(df, items)
+    got = near_dup.classes(df).collect()
+    assert len(got) == len(items)
+    assert {(r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id == 9} == {(0, 7, False), (47, 7, False)}
+
+
 def test_near_duplicate_chain(spark, monkeypatch):
     """A chain of edits is one group though its ends are unlike; large buckets are split without loss."""
     r = random.Random(7)
