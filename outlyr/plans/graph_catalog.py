@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from outlyr.operators import graphs
 from outlyr.plans.registry import query
 from outlyr.session import table
+from outlyr.sources import molecules
 
 
 def rings(spark, sf_dir) -> DataFrame:
@@ -32,3 +33,46 @@ def graph_matches(spark, sf_dir):
     found = graphs.matches(r, r, ["l_orderkey"])
     images = F.array_sort(F.collect_list(F.struct("atom", "to")))
     return found.groupBy("l_orderkey", "match").agg(F.array_join(F.transform(images, lambda p: p["to"].cast("string")), "-").alias("images")).drop("match")
+
+
+def chains(spark, sf_dir) -> DataFrame:
+    """(l_orderkey, l): each order's lines of distinct numbers, ascending, with their least flag and status and greatest quantity."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("int").alias("i"))
+    li = li.agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"), F.max("l_quantity").cast("int").alias("q"))
+    return li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("i", "flag", "status", "q"))).alias("l"))
+
+
+LINES = """u AS (SELECT l_orderkey, l_linenumber AS i, min(l_returnflag) AS flag, min(l_linestatus) AS status, max(l_quantity)::INT AS q FROM lineitem GROUP BY ALL),
+a AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, lag(i) OVER w AS before FROM u WINDOW w AS (PARTITION BY l_orderkey ORDER BY i))"""
+
+HEAD = "data_comp_list\nloop_\n_chem_comp.id\n'LIG'\ndata_comp_LIG\n# atoms\nloop_\n_chem_comp_atom.atom_id\n_chem_comp_atom.type_symbol\n_chem_comp_atom.charge\n"
+TAIL = "\nloop_\n_chem_comp_bond.atom_id_1\n_chem_comp_bond.atom_id_2\n_chem_comp_bond.type\n"
+
+
+@query("restraint_graphs", f"""WITH {LINES}
+SELECT l_orderkey, 'atom' AS part, concat('A ', i, chr(39)) AS a, flag AS b, q AS value FROM a UNION ALL
+SELECT l_orderkey, 'bond', concat('A ', before, chr(39)), concat('A ', i, chr(39)), CASE status WHEN 'F' THEN 2 ELSE 1 END FROM a WHERE before IS NOT NULL""")
+def restraint_graphs(spark, sf_dir):
+    """Atoms and bonds read from restraint files that orders are written as."""
+    name = lambda x: F.concat(F.lit('"A '), x.i.cast("string"), F.lit("'\""))
+    atom = F.transform("l", lambda x: F.concat_ws(" ", name(x), F.lower(x.flag), x.q.cast("string")))
+    bond = F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x, k: F.concat_ws(" ", name(F.get("l", k)), name(x), F.when(x.status == "F", "DOUBLE").otherwise("single")))
+    text = F.concat(F.lit(HEAD), F.array_join(atom, "\n"), F.lit(TAIL), F.array_join(bond, "\n"))
+    atoms, bonds = molecules.restraint_graphs(chains(spark, sf_dir).select("l_orderkey", text.alias("text")), ["l_orderkey"])
+    atoms = atoms.select("l_orderkey", F.lit("atom").alias("part"), F.col("atom").alias("a"), F.col("element").alias("b"), F.col("charge").alias("value"))
+    return atoms.unionByName(bonds.select("l_orderkey", F.lit("bond").alias("part"), "a", "b", F.col("order").alias("value")))
+
+
+@query("smiles_graphs", f"""WITH {LINES}, s AS (SELECT *, n >= 3 AND k = n AS closes FROM a)
+SELECT l_orderkey, count(*) AS atoms, count(*) FILTER (flag = 'N') AS charged, count(before) + count(*) FILTER (closes) AS bonds,
+count(*) FILTER (before IS NOT NULL AND status = 'F') AS doubles FROM s GROUP BY ALL""")
+def smiles_graphs(spark, sf_dir):
+    """Counts of atoms, charges and bonds in SMILES that orders are written as: rings where there are three lines or more."""
+    kind = lambda x: F.when(x.flag == "N", "[NH3+]").when(x.flag == "R", "O").otherwise("Cl")
+    shut = F.when(F.size("l") >= 3, "1").otherwise("")
+    rest = F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x: F.concat(F.when(x.status == "F", "=").otherwise(""), kind(x)))
+    text = F.concat(kind(F.get("l", F.lit(0))), shut, F.array_join(rest, ""), shut)
+    atoms, bonds, _ = molecules.smiles_graphs(chains(spark, sf_dir).select("l_orderkey", text.alias("text")), ["l_orderkey"])
+    counts = atoms.select("l_orderkey", F.lit(1).alias("atom"), (F.col("charge") != 0).cast("int").alias("charged"), F.lit(None).cast("int").alias("order"))
+    counts = counts.unionByName(bonds.select("l_orderkey", F.lit(0).alias("atom"), F.lit(0).alias("charged"), "order"))
+    return counts.groupBy("l_orderkey").agg(F.sum("atom").alias("atoms"), F.sum("charged").alias("charged"), F.count("order").alias("bonds"), F.count_if(F.col("order") == 2).alias("doubles"))
