@@ -132,27 +132,50 @@ def min_group(df: DataFrame, group: str, least: int = 25) -> DataFrame:
     return df.join(large, group, "left_semi")
 
 
+#: Targets of one space group and residue set that meet its ranked members in one task.
+TARGETS = 1000
+
+
 def comparators(datasets: DataFrame, residues: DataFrame | None, targets: DataFrame, hard: int = 60, soft: int = 100, buffer: float = 0.1, max_rfree: float = 0.4, least: int = 25) -> DataFrame:
     """(target, member): same space group, good R-free, residues that contain the target's, then the quota.
 
     ``datasets``: dtag, resolution, spacegroup, rfree. The target is a member of its own group; groups
-    below ``least`` are dropped. Equi-joins on the space group and the kind of residue set, no product.
+    below ``least`` are dropped. Targets of one space group and residue set have the same members in the same order, so these are ranked
+    once for all; a target takes a prefix of them. Pairs are made once, at the end, and not shuffled; there are as many as
+    the result has rows, which with all members below the reference is the square of a space group's datasets.
     """
     d = datasets.where(below("rfree", max_rfree, 0.0)).select(F.col("dtag").alias("member"), F.col("resolution").alias("_res"), "spacegroup")
     t = targets.select(F.col("dtag").alias("target"), F.col("resolution").alias("_ref"), "spacegroup")
+    own = t.select("target").distinct()
     if residues is None:
-        pairs = t.join(d, "spacegroup")
+        t, members = t.withColumn("_a", F.lit("")), d.withColumn("_a", F.lit(""))
     else:
         # datasets of one study mostly have one residue set: containment is decided between distinct sets
-        own = residues.groupBy("dtag").agg(F.array_sort(F.collect_set("residue")).alias("_set"))
-        kind = own.select("dtag", F.sha2(F.to_json("_set"), 256).alias("_kind"), "_set")
+        sets = residues.groupBy("dtag").agg(F.array_sort(F.collect_set("residue")).alias("_set"))
+        kind = sets.select("dtag", F.sha2(F.to_json("_set"), 256).alias("_kind"), "_set")
         kinds = kind.groupBy("_kind").agg(F.first("_set").alias("_set"))
         want = kinds.select(F.col("_kind").alias("_a"), F.size("_set").alias("_n"), F.explode("_set").alias("residue"))
         have = kinds.select(F.col("_kind").alias("_b"), F.explode("_set").alias("residue"))
         inside = want.join(have, "residue").groupBy("_a", "_b", "_n").agg(F.count("*").alias("_c")).where("_c = _n").select("_a", "_b")
-        t_kind = t.join(kind.select(F.col("dtag").alias("target"), F.col("_kind").alias("_a")), "target").join(inside, "_a")
-        d_kind = d.join(kind.select(F.col("dtag").alias("member"), F.col("_kind").alias("_b")), "member")
-        pairs = t_kind.join(d_kind, ["spacegroup", "_b"])
-    chosen = quota(pairs.select("target", "member", "_res", "_ref"), "target", "_res", "member", "_ref", hard, soft, buffer).select("target", "member")
-    own = t.select("target", F.col("target").alias("member"))
-    return min_group(chosen.unionByName(own).distinct(), "target", least)
+        t = t.join(kind.select(F.col("dtag").alias("target"), F.col("_kind").alias("_a")), "target")
+        members = d.join(kind.select(F.col("dtag").alias("member"), F.col("_kind").alias("_b")), "member").join(inside, "_b")
+    group = ["spacegroup", "_a"]
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_res", "member"))
+    # a member's first row decides, as what is taken is a prefix; _k numbers members, _r rows
+    first = members.select(*group, "member", "_res", rank.alias("_r")).groupBy(*group, "member").agg(F.min(F.struct("_r", "_res")).alias("_f"))
+    first = first.select(*group, "member", "_f._r", "_f._res").withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy("_r")))
+    from outlyr.operators.spatial import ensure_checkpoints
+
+    ensure_checkpoints(datasets.sparkSession)
+    first, t = first.checkpoint(), t.checkpoint()
+    taken = (F.col("_res") < F.col("_ref")) | (F.col("_r") <= hard) | ((F.col("_r") <= soft) & (F.col("_res") < F.col("_ref") + F.lit(buffer)))
+    # a prefix of ``least`` members, the target among them or one less and the target, tells whether a group is large enough
+    few = t.join(first.where(F.col("_k") <= least), group).where(taken & (F.col("target") != F.col("member"))).select("target", "member").distinct()
+    large = own.join(few.groupBy("target").agg(F.count("*").alias("_c")), "target", "left").where(F.coalesce("_c", F.lit(0)) + 1 >= least).select("target").checkpoint()
+    blocks = t.groupBy(*group).agg(F.ceil(F.count("*") / TARGETS).cast("int").alias("_of"))
+    left = t.join(large, "target", "left_semi").join(blocks, group).withColumn("_block", F.pmod(F.xxhash64("target"), F.col("_of")).cast("int")).drop("_of")
+    right = first.join(blocks, group).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).drop("_of")
+    pairs = left.join(right, [*group, "_block"]).where(taken & (F.col("target") != F.col("member"))).select("target", "member")
+    if not datasets.groupBy("dtag").count().where("count > 1").isEmpty() or not targets.groupBy("dtag").count().where("count > 1").isEmpty():
+        pairs = pairs.distinct()  # names stand more than once
+    return pairs.unionByName(large.select("target", F.col("target").alias("member")))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from outlyr.operators import sites
+from outlyr.operators import filters, sites
+
 
 
 def _sites(sets, shared):
@@ -38,3 +39,35 @@ def test_overlap_sites_without_pairs(spark, monkeypatch):
     sets = {e: set(rng.sample(range(e % 2 * 100, e % 2 * 100 + 40), 30)) for e in range(200)}
     env = _environment(spark, sets)
     assert {r.event: r.site for r in sites.overlap_components(env.union(env), 10).collect()} == {e: e % 2 for e in sets}
+
+
+def _comparators(datasets, residues, hard, soft, buffer, least):
+    out = {}
+    for t, ref, group, _ in datasets:
+        good = sorted((r, m) for m, r, g, f in datasets if g == group and (f or 0) < 0.4 and t in residues and m in residues and residues[t] <= residues[m])
+        taken = {m for k, (r, m) in enumerate(good, 1) if r < ref or k <= hard or (k <= soft and r < ref + buffer)}
+        out[t] = out.get(t, set()) | taken | {t}
+    return {(t, m) for t, ms in out.items() if len(ms) >= least for m in ms}
+
+
+def test_comparators_rank_members_once(spark, monkeypatch):
+    """Members are ranked for space group and residue set, not for each target; groups of any size meet in blocks."""
+    monkeypatch.setattr(filters, "TARGETS", 7)
+    rng = random.Random(3)
+    data = [(f"d{i}", rng.choice([1.0, 1.5, 1.55, 2.0, 2.3]), rng.randrange(3), rng.choice([None, 0.2, 0.5])) for i in range(60)]
+    residues = {f"d{i}": set(rng.choice([(1,), (1, 2), (1, 2, 3)])) for i in range(58)}
+    schema = "dtag string, resolution double, spacegroup int, rfree double"
+    atoms = spark.createDataFrame([(d, r) for d, rs in residues.items() for r in rs], "dtag string, residue int")
+    for rows in (data, [*data, ("d1", 2.6, data[1][2], 0.1), ("d2", 1.2, (data[2][2] + 1) % 3, 0.1)]):
+        df = spark.createDataFrame(rows, schema)
+        for hard, soft, least in ((2, 4, 3), (1, 2, 6), (1, 1, 1)):
+            got = [tuple(r) for r in filters.comparators(df, atoms, df, hard, soft, 0.1, 0.4, least).collect()]
+            assert len(got) == len(set(got))
+            assert set(got) == _comparators(rows, residues, hard, soft, 0.1, least)
+
+
+def test_comparators_shuffle_no_pairs(spark):
+    """Only tables of datasets are shuffled: no exchange, sort or window is above the join that makes the pairs."""
+    df = spark.createDataFrame([(f"d{i}", i / 10, 1, 0.1) for i in range(40)], "dtag string, resolution double, spacegroup int, rfree double")
+    plan = filters.comparators(df, None, df, 4, 8, 0.1, 0.4, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Distinct" not in plan
