@@ -36,14 +36,11 @@ def _first(tokens: Column, test) -> Column:
     return F.when(at > 0, (at - 1).cast("int")).otherwise(F.size(tokens))
 
 
-def loop_rows(files: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
-    """(key, block, loop, row, fields): each row of each CIF loop, its values by their lower-case names.
-
-    ``loop`` counts a block's loops and ``row`` a loop's rows, from 0. A missing value (``?`` or ``.``) is null; a last row
-    that is not whole is left out, as is a loop without names or values. Null and empty texts have no rows. A
-    line of a text field must not begin with ``data_``.
-    """
+def _loops(files: DataFrame, key: Sequence[str], text: str, blocks: Sequence[str] | None = None) -> DataFrame:
+    """(key, block, loop, _v, _k, _n, _l): the values, number of names, rows and lower-case names of each loop of the ``blocks``."""
     named = files.select(*key, F.explode(F.slice(F.split(F.concat(F.lit("\n"), text), r"(?i)\ndata_"), 2, 1_000_000)).alias("_b"))
+    if blocks is not None:
+        named = named.where(F.regexp_extract("_b", r"^\S*", 0).isin(*blocks))
     tokens = F.filter(F.regexp_extract_all(F.regexp_replace("_b", r"^\S*", ""), F.lit(_TOKEN), F.lit(0)), lambda t: ~t.startswith("#"))
     whole = named.select(*key, F.regexp_extract("_b", r"^\S*", 0).alias("block"), tokens.alias("_t"))
     starts = F.filter(F.sequence(F.lit(0), F.size("_t")), lambda i: F.lower(F.get("_t", i)) == "loop_")
@@ -54,7 +51,18 @@ def loop_rows(files: DataFrame, key: Sequence[str], text: str = "text") -> DataF
     loops = loops.withColumn("_k", names).where("_k > 0").withColumn("_v", F.slice("_t", F.col("_k") + 1, F.size("_t")))
     loops = loops.withColumn("_n", F.floor(_first(F.col("_v"), lambda t: t.startswith("_")) / F.col("_k")).cast("int")).where("_n > 0")
     label = F.transform(F.slice("_t", F.lit(1), F.col("_k")), F.lower)
-    loops = loops.select(*key, "block", "loop", "_v", "_k", label.alias("_l"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("row"))
+    return loops.select(*key, "block", "loop", "_v", "_k", "_n", label.alias("_l"))
+
+
+def loop_rows(files: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
+    """(key, block, loop, row, fields): each row of each CIF loop, its values by their lower-case names.
+
+    ``loop`` counts a block's loops and ``row`` a loop's rows, from 0. A missing value (``?`` or ``.``) is null; a last row
+    that is not whole is left out, as is a loop without names or values. Null and empty texts have no rows. A
+    line of a text field must not begin with ``data_``.
+    """
+    loops = _loops(files, key, text)
+    loops = loops.select(*key, "block", "loop", "_v", "_k", "_l", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("row"))
     values = F.transform(F.slice("_v", F.col("row") * F.col("_k") + 1, F.col("_k")), _value)
     return loops.select(*key, "block", "loop", "row", F.map_from_arrays("_l", values).alias("fields"))
 
@@ -67,28 +75,57 @@ def restraint_graphs(files: DataFrame, key: Sequence[str], text: str = "text", b
     sulphur with exactly three oxygens, all by single bonds, has its first two uncharged ones, by place, bonded twice, if
     there are two. Files without such a block have no rows.
     """
-    rank = F.array_position(F.array(*[F.lit(b) for b in blocks]), F.col("block"))
-    rows = loop_rows(files, key, text).withColumn("_rank", rank).where("_rank > 0")
-    f = lambda kind, name: F.try_element_at("fields", F.lit(f"_chem_comp_{kind}.{name}"))
-    listed = rows.where(f("atom", "atom_id").isNotNull())
-    least = listed.groupBy(*key).agg(F.min("_rank").alias("_rank"))
-    charge = F.coalesce(f("atom", "charge").try_cast("double"), f("atom", "partial_charge").try_cast("double"), F.lit(0.0))
-    atoms = listed.join(least, [*key, "_rank"]).select(*key, F.col("row").alias("place"), f("atom", "atom_id").alias("atom"), F.initcap(f("atom", "type_symbol")).alias("element"), F.rint(charge).cast("int").alias("charge"))
+    loops = _loops(files, key, text, blocks).withColumn("_rank", F.array_position(F.array(*[F.lit(b) for b in blocks]), F.col("block")))
+
+    def column(kind: str, name: str, row: Column) -> Column:
+        at = F.array_position("_l", F.lit(f"_chem_comp_{kind}.{name}"))
+        return F.when(at > 0, _value(F.get("_v", (row * F.col("_k") + at - 1).cast("int"))))
+
+    def atom(row: Column) -> Column:
+        f = lambda name: column("atom", name, row)
+        charge = F.coalesce(f("charge").try_cast("double"), f("partial_charge").try_cast("double"), F.lit(0.0))
+        return F.struct(row.alias("place"), f("atom_id").alias("atom"), F.initcap(f("type_symbol")).alias("element"), F.rint(charge).cast("int").alias("charge"))
+
     known = F.create_map(*[F.lit(x) for p in ORDERS.items() for x in p])
-    order = F.when(F.lower(f("bond", "aromatic")).isin("y", "yes"), 4).otherwise(F.try_element_at(known, F.lower(F.coalesce(f("bond", "type"), f("bond", "value_order"), F.lit("")))))
-    drawn = rows.where(f("bond", "atom_id_1").isNotNull() & f("bond", "atom_id_2").isNotNull()).join(least, [*key, "_rank"])
-    drawn = drawn.select(*key, f("bond", "atom_id_1").alias("a"), f("bond", "atom_id_2").alias("b"), order.alias("order"))
-    # sulphonates: both directions of single bonds between S and O, by sulphur
-    ends = drawn.where("order = 1").select(*key, F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("_e")).select(*key, F.col("_e.a").alias("s"), F.col("_e.b").alias("o"))
-    sulphur = atoms.where("element = 'S'").select(*key, F.col("atom").alias("s"))
-    oxygen = atoms.where("element = 'O'").select(*key, F.col("atom").alias("o"), "place", "charge")
-    around = ends.join(sulphur, [*key, "s"]).join(oxygen, [*key, "o"]).groupBy(*key, "s")
-    free = F.sort_array(F.collect_set(F.when(F.col("charge") != -1, F.struct("place", "o"))))
-    twice = around.agg(F.countDistinct("o").alias("_n"), free.alias("_f")).where("_n = 3 and size(_f) >= 2")
-    twice = twice.select(*key, "s", F.explode(F.slice("_f.o", 1, 2)).alias("o"), F.lit(2).alias("_two"))
-    s = F.greatest("s", "o").alias("_hi"), F.least("s", "o").alias("_lo")
-    bonds = drawn.withColumns({"_hi": F.greatest("a", "b"), "_lo": F.least("a", "b")}).join(twice.select(*key, *s, "_two"), [*key, "_hi", "_lo"], "left")
-    return atoms, bonds.select(*key, "a", "b", F.when(F.col("order") == 1, F.coalesce("_two", "order")).otherwise(F.col("order")).alias("order"))
+
+    def bond(row: Column) -> Column:
+        f = lambda name: column("bond", name, row)
+        order = F.when(F.lower(f("aromatic")).isin("y", "yes"), 4).otherwise(F.try_element_at(known, F.lower(F.coalesce(f("type"), f("value_order"), F.lit("")))))
+        return F.struct(f("atom_id_1").alias("a"), f("atom_id_2").alias("b"), order.alias("order"))
+
+    def listed(kind: str, name: str, made, whole) -> Column:
+        """The rows of a loop that has a name; null of another."""
+        return F.when(F.array_contains("_l", f"_chem_comp_{kind}.{name}"), F.filter(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), made), whole))
+
+    # a file's loops meet once, as arrays; all else is done within its row
+    own = F.struct("_rank", listed("atom", "atom_id", atom, lambda x: x["atom"].isNotNull()).alias("atoms"), listed("bond", "atom_id_1", bond, lambda x: x["a"].isNotNull() & x["b"].isNotNull()).alias("bonds"))
+    read = loops.select(*key, own.alias("_own")).groupBy(*key).agg(F.collect_list("_own").alias("_g"))
+    least = F.array_min(F.transform(F.filter("_g", lambda g: F.size(g["atoms"]) > 0), lambda g: g["_rank"]))
+    read = read.withColumn("_g", F.get(F.transform(F.array(least), lambda low: F.filter("_g", lambda g: g["_rank"] == low)), F.lit(0)))
+    part = lambda name: F.flatten(F.transform(F.filter("_g", lambda g: g[name].isNotNull()), lambda g: g[name]))
+    read = read.select(*key, part("atoms").alias("_atoms"), part("bonds").alias("_bonds"))
+    atoms = read.select(*key, F.explode("_atoms").alias("_a")).select(*key, "_a.*")
+    bonds = read.select(*key, F.explode(F.when(F.exists("_atoms", lambda x: x["element"] == "S"), _sulphonates()).otherwise(F.col("_bonds"))).alias("_b"))
+    return atoms, bonds.select(*key, "_b.*")
+
+
+def _sulphonates() -> Column:
+    """``_bonds`` in which a sulphur with exactly three oxygens has its first two uncharged ones bonded twice."""
+
+    def around(s: Column) -> Column:
+        joined = lambda b, o: ((b["a"] == s) & (b["b"] == o)) | ((b["b"] == s) & (b["a"] == o))
+        return F.filter("_atoms", lambda x: (x["element"] == "O") & F.exists("_bonds", lambda b: (b["order"] == 1) & joined(b, x["atom"])))
+
+    def twice(s: Column, found: Column) -> Column:
+        free = F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda x: x["charge"] != -1), lambda x: F.struct(x["place"].alias("place"), x["atom"].alias("o")))))
+        three = (F.size(F.array_distinct(F.transform(found, lambda x: x["atom"]))) == 3) & (F.size(free) >= 2)
+        return F.when(three, F.transform(F.slice(free, 1, 2), lambda x: F.struct(F.greatest(s, x["o"]).alias("hi"), F.least(s, x["o"]).alias("lo"))))
+
+    sulphur = F.filter("_atoms", lambda x: x["element"] == "S")
+    pairs = F.flatten(F.filter(F.transform(sulphur, lambda x: twice(x["atom"], around(x["atom"]))), lambda p: p.isNotNull()))
+    second = lambda ps, b: (b["order"] == 1) & F.exists(ps, lambda p: (p["hi"] == F.greatest(b["a"], b["b"])) & (p["lo"] == F.least(b["a"], b["b"])))
+    ordered = lambda ps, b: F.struct(b["a"].alias("a"), b["b"].alias("b"), F.when(second(ps, b), 2).otherwise(b["order"]).alias("order"))
+    return F.get(F.transform(F.array(pairs), lambda ps: F.transform("_bonds", lambda b: ordered(ps, b))), F.lit(0))
 
 
 _SYMBOL = re.compile(r"\[\d*([A-Z][a-z]?|[a-z][a-z]?|\*)(@{0,2}\w*?)(?:H(\d*))?([+-]+\d*)?(?::\d+)?\]|(Cl|Br|[BCNOPSFI*]|[bcnops])|([-=#$:/\\.])|(%\d\d|\d)|([()])")

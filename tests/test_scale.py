@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from outlyr.operators import filters, sites
+import numpy as np
+
+from outlyr.operators import filters, graphs, sites, spatial
+from outlyr.sources import molecules
 
 
 
@@ -71,3 +74,13 @@ def test_comparators_shuffle_no_pairs(spark):
     df = spark.createDataFrame([(f"d{i}", i / 10, 1, 0.1) for i in range(40)], "dtag string, resolution double, spacegroup int, rfree double")
     plan = filters.comparators(df, None, df, 4, 8, 0.1, 0.4, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Distinct" not in plan
+
+
+def test_restraint_files_are_read_once(spark):
+    """No join between a file's loops: one shuffle by file, and sulphonates within the row."""
+    text = "data_comp_LIG\nloop_\n_chem_comp_atom.atom_id\n_chem_comp_atom.type_symbol\nS1 S\nO1 O\nO2 O\nO3 O\nloop_\n_chem_comp_bond.atom_id_1\n_chem_comp_bond.atom_id_2\n_chem_comp_bond.type\n" + "".join(f"S1 O{i} single\n" for i in (1, 2, 3))
+    files = spark.createDataFrame([(1, text), (2, None)], "id int, text string")
+    atoms, bonds = molecules.restraint_graphs(files, ["id"])
+    assert "Join" not in atoms._jdf.queryExecution().optimizedPlan().toString() + bonds._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.b, r.order) for r in bonds.collect()) == [("O1", 2), ("O2", 2), ("O3", 1)]
+    assert [r.atom for r in atoms.orderBy("place").collect()] == ["S1", "O1", "O2", "O3"]
