@@ -16,6 +16,8 @@ from outlyr.operators.spatial import ensure_checkpoints
 
 #: Atoms that are matched between two cuts of the lineage.
 STEPS = 8
+#: Up to so many maps of distinct graphs are broadcast to their molecules; more are joined by shuffle.
+FEW_MAPS = 100_000
 
 
 def _below(n: Column) -> Column:
@@ -32,13 +34,21 @@ def packed(atoms: DataFrame, bonds: DataFrame, key: Sequence[str], atom: str = "
     """
     listed = atoms.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(atom).alias("atom"), F.col(kind).cast("string").alias("kind")))).alias("_l"))
     listed = listed.select(*key, F.col("_l.atom").alias("atoms"), F.col("_l.kind").alias("kinds"))
-    place = lambda c: F.array_position("atoms", F.col(c)) - 1
-    both = bonds.where("a <> b").select(*key, "a", "b", "order").join(listed.select(*key, "atoms"), list(key)).withColumn("_i", place("a")).withColumn("_j", place("b")).where("_i >= 0 and _j >= 0")
+    drawn = bonds.where("a <> b").groupBy(*key).agg(F.collect_list(F.struct("a", "b", F.col("order").cast("int").alias("o"))).alias("_b"))
+    place = lambda c: (F.array_position("atoms", c) - 1).cast("int")
     n = F.size("atoms")
-    cells = both.select(*key, F.explode(F.array((F.col("_i") * n + F.col("_j")).cast("int"), (F.col("_j") * n + F.col("_i")).cast("int"))).alias("_x"), F.col("order").cast("int").alias("_o"))
-    cells = cells.groupBy(*key, "_x").agg(F.max("_o").alias("_o")).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_x", "_o"))).alias("_m"))
-    matrix = F.transform(_below(n * n), lambda x: F.coalesce(F.try_element_at(F.col("_m"), x), F.lit(0)))
-    return listed.join(cells, list(key), "left").select(*key, "atoms", "kinds", matrix.alias("bonds"))
+    ends = F.transform("_b", lambda e: F.struct(place(e["a"]).alias("i"), place(e["b"]).alias("j"), e["o"].alias("o")))
+    cells = F.filter(ends, lambda e: (e["i"] >= 0) & (e["j"] >= 0))
+    cells = F.transform(cells, lambda e: F.struct((F.least(e["i"], e["j"]) * n + F.greatest(e["i"], e["j"])).alias("x"), e["o"].alias("o")))
+
+    def order(c: Column, x: Column) -> Column:
+        i, j = F.floor(x / n).cast("int"), x % n
+        upper = F.least(i, j) * n + F.greatest(i, j)
+        return F.coalesce(F.array_max(F.transform(F.filter(c, lambda e: e["x"] == upper), lambda e: e["o"])), F.lit(0))
+
+    # the cells are made once a molecule, as the element of an array
+    matrix = F.get(F.transform(F.array(F.coalesce(cells, F.expr("CAST(array() AS array<struct<x: int, o: int>>)"))), lambda c: F.transform(_below(n * n), lambda x: order(c, x))), F.lit(0))
+    return listed.join(drawn, list(key), "left").select(*key, "atoms", "kinds", matrix.alias("bonds"))
 
 
 def colours() -> Column:
@@ -87,13 +97,21 @@ def matches(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     ``a`` and ``b`` are ``packed`` molecules, joined by ``key``; the same table twice gives a molecule's symmetries, which
     ``structures.symmetric_deviation`` takes. Maps are rows, extended by one atom a step to the atoms of the same
     colour that keep all bonds to the atoms before; steps are as many as the largest molecule has
-    atoms. Maps are numbered in the order of their images along a's atoms. Molecules that do not match
+    atoms. Molecules of equal kinds and bonds have the same maps of places, which are found once for all of them. Maps are numbered in the order of their images along a's atoms. Molecules that do not match
     have no rows. There are as many rows as maps: k equal atoms without bonds have k! of them.
     """
     ensure_checkpoints(a.sparkSession)
-    left = a.select(*key, "atoms", "bonds", colours().alias("_ca"), _walk().alias("_walk"), F.size("kinds").alias("_n"))
-    right = b.select(*key, F.col("atoms").alias("_to"), F.col("bonds").alias("_bonds"), colours().alias("_cb"))
-    rows = left.join(right, list(key)).where(F.array_sort("_ca") == F.array_sort("_cb")).where("_n > 0").withColumn("_map", F.array().cast("array<int>")).checkpoint()
+    graph = ["kinds", "bonds", "_kinds", "_bonds"]
+    if a is b:
+        both = a.select(*key, "atoms", "kinds", "bonds", F.col("atoms").alias("_to"), F.col("kinds").alias("_kinds"), F.col("bonds").alias("_bonds"))
+    else:
+        both = a.select(*key, "atoms", "kinds", "bonds").join(b.select(*key, F.col("atoms").alias("_to"), F.col("kinds").alias("_kinds"), F.col("bonds").alias("_bonds")), list(key))
+    both = both.where(F.size("kinds") == F.size("_kinds"))
+    rows = both.where(F.size("kinds") > 0).select(*graph).distinct().withColumn("_n", F.size("kinds")).withColumn("_walk", _walk()).withColumn("_ca", colours())
+    other = F.struct(F.col("_kinds").alias("kinds"), F.col("_bonds").alias("bonds"))
+    rows = rows.withColumn("_own", F.struct("kinds", "bonds")).withColumn("_it", other).select("_own", "_it", "_n", "_walk", "_ca", F.col("_it.kinds").alias("kinds"), F.col("_it.bonds").alias("bonds")).withColumn("_cb", colours())
+    rows = rows.where(F.array_sort("_ca") == F.array_sort("_cb")).select(F.col("_own.kinds").alias("kinds"), F.col("_own.bonds").alias("bonds"), F.col("_it.kinds").alias("_kinds"), F.col("_it.bonds").alias("_bonds"), "_n", "_walk", "_ca", "_cb")
+    rows = rows.withColumn("_map", F.array().cast("array<int>")).checkpoint()
     most = rows.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n")).first().n
     n = F.col("_n")
     for k in range(most):
@@ -101,7 +119,7 @@ def matches(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
         if k % STEPS == STEPS - 1:
             rows = rows.checkpoint()
     along = F.transform(_below(n), lambda i: F.get("_map", (F.array_position("_walk", i) - 1).cast("int")))
-    rows = rows.select(*key, "atoms", "_to", along.alias("_map"))
-    rows = rows.withColumn("match", F.row_number().over(Window.partitionBy(*key).orderBy("_map")))
+    maps = rows.select(*graph, along.alias("_map")).withColumn("match", F.row_number().over(Window.partitionBy(*graph).orderBy("_map"))).checkpoint()
+    few = F.broadcast(maps) if maps.count() <= FEW_MAPS else maps
     pairs = F.zip_with("atoms", F.transform("_map", lambda t: F.get("_to", t)), lambda x, y: F.struct(x.alias("atom"), y.alias("to")))
-    return rows.select(*key, "match", F.explode(pairs).alias("_p")).select(*key, "match", "_p.atom", "_p.to")
+    return both.join(few, graph).select(*key, "match", F.explode(pairs).alias("_p")).select(*key, "match", "_p.atom", "_p.to")

@@ -76,6 +76,22 @@ def test_comparators_shuffle_no_pairs(spark):
     assert "Window" not in plan and "Distinct" not in plan
 
 
+def test_equal_graphs_are_matched_once(spark, monkeypatch):
+    """Maps are found for distinct graphs alone, and molecules get them under their own names, by broadcast or by shuffle."""
+    atoms = spark.createDataFrame([(m, f"{m}-{i}", "C") for m in range(30) for i in range(3)], "m int, atom string, element string")
+    bonds = spark.createDataFrame([(m, f"{m}-{i}", f"{m}-{i + 1}", 1) for m in range(30) for i in range(2)], "m int, a string, b string, `order` int")
+    seen = []
+    walk = graphs._free
+    monkeypatch.setattr(graphs, "_free", lambda k: seen.append(k) or walk(k))
+    for few in (graphs.FEW_MAPS, 0):
+        monkeypatch.setattr(graphs, "FEW_MAPS", few)
+        p = graphs.packed(atoms, bonds, ["m"])
+        found = graphs.matches(p, p, ["m"])
+        got = {tuple(r) for r in found.collect()}
+        assert got == {(m, k + 1, f"{m}-{i}", f"{m}-{2 - i if k else i}") for m in range(30) for k in range(2) for i in range(3)}
+    assert len(seen) == 6
+
+
 def test_restraint_files_are_read_once(spark):
     """No join between a file's loops: one shuffle by file, and sulphonates within the row."""
     text = "data_comp_LIG\nloop_\n_chem_comp_atom.atom_id\n_chem_comp_atom.type_symbol\nS1 S\nO1 O\nO2 O\nO3 O\nloop_\n_chem_comp_bond.atom_id_1\n_chem_comp_bond.atom_id_2\n_chem_comp_bond.type\n" + "".join(f"S1 O{i} single\n" for i in (1, 2, 3))
