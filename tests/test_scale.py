@@ -76,6 +76,19 @@ def test_comparators_shuffle_no_pairs(spark):
     assert "Window" not in plan and "Distinct" not in plan
 
 
+def test_nearest_over_blocks_keeps_ties(spark, monkeypatch):
+    """What is left out by the product of matrices is never among the k best, also far from the origin and with equal distances."""
+    monkeypatch.setattr(spatial, "BLOCK", 9)
+    r = np.random.default_rng(4)
+    v = np.concatenate((r.integers(0, 3, (40, 3)) + 1e5, r.normal(size=(20, 3)) * 1e-7 + 1e5, np.full((6, 3), 1e5)))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = {(x.item, x["rank"]): (x.neighbour, x.distance) for x in spatial.knn(df, "id", "v", 4).collect()}
+    for i, x in enumerate(v):
+        d = np.sqrt(((x - v) ** 2).sum(axis=1)).round(9)
+        for k, j in enumerate(sorted(range(len(v)), key=lambda j: (d[j], j != i, j))[:4], 1):
+            assert got[i, k] == (j, d[j])
+
+
 def test_equal_graphs_are_matched_once(spark, monkeypatch):
     """Maps are found for distinct graphs alone, and molecules get them under their own names, by broadcast or by shuffle."""
     atoms = spark.createDataFrame([(m, f"{m}-{i}", "C") for m in range(30) for i in range(3)], "m int, atom string, element string")
