@@ -16,8 +16,8 @@ no manifest row or recipe file is without the other, and every recipe finds all
 that more than one in HOT of all recipes' places ask for is joined in as many copies as there are partitions.
 
 Encoding is the library's. A text of plain Latin letters is encoded by its words, as neither
-normalisation nor pre-tokenisation looks across white space there; the library encodes each distinct word,
-and a bounded number is remembered. Any other text goes to the library whole.
+normalisation nor pre-tokenisation looks across white space there; the library's model encodes each distinct word
+of a batch, and a bounded number is remembered, those met last before others. Any other text goes to the library whole.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are stored as recipes of their own; an empty
 table gives an empty store. Texts of any length are encoded whole, in one row's memory. Extra columns take no part,
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,6 +36,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +49,15 @@ _REMEMBERED = 1_000_000
 #: Texts in which words can be encoded alone: letters with single-character lower case and no marks.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*").fullmatch
 
+#: The pre-token pattern of which a letter run and the marks behind it are known without a search; marks but the apostrophe, which begins pre-tokens of its own.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+#: Characters beyond ASCII as the model has them: a character for each byte.
+_SHOWN = [c for c in range(256) if 0x21 <= c <= 0x7E or 0xA1 <= c <= 0xAC or c >= 0xAE]
+_BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+_BYTES = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in {ord(chr(c).lower()) for c in range(0x80, 0x250) if len(chr(c).lower()) == 1}}
+_PACK = [struct.Struct(f"<{k}I").pack for k in range(9)]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
@@ -71,46 +82,63 @@ class WordEncoder:
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         self.pieces = regex.compile(split.get("pattern", {}).get("Regex", r"\S+")).findall
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
-        # words can be encoded alone where white space is dropped and each word's last token shows its end
+        # words can be encoded alone where white space is dropped and pre-tokens end there
         self.by_word = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and spec["post_processor"] is None
-        self.ends = np.zeros(self.tok.get_vocab_size() + 1, dtype=bool)
-        if self.by_word:
-            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        # the model alone gives a word's ids where pre-tokens are letters, digits or marks, and bytes are written as characters
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_word &= len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        self.marks = split.get("pattern", {}).get("Regex") == _PATTERN
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words: encoded a thousand at once, told apart by the ends of pre-tokens."""
-        out: dict[str, bytes] = {}
-        counts = [1 if w.isalpha() else len(self.pieces(w)) for w in words]
-        for i in range(0, len(words), 1000):
-            some, n = words[i : i + 1000], counts[i : i + 1000]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids])[np.cumsum(n) - 1] + 1
-            if ends[-1] != len(ids):
-                raise AssertionError("words do not end where their tokens do")
-            out.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
+        """The ids of words, by the library's model from their pre-tokens: plain words need no other step of the library."""
+        out, tokenize = {}, self.tok.model.tokenize
+        for w in words:
+            ids: list[int] = []
+            for piece in self._pieces(w):
+                ids += [t.id for t in tokenize(piece if piece.isascii() else piece.translate(_BYTES))]
+            out[w] = np.array(ids, dtype="<u4").tobytes() if len(ids) > 8 else _PACK[len(ids)](*ids)
         return out
 
+    def _pieces(self, word: str) -> list[str]:
+        """The pre-tokens of a lower-case word; letters with marks behind them are told without the pattern."""
+        if word.isalpha():
+            return [word]
+        letters = word.rstrip(_MARKS)
+        return [letters, word[len(letters) :]] if self.marks and letters.isalpha() else self.pieces(word)
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words. Half of the remembered words are those met last; the others give way when these are full."""
+        found = list(map(self.known.get, words))
+        missing = [k for k, f in enumerate(found) if f is None]
+        again = list(map(self.older.get, [words[k] for k in missing]))
+        new = self._words([words[k] for k, f in zip(missing, again, strict=True) if f is None])
+        for k, f in zip(missing, again, strict=True):
+            found[k] = new[words[k]] if f is None else f
+        if len(self.known) + len(missing) > _REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        if len(missing) <= _REMEMBERED // 2:
+            self.known.update((words[k], found[k]) for k in missing)
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self.by_word and _PLAIN(x) is not None and not self.added(x) for x in texts]
         other = iter(self.tok.encode_batch([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        full, get = len(self.known) >= _REMEMBERED, self.known.get
-        # each word is looked up once; what is not known yet is filled in afterwards
-        words = [x.lower().split() if p else None for x, p in zip(texts, plain, strict=True)]
-        found = [None if ws is None else list(map(get, ws)) for ws in words]
-        new = {w for ws, fs in zip(words, found, strict=True) if fs and None in fs for w, f in zip(ws, fs, strict=True) if f is None}
-        own = self._words(list(new))
-        out = []
-        for ws, fs in zip(words, found, strict=True):
-            if ws is None:
-                out.append(np.array(next(other).ids, dtype="<u4"))
-                continue
-            if None in fs:
-                fs = [own[w] if f is None else f for w, f in zip(ws, fs, strict=True)]
-            out.append(np.frombuffer(b"".join(fs), "<u4"))
-        if not full:
-            self.known.update(own)
-        return out
+        if not any(plain):
+            return [np.array(x.ids, dtype="<u4") for x in other]
+        # a batch's words are counted off by Arrow, and each distinct one is looked up once
+        split = pc.ascii_split_whitespace(pa.array([x.lower() for x, p in zip(texts, plain, strict=True) if p], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        own = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, size = np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
+        first, codes = np.cumsum(size) - size, coded.indices.to_numpy(zero_copy_only=False)
+        n = size[codes]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+        flat = ids[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        known = iter(np.split(flat, bounds[1:-1]))
+        return [next(known) if p else np.array(next(other).ids, dtype="<u4") for p in plain]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -200,8 +228,8 @@ def _chunked(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], "<u4")
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                some = b.slice(i, 500)
+            for i in range(0, b.num_rows, 2000):
+                some = b.slice(i, 2000)
                 rows, own = [], set()
                 for doc_id, row, ids in zip(some.column("doc_id").to_pylist(), some.column("row").to_pylist(), enc.encode([x or "" for x in some.column("text").to_pylist()]), strict=True):
                     ids = np.concatenate((ids, end))

@@ -757,6 +757,20 @@ def test_words_are_encoded_as_whole_texts():
     assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_met_last_are_remembered(monkeypatch):
+    """Words beyond the number that is remembered take the place of older ones, and characters that lower-case far away are the library's."""
+    monkeypatch.setattr(token_store, "_REMEMBERED", 60)
+    e, asked = token_store.WordEncoder(P.path("word_bpe_49k.json")), []
+    own = e._words
+    monkeypatch.setattr(e, "_words", lambda words: asked.append(len(words)) or own(words))
+    texts = [" ".join(f"{a}{b}{c}" for b in "xyz" for c in "qrstu") for a in "abcde"]
+    for t in [*texts, texts[-1], texts[-2]]:
+        assert e.encode([t])[0].tolist() == e.tok.encode(t, add_special_tokens=False).ids
+    assert asked == [15] * 5 + [0, 0]
+    points = [f"{chr(c)}a {chr(c)}. x{chr(c)}{chr(c)}'s" for c in range(0x20, 0x250)]
+    assert [x.tolist() for x in e.encode(points)] == [x.ids for x in e.tok.encode_batch(points, add_special_tokens=False)]
+
+
 def test_cuts_follow_content():
     r = np.random.default_rng(1)
     a = r.integers(0, 49000, 20_000).astype("<u4")
