@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from outlyr.operators import filters, graphs, sites, spatial
+from outlyr.operators import filters, graphs, linkage, sites, spatial
 from outlyr.sources import molecules
 
 
@@ -113,3 +113,15 @@ def test_restraint_files_are_read_once(spark):
     assert "Join" not in atoms._jdf.queryExecution().optimizedPlan().toString() + bonds._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.b, r.order) for r in bonds.collect()) == [("O1", 2), ("O2", 2), ("O3", 1)]
     assert [r.atom for r in atoms.orderBy("place").collect()] == ["S1", "O1", "O2", "O3"]
+
+
+def test_a_cloud_without_gaps_is_cut_in_steps(spark, monkeypatch):
+    """Centroid linkage of one cloud is that of a single task, though no task gets more than MOST of its points."""
+    monkeypatch.setattr(linkage, "MOST", 110)
+    p, sizes = np.random.default_rng(5).normal(size=(240, 3)), []
+    cut = linkage._cut
+    monkeypatch.setattr(linkage, "_cut", lambda apart, group, *rest: sizes.append(linkage._largest(apart, group)) or cut(apart, group, *rest))
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(p.tolist())], "i long, x double, y double, z double")
+    got = {r.i: r.cluster for r in spatial.linkage_clusters(df, [], "i", 1.2).collect()}
+    assert [got[i] for i in range(len(p))] == linkage.flat_clusters(p, 1.2).tolist()
+    assert len(sizes) > 1 and max(sizes) <= 110
