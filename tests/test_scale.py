@@ -125,3 +125,68 @@ def test_a_cloud_without_gaps_is_cut_in_steps(spark, monkeypatch):
     got = {r.i: r.cluster for r in spatial.linkage_clusters(df, [], "i", 1.2).collect()}
     assert [got[i] for i in range(len(p))] == linkage.flat_clusters(p, 1.2).tolist()
     assert len(sizes) > 1 and max(sizes) <= 110
+
+
+def _density(rows, eps, least):
+    """Density clusters of (g, id, x, y, z), by all pairs."""
+    p = np.array([r[2:] for r in rows], float)
+    with np.errstate(invalid="ignore"):
+        d = (np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)) <= eps) & (np.array([r[0] for r in rows])[:, None] == np.array([r[0] for r in rows])[None])
+    core, ids = d.sum(1) >= least, [r[1] for r in rows]
+    label = {i: ids[i] for i in range(len(rows)) if core[i]}
+    while True:
+        new = {i: min(label[j] for j in np.flatnonzero(d[i] & core)) for i in label}
+        if new == label:
+            break
+        label = new
+    near = {i: [label[j] for j in np.flatnonzero(d[i] & core)] for i in range(len(rows))}
+    return {(rows[i][0], ids[i]): label.get(i, min(near[i], default=None)) for i in range(len(rows)) if near[i]}
+
+
+def _found(spark, rows, eps, least):
+    df = spark.createDataFrame(rows, "g int, id long, x double, y double, z double")
+    out = spatial.dbscan(df, "id", eps, least, group=["g"]).collect()
+    assert len({r.id for r in out}) == len(out)
+    return {(r.g, r.id): r.cluster for r in out}
+
+
+def test_density_clusters_without_pairs(spark, monkeypatch):
+    """Rows of all steps stay near the number of points where all points are near each other, with some around them."""
+    rng, seen = np.random.default_rng(5), []
+    p = np.concatenate((rng.normal(0, 0.1, (400, 3)), rng.normal(0, 0.8, (60, 3))))
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, x double, y double, z double")
+    kept = type(df).checkpoint
+
+    def counted(self, *args):
+        out = kept(self, *args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(df), "checkpoint", counted)
+    got = {(0, r.id): r.cluster for r in spatial.dbscan(df, "id", 1.0, 5).collect()}
+    assert got == _density([(0, i, *x) for i, x in enumerate(p)], 1.0, 5)
+    assert max(seen) < 10 * len(p)  # pairs: more than 160,000
+
+
+def test_density_clusters_by_cells(spark):
+    """Cells, their halves and boxes give what all pairs give: blobs, points at exactly eps, copies, missing positions, several groups."""
+    rng = np.random.default_rng(6)
+    blobs = [(int(i % 2), int(i), *map(float, x)) for i, x in enumerate(np.concatenate([rng.normal(c, s, (40, 3)) for c, s in ((0, 0.3), (2.2, 0.4), (-3, 1.0), (9, 2.0))]))]
+    grid = [(0, 1000 - i, *map(float, x)) for i, x in enumerate(rng.integers(-4, 5, (150, 3)) * 0.25)]
+    odd = [(0, 2000, float("nan"), 0.0, 0.0), (0, 2001, None, 0.0, 0.0), (0, 2002, float("inf"), 0.0, 0.0), (1, 2003, 0.0, 0.0, 0.0)]
+    whole = [r for r in odd if r[2] is not None]
+    for rows, eps, least in ((blobs, 0.75, 1), (blobs, 0.75, 4), (grid, 0.25, 4), (grid, 0.75, 9)):
+        assert _found(spark, rows + odd, eps, least) == _density(rows + whole, eps, least), (eps, least)
+
+
+def test_density_clusters_of_dense_cells_that_halves_do_not_link(spark):
+    """Dense cells of which only some points are near, and two dense sheets a little further apart than eps."""
+    rng = np.random.default_rng(7)
+    ends = [(0, 10 * k + i, 0.9 * k + 0.01 * i, 0.0, 0.0) for k in range(5) for i in range(10)]
+    near = [(1, 100 + i, *x, 0.0) for i, x in enumerate(rng.uniform(0, 1.5, (150, 2)).tolist())]
+    far = [(1, 300 + i, *x, 1.001) for i, x in enumerate(rng.uniform(0, 1.5, (150, 2)).tolist())]
+    # of the last two cells, whose boxes are near, only one pair of points is within eps
+    bent = [(2, 500 + i, 0.01 * i, 0.5 if i == 9 else 0.0, 0.0) for i in range(10)] + [(2, 600 + i, 1.05 + 0.01 * i, 0.55 if i == 0 else 0.0, 0.0) for i in range(10)]
+    for more in ([], [(1, 900, 0.7, 0.7, 0.5)]):
+        rows = ends + near + far + bent + more
+        assert _found(spark, rows, 1.0, 5) == _density(rows, 1.0, 5)
