@@ -16,8 +16,8 @@ no manifest row or recipe file is without the other, and every recipe finds all
 that more than one in HOT of all recipes' places ask for is joined in as many copies as there are partitions.
 
 Encoding is the library's. A text of plain Latin letters is encoded by its words, as neither
-normalisation nor pre-tokenisation looks across white space there; the library's model encodes each distinct word
-of a batch, and a bounded number is remembered, those met last before others. Any other text goes to the library whole.
+normalisation nor pre-tokenisation looks across white space there; each distinct word of a batch is cut into pre-tokens, the
+library's model encodes each distinct one of these, and a bounded number is remembered, those met last before others. Any other text goes to the library whole.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are stored as recipes of their own; an empty
 table gives an empty store. Texts of any length are encoded whole, in one row's memory. Extra columns take no part,
@@ -49,9 +49,8 @@ _REMEMBERED = 1_000_000
 #: Texts in which words can be encoded alone: letters with single-character lower case and no marks.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*").fullmatch
 
-#: The pre-token pattern of which a letter run and the marks behind it are known without a search; marks but the apostrophe, which begins pre-tokens of its own.
+#: The pre-token pattern that Arrow's expressions read as the library's do, over the characters of plain texts.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 #: Characters beyond ASCII as the model has them: a character for each byte.
 _SHOWN = [c for c in range(256) if 0x21 <= c <= 0x7E or 0xA1 <= c <= 0xAC or c >= 0xAE]
 _BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
@@ -91,35 +90,32 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words, by the library's model from their pre-tokens: plain words need no other step of the library."""
-        out, tokenize = {}, self.tok.model.tokenize
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, by the library's model: they need no other step of the library."""
+        out, tokenize = [], self.tok.model.tokenize
         for w in words:
-            ids: list[int] = []
-            for piece in self._pieces(w):
-                ids += [t.id for t in tokenize(piece if piece.isascii() else piece.translate(_BYTES))]
-            out[w] = np.array(ids, dtype="<u4").tobytes() if len(ids) > 8 else _PACK[len(ids)](*ids)
+            ids = [t.id for t in tokenize(w if w.isascii() else w.translate(_BYTES))] if w else []
+            out.append(np.array(ids, dtype="<u4").tobytes() if len(ids) > 8 else _PACK[len(ids)](*ids))
         return out
 
-    def _pieces(self, word: str) -> list[str]:
-        """The pre-tokens of a lower-case word; letters with marks behind them are told without the pattern."""
-        if word.isalpha():
-            return [word]
-        letters = word.rstrip(_MARKS)
-        return [letters, word[len(letters) :]] if self.marks and letters.isalpha() else self.pieces(word)
+    def _pieces(self, words: pa.Array) -> pa.Array:
+        """The pre-tokens of lower-case words, a list for each; that of an empty word may be an empty one, without ids."""
+        if self.marks:
+            return pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(pc.replace_substring_regex(words, _PATTERN, r"\0 ")))
+        return pa.array(list(map(self.pieces, words.to_pylist())), pa.large_list(pa.large_string()))
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words. Half of the remembered words are those met last; the others give way when these are full."""
+        """The ids of distinct pre-tokens. Half of the remembered ones are those met last; the others give way when these are full."""
         found = list(map(self.known.get, words))
         missing = [k for k, f in enumerate(found) if f is None]
         again = list(map(self.older.get, [words[k] for k in missing]))
-        new = self._words([words[k] for k, f in zip(missing, again, strict=True) if f is None])
+        new = iter(self._words([words[k] for k, f in zip(missing, again, strict=True) if f is None]))
         for k, f in zip(missing, again, strict=True):
-            found[k] = new[words[k]] if f is None else f
+            found[k] = next(new) if f is None else f
         if len(self.known) + len(missing) > _REMEMBERED // 2:
             self.known, self.older = {}, self.known
         if len(missing) <= _REMEMBERED // 2:
-            self.known.update((words[k], found[k]) for k in missing)
+            self.known.update(zip([words[k] for k in missing], [found[k] for k in missing], strict=True))
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -127,20 +123,27 @@ class WordEncoder:
         other = iter(self.tok.encode_batch([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
         if not any(plain):
             return [np.array(x.ids, dtype="<u4") for x in other]
-        # a batch's words are counted off by Arrow, and each distinct one is looked up once
+        # a batch's words are counted off by Arrow, each distinct one is cut into pre-tokens once, and of these each distinct one is looked up once
         split = pc.ascii_split_whitespace(pa.array([x.lower() for x, p in zip(texts, plain, strict=True) if p], pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        own = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        ids, size = np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
-        first, codes = np.cumsum(size) - size, coded.indices.to_numpy(zero_copy_only=False)
-        n = size[codes]
-        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
-        flat = ids[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])]
-        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        known = iter(np.split(flat, bounds[1:-1]))
+        words = split.flatten().dictionary_encode()
+        cut_up = self._pieces(words.dictionary)
+        pieces = cut_up.flatten().dictionary_encode()
+        own = self._ids(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat, ends = np.frombuffer(b"".join(own), "<u4"), np.concatenate((np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) // 4)))
+        for lists, coded in ((cut_up, pieces), (split, words)):
+            flat, ends = _gathered(flat, ends, coded.indices.to_numpy(zero_copy_only=False))
+            ends = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        known = iter(np.split(flat, ends[1:-1]))
         return [next(known) if p else np.array(next(other).ids, dtype="<u4") for p in plain]
 
 
+def _gathered(flat: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` between ``ends`` that ``codes`` number, one after the other, and where these end, with 0 first."""
+    n = np.diff(ends)[codes]
+    out = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+    return flat[np.repeat(ends[:-1][codes] - out[:-1], n) + np.arange(out[-1])], out
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
