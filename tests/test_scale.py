@@ -190,3 +190,16 @@ def test_density_clusters_of_dense_cells_that_halves_do_not_link(spark):
     for more in ([], [(1, 900, 0.7, 0.7, 0.5)]):
         rows = ends + near + far + bent + more
         assert _found(spark, rows, 1.0, 5) == _density(rows, 1.0, 5)
+
+
+def test_colours_are_taken_of_distinct_graphs(spark, monkeypatch):
+    """Colours are not moved below the step that finds distinct graphs, to all molecules."""
+    plans, base = [], type(spark.range(1))
+    kept = base.checkpoint
+    monkeypatch.setattr(base, "checkpoint", lambda self, *args: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or kept(self, *args))
+    atoms = spark.createDataFrame([(m, i, "C") for m in range(4) for i in range(3)], "m int, atom int, element string")
+    bonds = spark.createDataFrame([(m, i, i + 1, 1) for m in range(4) for i in range(2)], "m int, a int, b int, `order` int")
+    p, q = graphs.packed(atoms, bonds, ["m"]), graphs.packed(atoms, bonds, ["m"])
+    for other in (p, q):
+        assert graphs.matches(p, other, ["m"]).count() == 4 * 2 * 3
+    assert any("xxhash64" in x for x in plans) and not any("xxhash64" in x and "Aggregate" in x for x in plans)
