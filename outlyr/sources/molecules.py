@@ -24,34 +24,51 @@ _TOKEN = r"""(?m)^;[\s\S]*?\n;|'(?:[^'\n]|'(?=\S))*'|"(?:[^"\n]|"(?=\S))*"|#[^\n
 
 def _value(token: Column) -> Column:
     """A token without its quotes; null for the signs of a missing value."""
-    quoted = token.rlike(r"^(['\"])[\s\S]*\1$") & (F.length(token) > 1)
+    quoted = ((token.startswith("'") & token.endswith("'")) | (token.startswith('"') & token.endswith('"'))) & (F.length(token) > 1)
     field = token.startswith(";")
     inner = F.when(quoted, F.substr(token, F.lit(2), F.length(token) - 2)).when(field, F.regexp_replace(token, r"^;|\n;$", ""))
     return F.when(token.isin("?", "."), None).otherwise(F.coalesce(inner, token))
 
 
+def _once(made: Column, use) -> Column:
+    """``use`` of a value that is made once, as the element of an array; a column's expression would be made anew wherever a lambda looks at it."""
+    return F.get(F.transform(F.array(made), use), F.lit(0))
+
+
 def _first(tokens: Column, test) -> Column:
     """The number of tokens before the first that passes ``test``."""
     at = F.array_position(F.transform(tokens, test), True)
-    return F.when(at > 0, (at - 1).cast("int")).otherwise(F.size(tokens))
-
-
-def _loops(files: DataFrame, key: Sequence[str], text: str, blocks: Sequence[str] | None = None) -> DataFrame:
-    """(key, block, loop, _v, _k, _n, _l): the values, number of names, rows and lower-case names of each loop of the ``blocks``."""
-    named = files.select(*key, F.explode(F.slice(F.split(F.concat(F.lit("\n"), text), r"(?i)\ndata_"), 2, 1_000_000)).alias("_b"))
-    if blocks is not None:
-        named = named.where(F.regexp_extract("_b", r"^\S*", 0).isin(*blocks))
-    tokens = F.filter(F.regexp_extract_all(F.regexp_replace("_b", r"^\S*", ""), F.lit(_TOKEN), F.lit(0)), lambda t: ~t.startswith("#"))
-    whole = named.select(*key, F.regexp_extract("_b", r"^\S*", 0).alias("block"), tokens.alias("_t"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("_t")), lambda i: F.lower(F.get("_t", i)) == "loop_")
-    loops = whole.withColumn("_s", starts).select(*key, "block", "_t", "_s", F.posexplode("_s").alias("loop", "_i"))
-    until = F.coalesce(F.get("_s", F.col("loop") + 1), F.size("_t"))
-    loops = loops.select(*key, "block", "loop", F.slice("_t", F.col("_i") + 2, until - F.col("_i") - 1).alias("_t"))
-    names = _first(F.col("_t"), lambda t: ~t.startswith("_"))
-    loops = loops.withColumn("_k", names).where("_k > 0").withColumn("_v", F.slice("_t", F.col("_k") + 1, F.size("_t")))
-    loops = loops.withColumn("_n", F.floor(_first(F.col("_v"), lambda t: t.startswith("_")) / F.col("_k")).cast("int")).where("_n > 0")
-    label = F.transform(F.slice("_t", F.lit(1), F.col("_k")), F.lower)
-    return loops.select(*key, "block", "loop", "_v", "_k", "_n", label.alias("_l"))
+    return F.coalesce((F.when(at > 0, at) - 1).cast("int"), F.size(tokens))
+
+
+def _blocks(text: str, blocks: Sequence[str] | None = None) -> Column:
+    """A text's blocks, or those of the names ``blocks``, each from its name on."""
+    found = F.slice(F.split(F.concat(F.lit("\n"), F.col(text)), r"(?i)\ndata_"), 2, 1_000_000)
+    return found if blocks is None else F.filter(found, lambda b: _name(b).isin(*blocks))
+
+
+def _name(block: Column) -> Column:
+    return F.regexp_extract(block, r"^\S*", 0)
+
+
+def _loops(block: Column) -> Column:
+    """An array of a block's loops that have names and whole rows: loop (its number), k (names), n (rows), v (values) and l (names in lower case)."""
+    tokens = F.filter(F.regexp_extract_all(F.regexp_replace(block, r"^\S*", ""), F.lit(_TOKEN), F.lit(0)), lambda t: ~t.startswith("#"))
+
+    def cut(t: Column) -> Column:
+        starts = F.filter(F.transform(t, lambda x, i: F.when(F.lower(x) == "loop_", i)), lambda i: i.isNotNull())
+        until = lambda s, k: F.coalesce(F.get(s, k + 1), F.size(t))
+        return _once(starts, lambda s: F.transform(s, lambda i, k: F.slice(t, i + 2, until(s, k) - i - 1)))
+
+    def parted(u: Column, loop: Column) -> Column:
+        k = _first(u, lambda x: ~x.startswith("_"))
+        return _once(k, lambda k: F.struct(loop.alias("loop"), k.alias("k"), F.slice(u, k + 1, F.size(u)).alias("v"), F.transform(F.slice(u, F.lit(1), k), F.lower).alias("l")))
+
+    def counted(x: Column) -> Column:
+        n = F.when(x["k"] > 0, F.floor(_first(x["v"], lambda t: t.startswith("_")) / x["k"]).cast("int")).otherwise(0)
+        return F.struct(x["loop"].alias("loop"), x["k"].alias("k"), n.alias("n"), x["v"].alias("v"), x["l"].alias("l"))
+
+    return F.filter(F.transform(F.transform(_once(tokens, cut), parted), counted), lambda x: x["n"] > 0)
 
 
 def loop_rows(files: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
@@ -61,10 +78,11 @@ def loop_rows(files: DataFrame, key: Sequence[str], text: str = "text") -> DataF
     that is not whole is left out, as is a loop without names or values. Null and empty texts have no rows. A
     line of a text field must not begin with ``data_``.
     """
-    loops = _loops(files, key, text)
-    loops = loops.select(*key, "block", "loop", "_v", "_k", "_l", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("row"))
-    values = F.transform(F.slice("_v", F.col("row") * F.col("_k") + 1, F.col("_k")), _value)
-    return loops.select(*key, "block", "loop", "row", F.map_from_arrays("_l", values).alias("fields"))
+    blocks = files.select(*key, F.explode(F.transform(_blocks(text), lambda b: F.struct(_name(b).alias("block"), _loops(b).alias("loops")))).alias("_b"))
+    loops = blocks.select(*key, "_b.block", F.explode("_b.loops").alias("_x"))
+    rows = loops.select(*key, "block", "_x", F.explode(F.sequence(F.lit(0), F.col("_x.n") - 1)).alias("row"))
+    values = F.transform(F.slice("_x.v", F.col("row") * F.col("_x.k") + 1, F.col("_x.k")), _value)
+    return rows.select(*key, "block", "_x.loop", "row", F.map_from_arrays("_x.l", values).alias("fields"))
 
 
 def restraint_graphs(files: DataFrame, key: Sequence[str], text: str = "text", blocks: Sequence[str] = BLOCKS) -> tuple[DataFrame, DataFrame]:
@@ -75,57 +93,70 @@ def restraint_graphs(files: DataFrame, key: Sequence[str], text: str = "text", b
     sulphur with exactly three oxygens, all by single bonds, has its first two uncharged ones, by place, bonded twice, if
     there are two. Files without such a block have no rows.
     """
-    loops = _loops(files, key, text, blocks).withColumn("_rank", F.array_position(F.array(*[F.lit(b) for b in blocks]), F.col("block")))
+    read = restraint_rows(files, key, text, blocks)
+    atoms = read.select(*key, F.explode_outer("_atoms").alias("_a")).where("_a is not null")
+    bonds = read.select(*key, F.explode_outer("_bonds").alias("_b")).where("_b is not null")
+    return atoms.select(*key, "_a.*"), bonds.select(*key, "_b.*")
 
-    def column(kind: str, name: str, row: Column) -> Column:
-        at = F.array_position("_l", F.lit(f"_chem_comp_{kind}.{name}"))
-        return F.when(at > 0, _value(F.get("_v", (row * F.col("_k") + at - 1).cast("int"))))
 
-    def atom(row: Column) -> Column:
-        f = lambda name: column("atom", name, row)
-        charge = F.coalesce(f("charge").try_cast("double"), f("partial_charge").try_cast("double"), F.lit(0.0))
-        return F.struct(row.alias("place"), f("atom_id").alias("atom"), F.initcap(f("type_symbol")).alias("element"), F.rint(charge).cast("int").alias("charge"))
+def restraint_rows(files: DataFrame, key: Sequence[str], text: str = "text", blocks: Sequence[str] = BLOCKS) -> DataFrame:
+    """(key, _atoms, _bonds): the atoms and bonds of ``restraint_graphs`` as arrays, a row a file; null or empty if it has none.
 
+    A file is read within its row, so that nothing is shuffled.
+    """
     known = F.create_map(*[F.lit(x) for p in ORDERS.items() for x in p])
 
-    def bond(row: Column) -> Column:
-        f = lambda name: column("bond", name, row)
+    def fields(x: Column, kind: str, names: Sequence[str], made, whole) -> Column:
+        """The rows of a loop that has the first of ``names``; null of another."""
+        at = F.struct(*[F.array_position(x["l"], F.lit(f"_chem_comp_{kind}.{name}")).cast("int").alias(name) for name in names])
+
+        def rows(at: Column, v: Column) -> Column:
+            value = lambda r: lambda name: F.when(at[name] > 0, F.get(v, r * x["k"] + at[name] - 1))
+            return F.filter(F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda r: made(r, value(r))), whole)
+
+        return _once(at, lambda at: F.when(at[names[0]] > 0, _once(F.transform(x["v"], _value), lambda v: rows(at, v))))
+
+    def atom(r: Column, f) -> Column:
+        charge = F.coalesce(f("charge").try_cast("double"), f("partial_charge").try_cast("double"), F.lit(0.0))
+        return F.struct(r.alias("place"), f("atom_id").alias("atom"), F.initcap(f("type_symbol")).alias("element"), F.rint(charge).cast("int").alias("charge"))
+
+    def bond(_: Column, f) -> Column:
         order = F.when(F.lower(f("aromatic")).isin("y", "yes"), 4).otherwise(F.try_element_at(known, F.lower(F.coalesce(f("type"), f("value_order"), F.lit("")))))
         return F.struct(f("atom_id_1").alias("a"), f("atom_id_2").alias("b"), order.alias("order"))
 
-    def listed(kind: str, name: str, made, whole) -> Column:
-        """The rows of a loop that has a name; null of another."""
-        return F.when(F.array_contains("_l", f"_chem_comp_{kind}.{name}"), F.filter(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), made), whole))
+    def parts(x: Column, rank: Column) -> Column:
+        atoms = fields(x, "atom", ("atom_id", "type_symbol", "charge", "partial_charge"), atom, lambda a: a["atom"].isNotNull())
+        bonds = fields(x, "bond", ("atom_id_1", "atom_id_2", "type", "value_order", "aromatic"), bond, lambda b: b["a"].isNotNull() & b["b"].isNotNull())
+        return F.struct(rank.alias("rank"), atoms.alias("atoms"), bonds.alias("bonds"))
 
-    # a file's loops meet once, as arrays; all else is done within its row
-    own = F.struct("_rank", listed("atom", "atom_id", atom, lambda x: x["atom"].isNotNull()).alias("atoms"), listed("bond", "atom_id_1", bond, lambda x: x["a"].isNotNull() & x["b"].isNotNull()).alias("bonds"))
-    read = loops.select(*key, own.alias("_own")).groupBy(*key).agg(F.collect_list("_own").alias("_g"))
-    least = F.array_min(F.transform(F.filter("_g", lambda g: F.size(g["atoms"]) > 0), lambda g: g["_rank"]))
-    read = read.withColumn("_g", F.get(F.transform(F.array(least), lambda low: F.filter("_g", lambda g: g["_rank"] == low)), F.lit(0)))
-    part = lambda name: F.flatten(F.transform(F.filter("_g", lambda g: g[name].isNotNull()), lambda g: g[name]))
-    read = read.select(*key, part("atoms").alias("_atoms"), part("bonds").alias("_bonds"))
-    atoms = read.select(*key, F.explode("_atoms").alias("_a")).select(*key, "_a.*")
-    bonds = read.select(*key, F.explode(F.when(F.exists("_atoms", lambda x: x["element"] == "S"), _sulphonates()).otherwise(F.col("_bonds"))).alias("_b"))
-    return atoms, bonds.select(*key, "_b.*")
+    rank = lambda b: F.array_position(F.array(*[F.lit(x) for x in blocks]), _name(b))
+    loops = F.flatten(F.transform(_blocks(text, blocks), lambda b: _once(rank(b), lambda k: F.transform(_loops(b), lambda x: parts(x, k)))))
+    least = lambda g: F.array_min(F.transform(F.filter(g, lambda x: F.size(x["atoms"]) > 0), lambda x: x["rank"]))
+    first = _once(loops, lambda g: _once(least(g), lambda low: F.filter(g, lambda x: x["rank"] == low)))
+    part = lambda g, name: F.flatten(F.transform(F.filter(g, lambda x: x[name].isNotNull()), lambda x: x[name]))
+    both = _once(first, lambda g: F.struct(part(g, "atoms").alias("atoms"), part(g, "bonds").alias("bonds")))
+    sulphur = lambda x: F.exists(x["atoms"], lambda a: a["element"] == "S")
+    both = _once(both, lambda x: F.struct(x["atoms"].alias("atoms"), F.when(sulphur(x), _sulphonates(x["atoms"], x["bonds"])).otherwise(x["bonds"]).alias("bonds")))
+    return files.select(*key, both.alias("_both")).select(*key, F.col("_both.atoms").alias("_atoms"), F.col("_both.bonds").alias("_bonds"))
 
 
-def _sulphonates() -> Column:
-    """``_bonds`` in which a sulphur with exactly three oxygens has its first two uncharged ones bonded twice."""
+def _sulphonates(atoms: Column, bonds: Column) -> Column:
+    """``bonds`` in which a sulphur with exactly three oxygens has its first two uncharged ones bonded twice."""
 
     def around(s: Column) -> Column:
         joined = lambda b, o: ((b["a"] == s) & (b["b"] == o)) | ((b["b"] == s) & (b["a"] == o))
-        return F.filter("_atoms", lambda x: (x["element"] == "O") & F.exists("_bonds", lambda b: (b["order"] == 1) & joined(b, x["atom"])))
+        return F.filter(atoms, lambda x: (x["element"] == "O") & F.exists(bonds, lambda b: (b["order"] == 1) & joined(b, x["atom"])))
 
     def twice(s: Column, found: Column) -> Column:
         free = F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda x: x["charge"] != -1), lambda x: F.struct(x["place"].alias("place"), x["atom"].alias("o")))))
         three = (F.size(F.array_distinct(F.transform(found, lambda x: x["atom"]))) == 3) & (F.size(free) >= 2)
         return F.when(three, F.transform(F.slice(free, 1, 2), lambda x: F.struct(F.greatest(s, x["o"]).alias("hi"), F.least(s, x["o"]).alias("lo"))))
 
-    sulphur = F.filter("_atoms", lambda x: x["element"] == "S")
+    sulphur = F.filter(atoms, lambda x: x["element"] == "S")
     pairs = F.flatten(F.filter(F.transform(sulphur, lambda x: twice(x["atom"], around(x["atom"]))), lambda p: p.isNotNull()))
     second = lambda ps, b: (b["order"] == 1) & F.exists(ps, lambda p: (p["hi"] == F.greatest(b["a"], b["b"])) & (p["lo"] == F.least(b["a"], b["b"])))
     ordered = lambda ps, b: F.struct(b["a"].alias("a"), b["b"].alias("b"), F.when(second(ps, b), 2).otherwise(b["order"]).alias("order"))
-    return F.get(F.transform(F.array(pairs), lambda ps: F.transform("_bonds", lambda b: ordered(ps, b))), F.lit(0))
+    return F.get(F.transform(F.array(pairs), lambda ps: F.transform(bonds, lambda b: ordered(ps, b))), F.lit(0))
 
 
 _SYMBOL = re.compile(r"\[\d*([A-Z][a-z]?|[a-z][a-z]?|\*)(@{0,2}\w*?)(?:H(\d*))?([+-]+\d*)?(?::\d+)?\]|(Cl|Br|[BCNOPSFI*]|[bcnops])|([-=#$:/\\.])|(%\d\d|\d)|([()])")

@@ -203,3 +203,15 @@ def test_colours_are_taken_of_distinct_graphs(spark, monkeypatch):
     for other in (p, q):
         assert graphs.matches(p, other, ["m"]).count() == 4 * 2 * 3
     assert any("xxhash64" in x for x in plans) and not any("xxhash64" in x and "Aggregate" in x for x in plans)
+
+
+def test_restraint_files_are_read_within_their_rows(spark):
+    """Nothing is shuffled, also where a file has several blocks and loops; values are found whatever their quotes."""
+    text = "data_comp_XXX\nloop_\n_chem_comp_atom.atom_id\nX\ndata_comp_LIG\nloop_\n_chem_comp_bond.atom_id_1\n_chem_comp_bond.atom_id_2\n_chem_comp_bond.type\n'A 1' \"B'\" double\nloop_\n_chem_comp_atom.type_symbol\n_chem_comp_atom.atom_id\ncl 'A 1'\nn \"B'\"\n? .\n"
+    files = spark.createDataFrame([(1, text), (2, None), (3, "data_comp_LIG\nloop_\n_chem_comp_atom.atom_id\nC\n")], "id int, text string")
+    atoms, bonds = molecules.restraint_graphs(files, ["id"])
+    assert [tuple(r) for r in atoms.orderBy("id", "place").collect()] == [(1, 0, "A 1", "Cl", 0), (1, 1, "B'", "N", 0), (3, 0, "C", None, 0)]
+    assert [tuple(r) for r in bonds.collect()] == [(1, "A 1", "B'", 2)]
+    for df in (atoms, bonds):
+        plan = df._jdf.queryExecution()
+        assert "Exchange" not in plan.executedPlan().toString() and "Aggregate" not in plan.optimizedPlan().toString()
