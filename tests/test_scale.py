@@ -215,3 +215,16 @@ def test_restraint_files_are_read_within_their_rows(spark):
     for df in (atoms, bonds):
         plan = df._jdf.queryExecution()
         assert "Exchange" not in plan.executedPlan().toString() and "Aggregate" not in plan.optimizedPlan().toString()
+
+
+def test_overlap_sites_meet_in_blocks_first(spark, monkeypatch):
+    """Events of one site that no neighbourhood at a residue shows are put together block by block, before all pairs of blocks are counted."""
+    monkeypatch.setattr(sites, "BLOCK", 60)
+    rng, left = random.Random(8), []
+    sets = {e: set(rng.sample(range(300), 40)) for e in range(240)}
+    expected = _sites(sets, 8)
+    assert len(set(expected.values())) < 20
+    block = sites._block_links
+    monkeypatch.setattr(sites, "_block_links", lambda rows, shared: left.append(rows.select("site").distinct().count()) or block(rows, shared))
+    assert {r.event: r.site for r in sites.overlap_components(_environment(spark, sets), 8).collect()} == expected
+    assert left and left[0] < 40
